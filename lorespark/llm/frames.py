@@ -1,27 +1,13 @@
-"""Spark helpers of this subpackage."""
+"""Spark helpers of this subpackage, beside the shared ones."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.session import cut, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with checkpoint() in the folder that spark.checkpoint.dir names.
-
-    A folder of our own is set only where the setting is absent, as in tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "held_out", "table", "texts", "with_new"]
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
