@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -11,34 +12,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.llm import kernels as K
 from lorespark.llm.frames import cut, texts
 
 WINDOW = 2048
 PIECE = 512
 GROUP_ROWS = 1024
 END_ID = 1
-_KEPT_WORDS = 300_000
+_KEPT = 500_000
 
-_loaded: dict[int, tuple[object, dict[str, bytes]]] = {}
+# What a byte can be in a word: a letter, a digit, a mark, or something that only the tokenizer itself can judge.
+_LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[0x80:0xC0] = _CLASS[0xC3] = _LETTER  # with the lead byte C3, a Latin letter, but for two signs
+_CLASS[[ord("'"), ord("<")]] = _ODD  # endings after an apostrophe; special tokens
+_CLASS[K.SPACE] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
+_loaded: dict[int, "Pieces"] = {}
 
-def token_bytes(text: str | None, tokenizer: object, kept: dict[str, bytes]) -> bytes:
-    """The ids of a text and the end id, as little-endian 16-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so each
-    blank-separated chunk is tokenized once and remembered.
+def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes; starts, ends and oddness of the pieces of all texts; and each text's first piece.
+
+    The tokenizer parts text into runs of letters, single digits and runs of marks,
+    after lower-casing. A blank-separated word with any other byte is one odd piece.
     """
-    if not text:
-        return b"\x01\x00"
-    chunks = [x for x in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x]
-    new = list({x for x in chunks if x not in kept})
-    if new:
-        if len(kept) > _KEPT_WORDS:
-            kept.clear()
-            new = list(set(chunks))
-        for word, made in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            kept[word] = np.array(made.ids, dtype="<u2").tobytes()
-    return b"".join([kept[x] for x in chunks]) + b"\x01\x00"
+    starts, ends, bounds = K.word_bounds(data, offsets)
+    kind = _CLASS[data]
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    kind[after & ((data == 0x97) | (data == 0xB7))] = _ODD
+    odd_sum = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kind == _ODD, out=odd_sum[1:])
+    odd = odd_sum[ends] > odd_sum[starts]
+    low = _LOWER[data]
+    low[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
+    begins = np.zeros(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begins[kind == 0] = False
+    in_odd = np.zeros(len(data) + 1, np.int8)
+    np.add.at(in_odd, starts[odd], 1)
+    np.add.at(in_odd, ends[odd], -1)
+    inside = np.cumsum(in_odd[:-1], dtype=np.int8).view(bool)
+    begins[inside] = False
+    begins[starts] = True
+    low = np.where(inside, data, low)
+    at = np.flatnonzero(begins)
+    word = np.searchsorted(starts, at, "right") - 1
+    last = np.append(word[1:] != word[:-1], True)[:len(at)]
+    stop = np.where(last, ends[word], np.append(at[1:], 0)[:len(at)]) if len(at) else at
+    return low, at, stop, odd[word], np.searchsorted(at, np.append(starts, len(data))[np.minimum(bounds, len(starts))])
+
+
+class Pieces:
+    """Ids of pieces, by hash, remembered up to a bound; new ones go to the tokenizer in one call."""
+
+    def __init__(self, tokenizer: object):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = tokenizer
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None}))
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.old, self.new, self.n_old = K.KeyTable(self.hashes), K.KeyTable(self.hashes), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.old.find(hashes).astype(np.int64)
+        miss = np.flatnonzero(at < 0)
+        young = self.new.find(hashes[miss])
+        at[miss] = np.where(young >= 0, young + self.n_old, -1)
+        return at
+
+    def learn(self, hashes: np.ndarray, texts_: list[str], odd: np.ndarray) -> None:
+        """Adds pieces; the last id of a plain piece has the word's end, so ids part by themselves."""
+        plain = np.flatnonzero(~odd)
+        ids = np.array(self.bare.encode_batch_fast([" ".join([texts_[i] for i in plain.tolist()])], add_special_tokens=False)[0].ids, dtype=np.int64)
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) != len(plain):
+            raise RuntimeError("ids don't part into the pieces")
+        flat, sizes = [ids.astype(np.uint16)], [np.diff(np.concatenate([[0], stops]))]
+        for i in np.flatnonzero(odd).tolist():
+            own = self.tokenizer.encode(texts_[i], add_special_tokens=False).ids
+            flat.append(np.array(own, np.uint16))
+            sizes.append(np.array([len(own)]))
+        self.hashes = np.concatenate([self.hashes, hashes[plain], hashes[odd]])
+        self.sizes, self.flat = np.concatenate([self.sizes, *sizes]), np.concatenate([self.flat, *flat])
+        if len(self.hashes) > 1.3 * self.n_old + 1000:
+            self.old, self.n_old = K.KeyTable(self.hashes), len(self.hashes)
+        self.new = K.KeyTable(self.hashes[self.n_old:])
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+
+    def token_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and each text's bounds; without end ids."""
+        low, start, stop, odd, bounds = parted(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
+        hashes = K.word_hashes(low, start, stop) ^ odd.astype(np.uint64)
+        at = self.find(hashes)
+        if (at < 0).any():
+            if len(self.hashes) > _KEPT:
+                self.clear()
+                at[:] = -1
+            miss = np.flatnonzero(at < 0)
+            fresh, first = np.unique(hashes[miss], return_index=True)
+            first = miss[first]
+            raw = low.tobytes()
+            self.learn(fresh, [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)], odd[first])
+            at[miss] = self.find(hashes[miss])
+        size = self.sizes[at]
+        run = np.cumsum(size)
+        ids = self.flat[np.repeat(self.offsets[at] - run + size, size) + np.arange(int(run[-1]))]
+        return ids, np.concatenate([[0], run])[bounds]
 
 
 def cuts(n: int, window: int = WINDOW, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -65,19 +160,20 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
         known = zlib.crc32(shared.value.encode())
         if known not in _loaded:
             _loaded.clear()
-            _loaded[known] = (Tokenizer.from_str(shared.value), {})
-        tokenizer, kept = _loaded[known]
+            _loaded[known] = Pieces(Tokenizer.from_str(shared.value))
+        pieces = _loaded[known]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+        types = [pa.int64()] * 5 + [pa.binary()]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
+            data, offsets = K.column_bytes(batch.column(1))
+            for lo, hi, d, o in K.slices(data, offsets):
                 rows: list[tuple] = []
-                part = batch.slice(lo, 500)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = np.frombuffer(token_bytes(text.as_py(), tokenizer, kept), dtype="<u2").astype("<u4")
+                flat, bounds = pieces.token_ids(d, o)
+                for k, doc_id in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
+                    ids = np.append(flat[bounds[k]:bounds[k + 1]], np.uint16(END_ID)).astype("<u4")
                     for start, length in cuts(len(ids), window, piece):
                         raw = ids[start:start + length].tobytes()
                         rows.append((doc_id, start, length, zlib.crc32(raw), len(ids), raw if with_ids else None))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-                types = [pa.int64()] * 5 + [pa.binary()]
                 made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
                 yield pa.RecordBatch.from_arrays(made[:5 + with_ids], names=names[:5 + with_ids])
 
