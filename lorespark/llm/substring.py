@@ -6,16 +6,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import texts
+from lorespark.llm.frames import cut, texts
 
 WORDS = 50
 GRAM = 10
-HOT_ROWS = 128
+HOT_ROWS = 4096
 
 
 class Automaton:
@@ -86,8 +87,8 @@ class Automaton:
         return out
 
 
-def _minimizer_runs(words: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows with one minimizer: document, minimizer, first window (from the document's start), windows.
+def _minimizer_runs(words: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive windows with one minimizer: document, minimizer, hash of all its words, first window (from the document's start), windows.
 
     A window's minimizer is the least hash of its runs of ``gram`` words, so equal
     windows have equal minimizers wherever they stand.
@@ -96,7 +97,7 @@ def _minimizer_runs(words: np.ndarray, bounds: np.ndarray, length: int, gram: in
     least = K.run_hashes(words, gram)
     n = len(words) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     span = 1
     while span * 2 <= reach:
         least = np.minimum(least[:-span], least[span:])
@@ -109,7 +110,8 @@ def _minimizer_runs(words: np.ndarray, bounds: np.ndarray, length: int, gram: in
     new = np.ones(len(at), bool)
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     heads = np.flatnonzero(new)
-    return doc[heads], least[heads], at[heads] - bounds[doc[heads]], np.diff(np.append(heads, len(at)))
+    first, n = at[heads], np.diff(np.append(heads, len(at)))
+    return doc[heads], least[heads], K.span_hashes(words, first, first + n + length - 1), first - bounds[doc[heads]], n
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,14 +130,15 @@ def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _, _, _, bounds, words in _words(batch.column(1)):
-                doc, least, first, n = _minimizer_runs(words, bounds, length, gram)
+                doc, least, content, first, n = _minimizer_runs(words, bounds, length, gram)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(least)), part.column(0).take(pa.array(doc)), part.column(2).take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["key", "doc_id", "text_key", "first", "n"],
+                    [pa.array(K.signed(least)), pa.array(K.signed(content)), part.column(0).take(pa.array(doc)), part.column(2).take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["key", "content_key", "doc_id", "text_key", "first", "n"],
                 )
+        K.release()
 
-    return keyed.mapInArrow(emit, "key long, doc_id long, text_key long, first int, n int")
+    return keyed.mapInArrow(emit, "key long, content_key long, doc_id long, text_key long, first int, n int")
 
 
 _CONTENT = "key long, doc_id long, text_key long, first int, content binary"
@@ -229,31 +232,42 @@ def _match_shards(contents: DataFrame, length: int) -> DataFrame:
     return contents.repartition("key").sortWithinPartitions("key").mapInArrow(emit, _REMOVED)
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    return _keyed(docs).where("doc_id is not null and text is not null")
+
+
 def repeated_spans(docs: DataFrame, length: int = WORDS, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, text_key and word ranges that a window of a document with a smaller id covers.
 
     Windows are dealt into reference shards by their minimizer: consecutive windows
-    with one minimizer travel as one run, and two equal windows always meet. Only
-    minimizers that stand in two documents or more are followed up. Each such shard's
-    runs make a suffix automaton whose states know the least document; streaming the
-    runs through it gives the matching statistics, and windows matched in full by a
-    smaller document are removed. A shard of more than ``hot_rows`` runs (a passage of
-    very many documents) is not gathered in one task: its windows are dealt anew, each
-    by its own words, and the least document is found by a pre-aggregated minimum.
+    with one minimizer travel as one run, and two equal windows always meet. A run
+    whose very words stand in a document with a smaller id goes whole, by a
+    pre-aggregated minimum; so of any number of copies one run is left to compare.
+    Where a shard is left with several different runs, their words make a suffix
+    automaton whose states know the least document; streaming the runs through it
+    gives the matching statistics, and windows matched in full by a smaller document
+    are removed. A shard of more than ``hot_rows`` different runs (the edges of a
+    passage of very many documents) is not gathered in one task: its windows are dealt
+    anew, each by its own words, and the least document is found by a pre-aggregated
+    minimum.
     """
-    keyed = _keyed(docs).where("doc_id is not null and text is not null")
+    keyed = _judged(docs)
     runs = _runs(keyed, length, gram)
-    shared = runs.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows"))
-    shared = shared.where("low < high").select("key", (F.col("rows") > hot_rows).alias("hot"))
-    followed = runs.join(shared, "key").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "first", "n", "hot")).alias("all"))
-    both = keyed.join(followed, ["doc_id", "text_key"])
+    contents = runs.groupBy("key", "content_key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shards = contents.groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("first_low"), F.max("high").alias("last_high"))
+    shards = shards.where("first_low < last_high").select("key", "kinds")
+    followed = runs.join(contents.join(shards, "key").select("key", "content_key", "low", "kinds"), ["key", "content_key"]).where("low < doc_id or kinds > 1")
+    followed = cut(followed.select("key", "doc_id", "text_key", "first", "n", (F.col("low") < F.col("doc_id")).alias("whole"), (F.col("kinds") > hot_rows).alias("hot")))
+    copies = followed.where("whole").select("doc_id", "text_key", "first", (F.col("first") + F.col("n") + (length - 1)).cast("int").alias("stop"))
+    own = followed.where("not whole").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "first", "n", "hot")).alias("all"))
+    both = keyed.join(own, ["doc_id", "text_key"])
     cool = both.select("doc_id", "text_key", "text", F.filter("all", lambda x: ~x["hot"]).alias("runs")).where(F.size("runs") > 0)
     hot = both.select("doc_id", "text_key", "text", F.filter("all", lambda x: x["hot"]).alias("runs")).where(F.size("runs") > 0)
     by_shard = _match_shards(_contents(cool, length, False), length)
     windows = _contents(hot, length, True).drop("content")
     least = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     by_window = windows.join(least, "key").where("low < doc_id").select("doc_id", "text_key", "first", (F.col("first") + length).cast("int").alias("stop"))
-    return by_shard.union(by_window)
+    return copies.union(by_shard).union(by_window)
 
 
 def remove_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
@@ -264,7 +278,9 @@ def remove_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
     that share an id never remove each other's words; repeated rows give equal rows.
     """
     spans = repeated_spans(docs, length).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
-    joined = _keyed(docs).join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    joined = _judged(docs).join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    others = _keyed(docs).where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
+    joined = joined.union(others)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,6 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds).astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
+        K.release()
 
     return joined.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
@@ -313,9 +330,7 @@ def without_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def _kept_text():
-    import pandas as pd
-
+def _kept_text() -> object:
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
