@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.session import cut, table
 
-__all__ = ["cut", "held_out", "table", "texts", "with_new"]
+__all__ = ["cut", "held_out", "small_batches", "table", "texts"]
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -15,11 +15,17 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Only the id (as long) and the text, under fixed names: other columns can't clash."""
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """Lets Spark pass at most ``rows`` rows at a time to Python: its default of 10,000 long texts is much off-heap memory.
+
+    A session's own setting is left alone if it is lower.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
 
 
-def with_new(docs: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns; an input column of the same name is replaced."""
-    return docs.withColumns(columns)
+def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Only the id (as long) and the text, under fixed names: other columns can't clash."""
+    return small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))

@@ -7,12 +7,13 @@ few megabytes, so that a task's memory does not depend on its partition's size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,6 +27,15 @@ _BYTE = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))
@@ -135,7 +145,7 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
 class Tally:
     """Counts of 64-bit keys in bounded memory: flushed when it holds ``limit`` keys."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 1_500_000):
         self.limit, self.parts, self.held = limit, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -166,7 +176,7 @@ class KeyTable:
 
     def __init__(self, keys: np.ndarray):
         self.n = len(keys)
-        bits = max(4, int(np.ceil(np.log2(max(1, self.n) * 2.5))))
+        bits = max(4, int(np.ceil(np.log2(max(1, self.n) * 1.5))))
         self.shift = np.uint64(64 - bits)
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)

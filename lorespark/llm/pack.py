@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ WINDOW = 2048
 PIECE = 512
 GROUP_ROWS = 1024
 END_ID = 1
-_KEPT = 500_000
+_KEPT = 300_000
 
 # What a byte can be in a word: a letter, a digit, a mark, or something that only the tokenizer itself can judge.
 _LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
@@ -76,7 +75,7 @@ class Pieces:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = tokenizer
-        self.bare = Tokenizer.from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None}))
+        self.bare = Tokenizer(tokenizer.model)  # the same model; pieces are lower-cased and parted already
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -176,6 +175,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
                         rows.append((doc_id, start, length, zlib.crc32(raw), len(ids), raw if with_ids else None))
                 made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
                 yield pa.RecordBatch.from_arrays(made[:5 + with_ids], names=names[:5 + with_ids])
+        K.release()
 
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     return texts(docs).mapInArrow(cut_up, fields)

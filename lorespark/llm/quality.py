@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import held_out
+from lorespark.llm.frames import held_out, small_batches
 from lorespark.llm.labelled import FOLDS, Adam, labelled_sample
 
 WORD_BITS = 14
@@ -113,7 +113,7 @@ def machine(model: Model, index: np.ndarray, values: np.ndarray, bounds: np.ndar
 def _prepared(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.char_length("text"), F.lit(0)).cast("double")
     stated = F.coalesce(F.col("n_chars").cast("double"), size) if "n_chars" in docs.columns else size
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stated.alias("stated"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stated.alias("stated"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = 10, batch: int = 128, seed: int = 3) -> Model:

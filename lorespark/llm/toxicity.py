@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import held_out, texts
+from lorespark.llm.frames import held_out, small_batches, texts
 from lorespark.llm.labelled import FOLDS, Adam, labelled_sample, logistic
 
 BITS = 18
 PER_CLASS = 2500
 PREFIXES = (4, 5, 6)
 SEGMENT = 64
-CHAIN_BYTES = 16 << 20
+CHUNK = 4096
+CHAIN_BYTES = 6 << 20
 
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
@@ -148,34 +149,43 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
         model.beta[-1] = np.log((share + 0.02) / (1.02 - share))
         model.weights -= 10
         return model
-    data, offsets = K.column_bytes(pa.array(rows["text"]))
-    parts = [(lo, *token_features(d, o)) for lo, _, d, o in K.slices(data, offsets)]
-    features = np.concatenate([x[1] for x in parts])
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[4]) for x in parts]))])
-    doc = np.repeat(np.arange(len(rows)), np.diff(bounds))
+    data, offsets = K.column_bytes(pa.array(rows.pop("text")))
+    features, words = [], []
+    for _, _, d, o in K.slices(data, offsets):
+        own, _, _, bounds = token_features(d, o)
+        features.append(own)
+        words.append(np.diff(bounds))
+    del data
+    features = np.concatenate(features)
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(words))])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(bounds))
     for_tags = np.arange(len(rows)) % 3 != 2
-    gold_all = _weak_tokens(features[for_tags[doc]], np.searchsorted(np.flatnonzero(for_tags), doc[for_tags[doc]]), toxic[for_tags])
     keep = for_tags[doc]
     x, owner = features[keep], doc[keep]
-    within = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    new = (within % SEGMENT == 0)
-    segment = np.cumsum(new) - 1
-    col, row = segment, within % SEGMENT
-    n = int(segment[-1]) + 1 if len(segment) else 0
-    gold, mask = np.zeros((SEGMENT, n)), np.zeros((SEGMENT, n), bool)
-    gold[row, col], mask[row, col] = gold_all, True
-    weight = 1.0
-    adam = Adam([model.weights, model.trans], 0.15)
+    gold = _weak_tokens(x, np.searchsorted(np.flatnonzero(for_tags), owner).astype(np.int32), toxic[for_tags])
+    within = (np.arange(len(owner)) - np.searchsorted(owner, owner)) % SEGMENT
+    starts = np.append(np.flatnonzero(within == 0), len(owner))
     total = max(1, len(owner))
-    rare = total / max(1.0, float(gold_all.sum()))
-    model.weights -= np.log(rare) / 4
-    flat = x.ravel()
+    rare = total / max(1.0, float(gold.sum()))
+    low = np.float32(-np.log(rare) / 4)  # a token's features start at the share of toxic tokens together
+    model.weights += low
+    adam = Adam([model.weights, model.trans], 0.15)
     for _ in range(rounds):
-        emission = np.zeros((SEGMENT, n))
-        emission[row, col] = model.weights[x].sum(axis=1)
-        d_emission, d_trans = _gradient(emission, gold, mask, model.trans, weight)
-        g = np.bincount(flat, weights=np.repeat(d_emission[row, col], x.shape[1]), minlength=1 << BITS)
-        adam.step([(-g + 0.02 * (model.weights + np.log(rare) / 4)).astype(np.float32), -d_trans / total * rare + 0.01 * model.trans])
+        grad, d_trans = np.zeros(1 << BITS), np.zeros((2, 2))
+        for at in range(0, len(starts) - 1, CHUNK):  # segments by chunks, so that only small arrays are made
+            first, last = starts[at], starts[min(at + CHUNK, len(starts) - 1)]
+            row, n = within[first:last], min(CHUNK, len(starts) - 1 - at)
+            col = np.cumsum(row == 0) - 1
+            own = x[first:last]
+            emission, tags, mask = np.zeros((SEGMENT, n)), np.zeros((SEGMENT, n)), np.zeros((SEGMENT, n), bool)
+            emission[row, col], tags[row, col], mask[row, col] = model.weights[own].sum(axis=1), gold[first:last], True
+            d_emission, d = _gradient(emission, tags, mask, model.trans, 1.0)
+            d_trans += d
+            d_emission = d_emission[row, col]
+            for k in range(own.shape[1]):
+                grad += np.bincount(own[:, k], weights=d_emission, minlength=1 << BITS)
+        adam.step([(-grad + 0.02 * (model.weights - low)).astype(np.float32), -d_trans / total * rare + 0.01 * model.trans])
+    del x, owner, keep, within
     p = marginals(model.weights[features].sum(axis=1), bounds, model.trans)
     made = _document_features(p, bounds)
     rest = ~for_tags
@@ -192,7 +202,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str
     replaced; repeated rows get equal values; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.trans, model.beta))  # 2 ** BITS weights
-    docs = docs.drop("score", "predicted", "n_spans", "spans")
+    docs = small_batches(docs).drop("score", "predicted", "n_spans", "spans")
     text_at = docs.columns.index(text_column)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +210,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str
         for batch in batches:
             data, offsets = K.column_bytes(batch.column(text_at))
             for lo, hi, d, o in K.slices(data, offsets, CHAIN_BYTES):
-                parts = [(at, token_features(dd, oo)) for at, dd, oo in ((o[a], dd, oo) for a, _, dd, oo in K.slices(d, o))]
-                emission = np.concatenate([weights[f].sum(axis=1) for _, (f, _, _, _) in parts])
-                starts = np.concatenate([at + s for at, (_, s, _, _) in parts])
-                ends = np.concatenate([at + e for at, (_, _, e, _) in parts])
-                bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, (_, _, _, b) in parts]))])
+                emission, starts, ends, n_words = [], [], [], []
+                for a, _, dd, oo in K.slices(d, o):
+                    own, s, e, bounds = token_features(dd, oo)
+                    emission.append(weights[own].sum(axis=1))
+                    starts.append(o[a] + s)
+                    ends.append(o[a] + e)
+                    n_words.append(np.diff(bounds))
+                emission, starts, ends = (np.concatenate(x) for x in (emission, starts, ends))
+                bounds = np.concatenate([[0], np.cumsum(np.concatenate(n_words))])
                 p = marginals(emission, bounds, trans)
                 x = np.column_stack([_document_features(p, bounds), np.ones(hi - lo)]) @ beta
                 made = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -214,6 +228,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str
                     [*part.columns, pa.array(made), pa.array((made >= threshold).astype(np.int32)), pa.array(n_spans), pa.array(spans)],
                     names=[*part.schema.names, "score", "predicted", "n_spans", "spans"],
                 )
+        K.release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(judge, f"{fields}, score double, predicted int, n_spans int, spans string")
@@ -228,8 +243,8 @@ def _spans(data: np.ndarray, offsets: np.ndarray, p: np.ndarray, starts: np.ndar
     new = np.concatenate(([True], (np.diff(hot) > 1) | (np.diff(doc) > 0)))
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(hot)) - 1
-    chars = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
+    chars = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, dtype=np.int32, out=chars[1:])
     owner = doc[heads]
     begin = chars[starts[hot[heads]]] - chars[offsets[owner]]
     end = chars[ends[hot[tails]]] - chars[offsets[owner]]
