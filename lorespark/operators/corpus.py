@@ -231,14 +231,19 @@ def longest_run(words: Column) -> Column:
     return F.aggregate(words, start, step, lambda s: s["most"])
 
 
-def check_repetition(text: Column, max_run: int = 6, min_tokens: int = 12, min_diversity: float = 0.25) -> Column:
-    words = repetition_words(text)
+def repetition_verdict(words: Column, run: Column, max_run: int = 6, min_tokens: int = 12, min_diversity: float = 0.25) -> Column:
+    """From a text's words and their longest run, which a plan may compute once and name."""
     diversity = F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
-    run = longest_run(words)
     status = F.when(F.size(words) == 0, F.lit("skip")).when(run > max_run, F.lit("fail")).when((F.size(words) >= min_tokens) & (diversity < min_diversity), F.lit("fail")).otherwise(F.lit("pass"))
     return _verdict(status, F.when(run > max_run, F.lit("repeated token")).otherwise(F.lit("low lexical diversity")))
 
 
+def check_repetition(text: Column) -> Column:
+    """In one expression: a list of one holds the words, so that they are made once."""
+    made = F.transform(F.array(repetition_words(text)), lambda w: F.struct(w.alias("words"), longest_run(w).alias("run")))
+    return F.transform(made, lambda m: repetition_verdict(m["words"], m["run"]))[0]
+
+
 def check_citations(text: Column) -> Column:
     number = lambda x: x.try_cast("long")
     known = lambda n: n.isNotNull() & (n < 2**32)

@@ -69,12 +69,14 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str]
 
     Links to missing nodes are left out first, so all mass stays in the graph; that of
     nodes without links goes to the teleport. Parallel edges carry a share each. The
-    links keep one partitioning by source, and each round is cut off by a checkpoint,
+    links keep one partitioning by source through all rounds (kept copies that are lost
+    are read again from their checkpoint), and each round is cut off by a checkpoint,
     which keeps the plan's size constant.
     """
     damping = min(max(damping, 0.0), 1.0)
     live = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
-    links = cut(live.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = cut(live.groupBy("src", "dst").agg(F.count("*").alias("n"))).repartition(parts, "src").persist()
     out = links.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("out"))
     state = cut(teleport.join(out, "id", "left").select(*by, "id", "tp", "out", F.col("tp").alias("rank")))
     for _ in range(iterations):
@@ -86,6 +88,7 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str]
         new = new.join(F.broadcast(lost), by) if by else new.crossJoin(F.broadcast(lost))
         rank = (1 - damping) * F.col("tp") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("tp"))
         state = cut(new.select(*by, "id", "tp", "out", rank.alias("rank")))
+    links.unpersist()
     return state.select(*by, "id", "rank")
 
 

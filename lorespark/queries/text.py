@@ -142,8 +142,9 @@ r AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, t, grp, count(*) AS n FR
 SELECT w.doc_id, len(w)::BIGINT AS n_tokens, coalesce(run, 0)::BIGINT AS longest_run, CASE WHEN len(w) = 0 THEN 'skip' WHEN run > 6 THEN 'fail' WHEN len(w) >= 12 AND len(list_distinct(w)) / len(w)::DOUBLE < 0.25 THEN 'fail' ELSE 'pass' END AS status FROM w LEFT JOIN r USING (doc_id)"""
 )
 def verify_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = C.repetition_words(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), C.longest_run(words).cast("long").alias("longest_run"), C.check_repetition(F.col("text"))["status"].alias("status"))
+    words = table(spark, sf_dir, "documents").select("doc_id", C.repetition_words(F.col("text")).alias("w"))
+    runs = words.select("doc_id", "w", C.longest_run(F.col("w")).alias("run"))
+    return runs.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.col("run").cast("long").alias("longest_run"), C.repetition_verdict(F.col("w"), F.col("run"))["status"].alias("status"))
 
 
 _CITED = "text || CASE WHEN doc_id % 3 = 0 THEN ' see [' || (doc_id % 5) || ']' || chr(10) || '[' || (doc_id % 4) || '] source' ELSE '' END"
