@@ -203,6 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
                         held, own, size = [], [], 0
                 if held:
                     yield made(finder, held, own)
+            K.release()
 
         def made(finder: Finder, held: list[str], own: list[int]) -> pa.RecordBatch:
             hits = sorted(finder.find(*code_points(held)).items())

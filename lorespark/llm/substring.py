@@ -170,6 +170,7 @@ def _contents(wanted: DataFrame, length: int, each_window: bool) -> DataFrame:
                         rows = []
                 if rows:
                     yield _batch(rows)
+        K.release()
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -224,6 +225,8 @@ def _match_shards(contents: DataFrame, length: int) -> DataFrame:
         out += _removed_in_group(held, length) if len(held) > 1 else []
         if out:
             yield made(out)
+        del held, out
+        K.release()
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
