@@ -18,6 +18,7 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 3
 ROUNDS = 4
+BLOCK = 512
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +180,125 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def parity_map(cells: np.ndarray) -> bytes:
+    """Of each hash slot, whether an odd number of the set's cells fall into it; at least four slots a cell up to 65,536.
+
+    The slots in which two sets' maps differ are never more than the cells that only one
+    of them has. A map folds to half its width by xor of its halves.
+    """
+    bits = min(1 << 16, 1 << max(9, int(4 * len(cells) - 1).bit_length()))
+    return np.packbits(np.bincount((K.mix(cells) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _marks(sets: DataFrame) -> DataFrame:
+    """node, and the size and parity map of its plain and of its weighted set; the weighted map is empty where nothing repeats."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for elements, times in zip(batch.column(1), batch.column(2), strict=True):
+                cells = np.frombuffer(elements.as_py(), np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                n = np.frombuffer(times.as_py(), "<u4").astype(np.int64)
+                turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                more = np.repeat(cells, n) + turn.astype(np.uint64) if len(n) else cells
+                rows.append((len(cells), parity_map(cells), len(more), parity_map(more) if len(n) else b""))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            made = [pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["node", "n", "map", "total", "more"])
+
+    return sets.select("node", "elements", "times").mapInArrow(mark, "node long, n long, map binary, total long, more binary")
+
+
+def within_reach(n: np.ndarray, maps: list[bytes], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets (places a, b) may have a Jaccard similarity of ``threshold``: none that has it is left out."""
+    most = (1 - threshold) / (1 + threshold) * (n[a] + n[b]) + 1e-6
+    good = np.abs(n[a] - n[b]) <= most
+    width = np.array([len(m) for m in maps])
+    low = np.minimum(width[a], width[b])
+    for size in np.unique(low[good]).tolist():
+        mine = np.flatnonzero(good & (low == size))
+        used, at = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+        table = np.stack([np.bitwise_xor.reduce(np.frombuffer(maps[u], np.uint64).reshape(-1, size // 8), axis=0) for u in used.tolist()])
+        for part in np.array_split(np.arange(len(mine)), -(-len(mine) * size // (1 << 24))):
+            apart = np.bitwise_count(table[at[part]] ^ table[at[len(mine) + part]]).sum(axis=1, dtype=np.int64)
+            good[mine[part]] = apart <= most[mine[part]]
+    return good
+
+
+def _open_pairs(cells: DataFrame, labels: DataFrame | None, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All pairs (a, b) of different classes in a bucket, but those whose sizes or parity maps rule a link out.
+
+    A bucket's largest class and the rest are dealt into blocks of about ``block`` nodes;
+    blocks of the largest class meet blocks of the rest, and those meet each other. Pairs
+    are made and ruled out inside a task, so only the few that are left are rows.
+    """
+    here = cells.withColumn("class", F.col("node")) if labels is None else cells.join(labels, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("class"))
+    by_class = here.groupBy("cell", "class").agg(F.count("*").alias("n"))
+    main = by_class.groupBy("cell").agg(F.count("*").alias("classes"), F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("m")).where("classes > 1")
+    parts = lambda n: F.ceil(n / block).cast("int")
+    main = main.select("cell", "classes", F.col("m.class").alias("main"), parts(F.col("m.n")).alias("mains"), parts(F.col("all") - F.col("m.n")).alias("rests"))
+    left = _compact(here.join(main, "cell"), 1_000_000)
+    marks = _marks(sets.join(left.select("node").distinct(), "node", "left_semi"))
+    is_main = F.col("class") == F.col("main")
+    left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    met = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    own = F.col("own")
+    of_main = F.transform(upto("rests"), lambda o: met(0, own, o, F.lit(0)))
+    of_rest = F.transform(upto("mains"), lambda o: met(0, o, own, F.lit(1)))
+    each_other = F.transform(upto("rests"), lambda o: met(1, F.least(own, o), F.greatest(own, o), F.when(o == own, -1).otherwise((own > o).cast("int"))))
+    dealt = F.when(is_main, of_main).when(F.col("classes") > 2, F.concat(of_rest, each_other)).otherwise(of_rest)
+    rows = left.select("cell", "node", "class", F.explode(dealt).alias("to")).select("cell", "node", "class", "to.*")
+    rows = rows.join(marks, "node").repartition("cell", "kind", "i", "j").sortWithinPartitions("cell", "kind", "i", "j", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def made(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            node, kind, side = (t[c].to_numpy() for c in ("node", "class", "side"))
+            runs = np.flatnonzero(np.concatenate(([True], np.isin(np.arange(1, t.num_rows), starts) | (side[1:] != side[:-1]), [True])))
+            group = np.searchsorted(starts, np.arange(t.num_rows), "right") - 1
+            stop = np.append(starts[1:], t.num_rows)[group]
+            begin = np.where(side < 0, np.arange(t.num_rows) + 1, runs[np.searchsorted(runs, np.arange(t.num_rows), "right")])
+            n_pairs = np.maximum(stop - begin, 0)
+            ends = np.cumsum(n_pairs)
+            n, total, plain = t["n"].to_numpy(), t["total"].to_numpy(), t["map"].to_pylist()
+            more = [m or p for m, p in zip(t["more"].to_pylist(), plain, strict=True)]
+            lo = 0
+            while lo < t.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 500_000, "right")))
+                a = np.repeat(np.arange(lo, hi), n_pairs[lo:hi])
+                b = np.arange(len(a)) - np.repeat(ends[lo:hi] - n_pairs[lo:hi] - (ends[lo - 1] if lo else 0), n_pairs[lo:hi]) + begin[a]
+                differ = kind[a] != kind[b]
+                a, b = a[differ], b[differ]
+                good = within_reach(n, plain, a, b, threshold)
+                rest = np.flatnonzero(~good & ((n != total)[a] | (n != total)[b]))
+                good[rest] = within_reach(total, more, a[rest], b[rest], threshold)
+                x, y = node[a[good]], node[b[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                lo = hi
+
+        def groups(t: pa.Table) -> np.ndarray:
+            keys = np.stack([t[c].to_numpy().astype(np.int64) for c in ("cell", "kind", "i", "j")])
+            return np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))) if t.num_rows else np.zeros(0, int)
+
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            starts = groups(t)
+            if len(starts) > 1:  # the last group may go on
+                yield from made(t.slice(0, starts[-1]), starts[:-1])
+                held = t.slice(starts[-1]).to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            if t.num_rows:
+                yield from made(t, groups(t))
+        K.release()
+
+    return rows.mapInArrow(meet, "a long, b long").distinct()
+
+
+def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id and class_id of every row: the least doc_id of its class.
 
     Texts are in one class if equal, or if links of similarity >= 0.8 over shingles of
@@ -188,8 +307,10 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     number. Candidates share a band of their dart signatures (20 bands of 3: a pair at
     0.8 is missed once in 1.7 million). In a bucket every node is compared with one
     centre; then, in up to ``rounds`` rounds, nodes whose bucket still holds another
-    class are compared with two other members of the bucket's largest class, until no
-    new pair is left. So no bucket emits all its pairs.
+    class are compared with two other members of the bucket's largest class. These rounds
+    only join the large families cheaply: at last all pairs of different classes that
+    still share a bucket are compared, but those whose sizes or parity maps show that
+    they can't be similar enough. So no pair of a bucket is left untested.
 
     Texts without words are linked by equality alone. A row with a null id takes the
     class of the equal texts that have ids, else null. Rows that share an id are one
@@ -228,6 +349,12 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
         links = _compact(found if links is None else links.union(found))
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
+    pairs = _open_pairs(cells, labels, sets, threshold, block)
+    pairs = _compact(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    if pairs.limit(1).count():
+        found = _compact(_verified(pairs, sets, threshold))
+        if found.limit(1).count():
+            labels = components(found if links is None else links.union(found))
     ids = signed.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest")
     if labels is None:
         return ids.select("doc_id", F.col("node").alias("class_id"))

@@ -85,3 +85,29 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     labels = {r["node"]: r["label"] for r in near.components(links).collect()}
     assert {labels[i] for i in range(41)} == {0} and labels[101] == 100
+
+
+def test_partner_of_a_single_member_of_a_large_class_is_found(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    core = words(300)
+    rows = [(k, f"{core} {words(6)}") for k in range(120)]
+    rows += [(200 + k, f"{words(75)} {rows[9 * k + 4][1]}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert {c for _, c in want} == {0}
+    for more in ({}, {"rounds": 0, "block": 16}):
+        assert sorted(((r["doc_id"], r["class_id"]) for r in near.near_classes(docs, **more).collect()), key=str) == want
+
+
+def test_maps_leave_no_similar_pair_out():
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**48, int(rng.integers(1, 9000))).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[int(len(base) * rng.random() * 0.3):], rng.integers(0, 2**48, int(len(base) * rng.random() * 0.3)).astype(np.uint64)]))]
+    n, maps = np.array([len(s) for s in sets]), [near.parity_map(s) for s in sets]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    good = near.within_reach(n, maps, a, b, 0.8)
+    same = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert good[same / (n[a] + n[b] - same) >= 0.8].all() and good.mean() < 0.1
