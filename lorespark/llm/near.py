@@ -84,7 +84,11 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, bounds: np.ndarra
 
 
 def _signed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, and the band keys of its signature (none for a text without words)."""
+    """doc_id, digest of the text, and the band keys of its signatures (none for a text without words).
+
+    A text in which shingles repeat has a weighted and a plain signature; elsewhere they
+    are the same. Equal values make equal keys, whichever signature they are of.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = K.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -92,16 +96,23 @@ def _signed_texts(docs: DataFrame) -> DataFrame:
             data, offsets = K.column_bytes(batch.column(1))
             for lo, hi, d, o in K.slices(data, offsets):
                 elements, times, bounds = shingles(d, o)
-                bands = dart_signatures(elements, times, bounds).reshape(-1, BANDS, ROWS)
+                own = np.arange(len(bounds) - 1)
+                twice = own[np.maximum.reduceat(np.append(times, 0), bounds[:-1]) * (np.diff(bounds) > 0) > 1]
+                chosen = np.repeat(np.isin(own, twice), np.diff(bounds))
+                plain = np.concatenate([[0], np.cumsum(np.diff(bounds)[twice])])
+                bands = np.concatenate([dart_signatures(elements, times, bounds), dart_signatures(elements[chosen], np.ones(int(chosen.sum()), np.int64), plain)]).reshape(-1, BANDS, ROWS)
+                order = np.argsort(np.concatenate([own, twice]), kind="stable")
                 keys = salt[None, :].repeat(len(bands), axis=0)
                 for r in range(ROWS):
                     keys = K.mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + bands[:, :, r])
                 some = np.diff(bounds) > 0
-                at = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+                held = np.bincount(twice, minlength=len(own)) + some
+                at = np.concatenate([[0], np.cumsum(held * BANDS)]).astype(np.int32)
+                keys = keys[order][np.repeat(some, np.bincount(np.concatenate([own, twice]), minlength=len(own)))]
                 raw = d.tobytes()
                 digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(K.signed(keys[some].reshape(-1))))],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(K.signed(keys.reshape(-1))))],
                     names=["doc_id", "digest", "bands"],
                 )
         K.release()
@@ -304,8 +315,8 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     Texts are in one class if equal, or if links of similarity >= 0.8 over shingles of
     five words lead from one to the other (similarity: the larger of the weighted and
     the plain Jaccard). Equal texts are one node, the least of their ids, whatever their
-    number. Candidates share a band of their dart signatures (20 bands of 3: a pair at
-    0.8 is missed once in 1.7 million). In a bucket every node is compared with one
+    number. Candidates share a band of their weighted or their plain dart signatures (20
+    bands of 3: a pair at 0.8 in either is missed once in 1.7 million). In a bucket every node is compared with one
     centre; then, in up to ``rounds`` rounds, nodes whose bucket still holds another
     class are compared with two other members of the bucket's largest class. These rounds
     only join the large families cheaply: at last all pairs of different classes that

@@ -111,3 +111,16 @@ def test_maps_leave_no_similar_pair_out():
     good = near.within_reach(n, maps, a, b, 0.8)
     same = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
     assert good[same / (n[a] + n[b] - same) >= 0.8].all() and good.mean() < 0.1
+
+
+def test_plain_copies_of_other_weights_are_found(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(words + words[150:] * 60)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert {c for _, c in want} == set(range(0, 24, 2))
+    assert sorted(((r["doc_id"], r["class_id"]) for r in near.near_classes(docs).collect()), key=str) == want
