@@ -43,7 +43,7 @@ def plain_log10(nodes, order, context, symbol):
 
 
 @pytest.fixture(scope="module")
-def model():
+def model(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcab d") for _ in range(rng.randrange(40))).encode() for _ in range(60)]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
@@ -51,25 +51,25 @@ def model():
     keys = ppm.keys_at(framed, 3)
     own = keys[ppm._own(first, np.diff(offsets), 3, len(keys))]
     assert len(own) == len(data) + len(texts)
-    return texts, ppm.Trie(*K.counted(own), 3)
+    return texts, spark.createDataFrame([(int(k), int(n)) for k, n in zip(*K.counted(own), strict=True)], "key long, n long")
 
 
-def test_probabilities_equal_a_plain_model_and_sum_to_one(model):
-    texts, trie = model
+def test_probabilities_equal_a_plain_model_and_sum_to_one(spark, model):
+    texts, grams = model
     nodes = plain_model(texts, 3)
-    for context in (b"\xff\xff\xff", b"abc", b"zab", b"zzz", b"a d", b"\xff\xffd"):
-        keys = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-        got = trie.log10(keys)
-        assert np.allclose(got, [plain_log10(nodes, 3, context, s) for s in range(256)])
-        assert (10**got).sum() == pytest.approx(1)
+    contexts = (b"\xff\xff\xff", b"abc", b"zab", b"zzz", b"a d", b"\xff\xffd")
+    keys = {int.from_bytes(c + bytes([s]), "big"): (c, s) for c in contexts for s in range(256)}
+    got = {r["key"]: r["logp"] for r in ppm.log10_probabilities(spark.createDataFrame([(k,) for k in keys], "key long"), grams, 3).collect()}
+    assert len(got) == len(keys)
+    for k, (c, s) in keys.items():
+        assert got[k] == pytest.approx(plain_log10(nodes, 3, c, s), abs=1e-9)
+    for c in contexts:
+        assert sum(10 ** got[k] for k, (own, _) in keys.items() if own == c) == pytest.approx(1)
 
 
-def test_pruned_trie_still_sums_to_one(model):
-    trie = model[1]
-    top = trie.levels[3]
-    small = ppm.Trie(top["grams"][top["n"] > 2], top["n"][top["n"] > 2], 3)
-    keys = np.array([int.from_bytes(b"abc" + bytes([s]), "big") for s in range(256)], np.uint64)
-    assert (10 ** small.log10(keys)).sum() == pytest.approx(1)
+def test_no_counts_give_the_uniform_model(spark, model):
+    wanted = spark.createDataFrame([(7,), (300,)], "key long")
+    assert [r["logp"] for r in ppm.log10_probabilities(wanted, model[1].limit(0), 3).collect()] == [pytest.approx(-math.log10(256))] * 2
 
 
 def fields(rows):
@@ -99,14 +99,15 @@ def test_base_fields_equal_brute_force(spark, documents, top):
     assert sum(r["score"] for r in rows if r["held_out"]) < 0
 
 
-def test_score_is_the_texts_code_length(spark, documents):
+@pytest.mark.parametrize("top", [0, 40, 1 << 20])
+def test_score_is_the_texts_code_length(spark, documents, top):
     docs = documents.select("doc_id", "text").limit(40).repartition(2)
     held = [(r["doc_id"], (r["text"] or "")) for r in docs.collect()]
     low = {i: "".join(c.lower() if c.isascii() else c for c in t).encode() for i, t in held}
     nodes = plain_model([t for i, t in low.items() if zlib.crc32(str(i).encode()) % 10], 5)
-    for r in ppm.score(docs).collect()[:6]:
+    for r in ppm.score(docs, top_grams=top).collect()[::6]:
         s = bytes([255] * 5) + low[r["doc_id"]] + b"\xff"
-        assert r["score"] == pytest.approx(sum(plain_log10(nodes, 5, s[i - 5:i], s[i]) for i in range(5, len(s))), rel=1e-9)
+        assert r["score"] == pytest.approx(sum(plain_log10(nodes, 5, s[i - 5:i], s[i]) for i in range(5, len(s))), rel=1e-9, abs=1e-9)
 
 
 def test_awkward_rows(awkward, nothing):
