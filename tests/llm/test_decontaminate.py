@@ -28,7 +28,7 @@ def planted(spark):
         if i % 3 == 0:
             k = rng.randrange(12)
             at = rng.randrange(len(body))
-            part = items[k][1] if i % 2 else items[k][1].upper().replace(" ", "\n")
+            part = items[k][1] if i % 2 else items[k][1].upper().replace(" ", "\n  ")
             body = body[:at] + " " + edited(rng, part, i % 4) + " " + body[at:]
             want.add((i, k))
         docs.append((i, body))
@@ -47,7 +47,7 @@ def test_planted_passages_are_found_and_others_left(spark, planted, block):
     body = dict(docs)
     for r in rows:
         piece = body[r["doc_id"]][r["start"]:r["end"]]
-        assert len(piece) >= 100 and r["distance"] <= 6
+        assert len(piece) >= 60 and r["distance"] <= 3
 
 
 def distance(a, b):
@@ -63,10 +63,10 @@ def distance(a, b):
 
 def test_equals_full_alignment_of_every_window(spark):
     rng = random.Random(4)
-    item = text(rng, 14)[:60]
+    item = text(rng, 20)[:63] + "x"
     docs = [(i, text(rng, 10) + " " + edited(rng, item, i % 9) + " " + text(rng, 10)) for i in range(60)]
     i = D.index([(1, item)])
-    assert len(i.items) == 1 and i.edits[0] == 3
+    assert len(i.item) == 1 and i.edits[0] == 3
     got = {r["doc_id"]: r["distance"] for r in D.find_leaks(*frames(spark, docs, [(1, item)])).collect()}
     want = {d: distance(item, t) for d, t in docs}
     assert got == {d: n for d, n in want.items() if n <= 3}
@@ -76,13 +76,39 @@ def test_awkward_rows(spark, awkward, nothing):
     benchmark = spark.createDataFrame([(1, " ".join(f"common{i % 7}word{i}" for i in range(20, 60)), 5), (None, "w7919 w2916 w48 w7967 w4 and so on", 5), (2, None, None)], "item_id long, text string, doc_id long")
     rows = D.find_leaks(awkward, benchmark).collect()
     assert sorted((r["doc_id"] for r in rows if r["item_id"] == 1), key=str) == sorted([1, 2, 2, None, 9], key=str)
+    rest = " ".join(f"w{i * 7919 % 5003}" for i in range(60_000))[500:600]
+    named = spark.createDataFrame([(None, rest), (-1, "Short\n item"), (-1, "is not one")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in D.find_leaks(awkward, named).collect()] == [(6, None)]
+    short = spark.createDataFrame([(1, " short ITEM"), (2, "a short item")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in D.find_leaks(short, named).collect()] == [(1, -1, 0)]
     left = D.remove_leaks(awkward, benchmark)
-    assert left.columns == awkward.columns and {r["doc_id"] for r in left.collect()} == {3, 4, 5, 6, 7, 8, None}
+    assert left.columns == awkward.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == sorted([3, 4, 5, 6, 7, 7, 8, None], key=str)
+    assert left.where("doc_id is null and text is not null").count() == 0
     assert D.find_leaks(nothing, benchmark).count() == 0 and D.find_leaks(awkward, benchmark.where("false")).count() == 0
+    assert D.remove_leaks(nothing, benchmark).count() == 0 and D.remove_leaks(awkward, benchmark.where("false")).count() == awkward.count()
+
+
+def test_every_quote_of_71_characters_is_found(spark):
+    rng = random.Random(5)
+    item = text(rng, 60)[:233].strip() + "é É"
+    docs = [(at, text(rng, 9) + "\t" + item[at:at + 71].upper().replace(" ", " \n ") + text(rng, 9)) for at in range(0, len(item) - 70, 7)]
+    rows = D.find_leaks(*frames(spark, docs, [(1, item)])).collect()
+    assert {r["doc_id"] for r in rows} == {i for i, _ in docs}
+    body = dict(docs)
+    for r in rows:
+        assert r["distance"] == 0 and " ".join(body[r["doc_id"]][r["start"]:r["end"]].lower().split()) in item.lower()
+
+
+def test_windows_that_hold_each_gram():
+    rng = random.Random(6)
+    i = D.index([(k, text(rng, 30)[:n]) for k, n in enumerate((12, 40, 63, 64, 65, 72, 130))])
+    for place, first, n in zip(i.place.tolist(), i.first.tolist(), i.windows.tolist(), strict=True):
+        own = [w for w in range(len(i.start)) if i.start[w] <= place and place + D.Q <= i.start[w] + i.size[w]]
+        assert own == list(range(first, first + n))
 
 
 def test_common_grams_do_not_part_bands(spark):
     item = "ab " * 40
-    docs = [(1, "x " + item + " y"), (2, "ab " * 3000), (3, "ab " * 20 + "cd " * 60)]
+    docs = [(1, "x " + item + " y"), (2, "ab " * 3000), (3, "ab " * 15 + "cd " * 60)]
     got = {r["doc_id"] for r in D.find_leaks(*frames(spark, docs, [(1, item)])).collect()}
     assert got == {1, 2}
