@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from lorespark.session import cut, table
 
-__all__ = ["cut", "held_out", "small_batches", "table", "texts"]
+__all__ = ["cut", "held_out", "small_batches", "table", "texts", "unused"]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many more marks as it takes to differ from all of the table's own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def held_out(doc_id: Column, folds: int) -> Column:

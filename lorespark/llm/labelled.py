@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm.frames import held_out
 
 FOLDS = 5
+MAX_BYTES = 64 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, extra: tuple[str, ...] = ()) -> pd.DataFrame:
-    """At most ``per_class`` documents of either label, whole texts, and each one's class weight.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, extra: tuple[str, ...] = (), max_bytes: int = MAX_BYTES) -> pd.DataFrame:
+    """At most ``per_class`` documents and half of ``max_bytes`` of text of either label, whole texts, and each one's class weight.
 
     Only rows outside the held-out fold count. Rows are chosen by a hash of their id,
     so the choice depends neither on the table's order nor its partitions. Repeated
-    label rows count once (the largest label); null labels and null ids don't count.
+    label rows count once (the largest label); null labels and null ids don't count. Of
+    rows that share an id, the one with the least text is taken. A text of more than a
+    sixteenth of ``max_bytes`` is not in the sample.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS))
@@ -32,12 +35,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         return known.where((F.col("label") == of) & (place <= F.lit(low))).orderBy(place, "doc_id").limit(per_class)
 
     chosen = first(0).unionByName(first(1))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", *extra).toArrow().to_pandas()  # 2 * per_class ids at most
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 16)  # 2 * per_class ids at most
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(text, *extra)).alias("x")).select("doc_id", "label", "x.*")
+    held = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy(place, "doc_id"))
+    rows = rows.withColumn("held", held).where(F.col("held") <= max_bytes // 2).drop("held").toArrow().to_pandas()
+    rows = rows.sort_values("doc_id").reset_index(drop=True)
     have = rows["label"].value_counts()
     total = sum(share.values()) or 1
     rows["weight"] = [share[x] / total / have[x] * len(rows) for x in rows["label"]]
-    rows["text"] = rows["text"].fillna("")
     return rows
 
 

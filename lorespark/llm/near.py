@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import cut, texts
+from lorespark.llm.frames import cut, texts, unused
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -375,15 +375,22 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the least id.
 
-    Rows with a null id stay where no text with an id is equal to theirs.
+    Rows with a null id stay, one of each text, where no text with an id is equal to theirs;
+    of rows that share an id one with the least text stays. A null text is an empty one.
+    Other columns, of any name, are carried; an empty table stays empty.
     """
     classes = near_classes(docs, threshold)
     kept = cut(classes.where("class_id is null or doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     out = docs.join(kept.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if kept.where("doc_id is not null and n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+        (least,) = unused(docs, "_least")
+        twice = kept.where("n > 1").select("doc_id")
+        lows = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias(least))
+        out = out.join(lows, "doc_id", "left").where(F.col(least).isNull() | (F.coalesce("text", F.lit("")) == F.col(least)))
+        out = out.select(*docs.columns).dropDuplicates(["doc_id"])
     if kept.where("doc_id is null").limit(1).count():
-        known = docs.where("doc_id is not null").select(F.coalesce("text", F.lit("")).alias("text"))
-        alone = docs.where("doc_id is null").withColumn("_t", F.coalesce("text", F.lit("")))
-        out = out.unionByName(alone.join(known.withColumnRenamed("text", "_t"), "_t", "left_anti").dropDuplicates(["_t"]).drop("_t"))
+        (same,) = unused(docs, "_same")
+        known = docs.where("doc_id is not null").select(F.coalesce("text", F.lit("")).alias(same))
+        alone = docs.where("doc_id is null").withColumn(same, F.coalesce("text", F.lit("")))
+        out = out.unionByName(alone.join(known, same, "left_anti").dropDuplicates([same]).select(*docs.columns))
     return out

@@ -6,10 +6,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lorespark.llm import kernels as K
 from lorespark.llm.frames import cut, texts
@@ -34,6 +34,9 @@ _LOWER[65:91] += 32
 
 _loaded: dict[int, "Pieces"] = {}
 
+# A text by which a vocabulary shows whether its tokenizer parts words as ``parted`` does.
+_PROBE = "Hello, WORLD 12345 don't it's (a_b-c) x9y É ñandú Öl ß × ÷ … 日本語 😀 <|startoftext|> mixed\u00a0space end.!? ##a  b\tc\nd"
+
 
 def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes; starts, ends and oddness of the pieces of all texts; and each text's first piece.
@@ -69,7 +72,11 @@ def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Pieces:
-    """Ids of pieces, by hash, remembered up to a bound; new ones go to the tokenizer in one call."""
+    """Ids of pieces, by hash, remembered up to a bound; new ones go to the tokenizer in one call.
+
+    A tokenizer that does not part words as ``parted`` does (shown by a probe when it is
+    loaded, or by ids that don't part) gets whole texts instead.
+    """
 
     def __init__(self, tokenizer: object):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -80,10 +87,18 @@ class Pieces:
         vocabulary = tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kind = np.uint16 if len(self.last) <= 1 << 16 else np.uint32
+        self.whole = False
+        self.clear()
+        words = _PROBE.split()
+        probe = [_PROBE, *words, *[w.upper() for w in words], ""]
+        data, offsets = K.column_bytes(pa.array(probe))
+        flat, bounds = self.token_ids(data, offsets)
+        self.whole = self.whole or any(flat[bounds[k]:bounds[k + 1]].tolist() != tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(probe))
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.hashes, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, self.kind)
         self.old, self.new, self.n_old = K.KeyTable(self.hashes), K.KeyTable(self.hashes), 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -99,11 +114,12 @@ class Pieces:
         ids = np.array(self.bare.encode_batch_fast([" ".join([texts_[i] for i in plain.tolist()])], add_special_tokens=False)[0].ids, dtype=np.int64)
         stops = np.flatnonzero(self.last[ids]) + 1
         if len(stops) != len(plain):
-            raise RuntimeError("ids don't part into the pieces")
-        flat, sizes = [ids.astype(np.uint16)], [np.diff(np.concatenate([[0], stops]))]
+            self.whole = True
+            return
+        flat, sizes = [ids.astype(self.kind)], [np.diff(np.concatenate([[0], stops]))]
         for i in np.flatnonzero(odd).tolist():
             own = self.tokenizer.encode(texts_[i], add_special_tokens=False).ids
-            flat.append(np.array(own, np.uint16))
+            flat.append(np.array(own, self.kind))
             sizes.append(np.array([len(own)]))
         self.hashes = np.concatenate([self.hashes, hashes[plain], hashes[odd]])
         self.sizes, self.flat = np.concatenate([self.sizes, *sizes]), np.concatenate([self.flat, *flat])
@@ -114,9 +130,11 @@ class Pieces:
 
     def token_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and each text's bounds; without end ids."""
+        if self.whole:
+            return self._encoded(data, offsets)
         low, start, stop, odd, bounds = parted(data, offsets)
         if not len(start):
-            return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
         hashes = K.word_hashes(low, start, stop) ^ odd.astype(np.uint64)
         at = self.find(hashes)
         if (at < 0).any():
@@ -128,6 +146,8 @@ class Pieces:
             first = miss[first]
             raw = low.tobytes()
             self.learn(fresh, [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)], odd[first])
+            if self.whole:
+                return self._encoded(data, offsets)
             at[miss] = self.find(hashes[miss])
         size = self.sizes[at]
         run = np.cumsum(size)
@@ -135,6 +155,13 @@ class Pieces:
         return ids, np.concatenate([[0], run])[bounds]
 
 
+    def _encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts_ = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        made = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+        return np.concatenate([*made, np.zeros(0, self.kind)]), np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int64)
+
+
 def cuts(n: int, window: int = WINDOW, piece: int = PIECE) -> list[tuple[int, int]]:
     """(start, length): whole windows, then pieces of the rest."""
     full = n - n % window
@@ -169,7 +196,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
                 rows: list[tuple] = []
                 flat, bounds = pieces.token_ids(d, o)
                 for k, doc_id in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
-                    ids = np.append(flat[bounds[k]:bounds[k + 1]], np.uint16(END_ID)).astype("<u4")
+                    ids = np.append(flat[bounds[k]:bounds[k + 1]], END_ID).astype("<u4")
                     for start, length in cuts(len(ids), window, piece):
                         raw = ids[start:start + length].tobytes()
                         rows.append((doc_id, start, length, zlib.crc32(raw), len(ids), raw if with_ids else None))
@@ -239,17 +266,18 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, piece: int
     ``group_rows`` by their place in the checkpointed table, so copies or one long
     document can't fill a group; each group is partitioned by differencing.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
-    A null id is carried; an empty table gives no sequence.
+    A null id is carried; a null or empty text is a piece of the end id alone; repeated rows
+    are packed each; no other column is read. An empty table gives no sequence. ``ids``
+    are little-endian unsigned 32-bit numbers.
     """
     pieces = cut(tokenized_pieces(docs, tokenizer_path, window, piece, with_ids))
     total = pieces.count()
     groups = max(1, -(-total // group_rows))
-    numbered = pieces.withColumn("_place", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_place"), F.lit(groups)).cast("int"))
-    small = numbered.select("_place", "_group", "length", "doc_id", "start")
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "_place"], ascending=[False, True, True, True], kind="stable")
-        length = rows["length"].to_numpy()
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        length = t["length"].to_numpy()
         whole = int((length >= window).sum())
         at = np.concatenate([np.arange(whole), whole + fill(length[whole:], window)])
         order = np.argsort(at, kind="stable")
@@ -257,7 +285,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, piece: int
         first = np.concatenate(([True], np.diff(at[order]) != 0))
         offset = np.empty(len(at), np.int64)
         offset[order] = run - np.maximum.accumulate(np.where(first, run, 0))
-        return pd.DataFrame({"_place": rows["_place"].to_numpy(), "sequence_id": int(key[0]) * (1 << 20) + at, "offset": offset})
+        t = t.drop_columns(["_group"])
+        return t.append_column("sequence_id", pa.array(key[0].as_py() * (1 << 20) + at, pa.int64())).append_column("offset", pa.array(offset))
 
-    placed = small.groupBy("_group").applyInPandas(one, "_place long, sequence_id long, offset long")
-    return numbered.drop("_group").join(placed, "_place").drop("_place")
+    fields = [*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]
+    return pieces.withColumn("_group", dealt).groupBy("_group").applyInArrow(one, StructType(fields))

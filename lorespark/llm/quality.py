@@ -186,5 +186,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document.
+
+    A null id is not held out; a null text is empty and scores by its statistics alone;
+    repeated rows score alike; without labels of both kinds every document scores their
+    share (a half with none); an empty table gives no rows.
+    """
     model = fit(docs, labels)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "score", "predicted")

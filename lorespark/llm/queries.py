@@ -20,7 +20,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = shard.shard_rows(shard.digests(table(spark, sf_dir, "documents")), SHARDS)
+    made = shard.sharded_documents(table(spark, sf_dir, "documents"), SHARDS)
     return made.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
@@ -49,7 +49,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=True)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,8 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
-def url_sql(s: urls.Settings = urls.DEFAULT) -> str:
-    """The same tree in SQL: one pair of steps for each level."""
+def url_sql(s: urls.Settings = urls.DEFAULT, levels: int = 12) -> str:
+    """The same tree in SQL, for paths of at most ``levels`` segments: one pair of steps for each level."""
     parts = [
         rf"""p0 AS (SELECT page_id, CASE WHEN coalesce(strpos(url, '://'), 0) > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p1 AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM p0),
@@ -87,20 +87,20 @@ p2 AS (SELECT page_id, translate(h, '{urls.UPPER}', '{urls.LOWER}') AS host, reg
 p3 AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE
   WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z]+)?$') THEN '{{n}}'
   WHEN regexp_matches(x, '^[0-9a-fA-F]*[0-9][0-9a-fA-F]*$') AND length(x) >= 8 THEN '{{x}}' ELSE x END) AS al FROM p2),
-pg AS (SELECT page_id, host, path, list_concat(al[1:{s.depth}], CASE WHEN len(al) > {s.depth} THEN ['{{**}}'] ELSE [] END) AS segments FROM p3),
+pg AS (SELECT page_id, host, path, al AS segments FROM p3),
 lb AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 t0 AS (SELECT host, segments, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bad, '' AS template FROM pg LEFT JOIN lb USING (page_id) GROUP BY host, segments)"""
     ]
-    for k in range(1, s.depth + 1):
+    for k in range(1, levels + 1):
         parts.append(
-            f"""h{k} AS (SELECT *, segments[{k}] AS segment FROM t{k - 1}),
-n{k} AS (SELECT host, template, segment, sum(n) AS n_b, sum(lab) AS lab_b, sum(bad) AS bad_b FROM h{k} WHERE segment IS NOT NULL GROUP BY ALL),
-q{k} AS (SELECT host, template, sum(lab_b) AS lab_p, sum(bad_b) AS bad_p, count(*) AS children FROM n{k} GROUP BY ALL),
-s{k} AS (SELECT host, template, segment, CASE WHEN children > 1 AND ((children > {s.many_children} AND n_b < {s.rare_pages}) OR CASE
+            f"""h{k} AS MATERIALIZED (SELECT *, segments[{k}] AS segment FROM t{k - 1}),
+n{k} AS MATERIALIZED (SELECT host, template, segment, sum(n) AS n_b, sum(lab) AS lab_b, sum(bad) AS bad_b FROM h{k} WHERE segment IS NOT NULL GROUP BY ALL),
+q{k} AS MATERIALIZED (SELECT host, template, sum(lab_b) AS lab_p, sum(bad_b) AS bad_p, count(*) AS children FROM n{k} GROUP BY ALL),
+s{k} AS MATERIALIZED (SELECT host, template, segment, CASE WHEN children > 1 AND ((children > {s.many_children} AND n_b < {s.rare_pages}) OR CASE
   WHEN lab_b = 0 OR lab_p - lab_b = 0 THEN true WHEN bad_p = 0 OR bad_p = lab_p THEN true
   ELSE abs(bad_b / lab_b::DOUBLE - (bad_p - bad_b) / (lab_p - lab_b)::DOUBLE) < {s.z} * sqrt(bad_p / lab_p::DOUBLE * (1 - bad_p / lab_p::DOUBLE) * (1 / lab_b::DOUBLE + 1 / (lab_p - lab_b)::DOUBLE)) END)
   THEN '*' ELSE segment END AS step FROM n{k} JOIN q{k} USING (host, template)),
-t{k} AS (SELECT h.host, h.segments, h.n, h.lab, h.bad, CASE WHEN step IS NULL THEN h.template ELSE h.template || '/' || step END AS template
+t{k} AS MATERIALIZED (SELECT h.host, h.segments, h.n, h.lab, h.bad, CASE WHEN step IS NULL THEN h.template ELSE h.template || '/' || step END AS template
   FROM h{k} h LEFT JOIN s{k} s ON h.host = s.host AND h.template = s.template AND h.segment = s.segment)"""
         )
     rules = sorted(urls.RULES, key=lambda r: -len(r[1]))
@@ -108,7 +108,7 @@ t{k} AS (SELECT h.host, h.segments, h.n, h.lab, h.bad, CASE WHEN step IS NULL TH
     rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in rules)
     ruled = " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in rules)
     parts.append(
-        f"""tt AS (SELECT host, segments, lab, bad, CASE WHEN len(segments) > {s.depth} THEN template || '/{{**}}' ELSE template END AS template FROM t{s.depth}),
+        f"""tt AS (SELECT host, segments, lab, bad, template FROM t{levels}),
 ov AS (SELECT coalesce(sum(bad) / nullif(sum(lab), 0)::DOUBLE, 0.0) AS overall FROM tt),
 pu AS (SELECT host, template, (sum(bad) + {s.prior_weight} * any_value(overall)) / (sum(lab) + {s.prior_weight}) AS purity FROM tt, ov GROUP BY host, template)"""
     )

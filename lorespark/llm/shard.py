@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from lorespark.llm.frames import cut, texts
+from lorespark.llm.frames import cut, small_batches, unused
 
 _NUMPY_LIMIT = 10**9
 
@@ -72,13 +73,13 @@ def matrix_row(part: int, sizes: np.ndarray, capacity: np.ndarray, seed: int) ->
     return left
 
 
-def shard_rows(df: DataFrame, n_shards: int, seed: int = 17, rows_per_block: int = 1 << 16) -> DataFrame:
+def shard_rows(df: DataFrame, n_shards: int, seed: int = 17, rows_per_block: int = 1 << 14) -> DataFrame:
     """A uniform random permutation of all rows, dealt into shards of exact sizes.
 
     Adds ``shard`` (0..n-1; row counts at most one apart, the first shards have the
     extra rows) and ``slot`` (gapless from 0 in each shard). Columns of these names
-    are replaced; others, nulls and repeated rows are carried as they are. An empty
-    table gives an empty table.
+    are replaced; all others, of any name, nulls, long texts and repeated rows are carried
+    as they are. An empty table gives an empty table.
 
     Three steps: an exact count of rows from every partition to every block of a
     shard is drawn (hypergeometric), every partition permutes its own rows by
@@ -88,7 +89,8 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 17, rows_per_block: int
     checkpoint first, as the draw and the deal must see the same partitions; the
     seeds then make a lost task's second run deal the same labels.
     """
-    fixed = cut(df.drop("shard", "slot", "_block", "_ticket"))
+    fixed = cut(small_batches(df).drop("shard", "slot"))
+    block, ticket, place = unused(fixed, "_block", "_ticket", "_place")
     parts = fixed.rdd.getNumPartitions()
     sizes = np.zeros(parts, np.int64)
     for p, n in fixed.groupBy(F.spark_partition_id().alias("p")).count().collect():  # one row for each partition
@@ -112,27 +114,31 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 17, rows_per_block: int
             at += batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(mine), pa.array(tickets.integers(0, 2**63 - 1, len(mine), dtype=np.int64))],
-                names=[*batch.schema.names, "_block", "_ticket"],
+                names=[*batch.schema.names, block, ticket],
             )
         if at < len(labels):
             raise RuntimeError("a partition has fewer rows than were counted")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed.schema.fields)
-    dealt = fixed.mapInArrow(deal, f"{fields}, _block int, _ticket long")
-    within = F.row_number().over(Window.partitionBy("_block").orderBy("_ticket"))
-    shard = F.floor(F.col("_block") / F.lit(blocks)).cast("int")
+    fields = StructType([*fixed.schema.fields, StructField(block, IntegerType()), StructField(ticket, LongType())])
+    dealt = fixed.mapInArrow(deal, fields)
+    within = F.row_number().over(Window.partitionBy(block).orderBy(ticket))
+    shard = F.floor(F.col(block) / F.lit(blocks)).cast("int")
     rows = F.lit(small).cast("long") + (shard < extra).cast("long")
-    base = F.floor(rows * (F.col("_block") % blocks) / F.lit(blocks)).cast("long")
-    return dealt.withColumn("_n", within).select(
-        *[F.col(f"`{c}`") for c in fixed.columns], shard.alias("shard"), (base + F.col("_n") - 1).alias("slot")
-    )
+    base = F.floor(rows * (F.col(block) % blocks) / F.lit(blocks)).cast("long")
+    return dealt.withColumn(place, within).select(*[F.col(f"`{c}`") for c in fixed.columns], shard.alias("shard"), (base + F.col(place) - 1).alias("slot"))
+
 
+def sharded_documents(docs: DataFrame, n_shards: int) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard and slot of all documents, which are dealt with their texts.
 
-def digests(docs: DataFrame) -> DataFrame:
-    raw = F.col("text").cast("binary")
-    return texts(docs).select(
-        "doc_id",
+    A null text has size 1 and checksum 0; equal texts have equal digests, but any shard.
+    """
+    dealt = shard_rows(docs, n_shards)
+    return dealt.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
-        F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.lit("rows").alias("law"),
+        "shard",
+        "slot",
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import cut, texts
+from lorespark.llm.frames import cut, texts, unused
 
 WORDS = 50
 GRAM = 10
@@ -317,20 +317,21 @@ def remove_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
     """The documents with their repeated spans taken out of ``text``; one of which nothing is left goes.
 
-    A text that loses nothing stays as it is, to the byte; the other columns, n_chars
-    too where the text changed, follow.
+    A text that loses nothing stays as it is, to the byte; n_chars, where there is such a
+    column, follows a changed text. Nulls, empty and short texts and rows with a null id
+    stay; repeated rows lose alike; other columns, of any name, are carried; an empty
+    table stays empty.
     """
-    spans = repeated_spans(docs, length).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "stop")).alias("_spans"))
+    own_id, own_key, own_spans = unused(docs, "_id", "_key", "_spans")
+    spans = repeated_spans(docs, length).groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.collect_set(F.struct("first", "stop")).alias(own_spans))
     key = F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": key})
-    spans = spans.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    joined = rows.join(spans, ["_id", "_key"], "left")
-    text = _kept_text()(F.col("text"), F.col("_spans"))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text)).where("_spans is null or text <> ''")
+    joined = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_key: key}).join(spans, [own_id, own_key], "left")
+    text, same = _kept_text()(F.col("text"), F.col(own_spans)), F.col(own_spans).isNull()
+    out = joined.withColumn("text", F.when(same, F.col("text")).otherwise(text)).where(same | (F.col("text") != ""))
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(size))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(size))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _kept_text() -> object:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from lorespark.llm import kernels as K
 from lorespark.llm.frames import held_out, small_batches, texts
@@ -20,6 +21,7 @@ PREFIXES = (4, 5, 6)
 SEGMENT = 64
 CHUNK = 4096
 CHAIN_BYTES = 6 << 20
+SUSPECT = 0.25
 
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
@@ -31,6 +33,7 @@ class Model:
     weights: np.ndarray  # one for each hashed feature
     trans: np.ndarray  # log-potentials, from row to column
     beta: np.ndarray  # document score from the marginals
+    fitted: bool = True  # labels of both kinds were there
 
 
 def token_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,13 +128,17 @@ def _weak_tokens(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np
 
 
 def _document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Of each document: largest marginal, log of the expected toxic tokens, their share, length."""
+    """Of each document: largest marginal, log of the expected toxic tokens among those suspected, their share, length.
+
+    Tokens below SUSPECT count nothing, so that a long text of unknown words, each a little
+    likely, does not add up to a toxic one.
+    """
     n = np.diff(bounds)
     top = np.zeros(len(n))
     some = n > 0
     if some.any():
         top[some] = np.maximum.reduceat(p, bounds[:-1][some])
-    total = K.per_row_sums(p, bounds)
+    total = K.per_row_sums(np.where(p >= SUSPECT, p, 0.0), bounds)
     return np.column_stack([top, np.log1p(total), total / np.maximum(n, 1), np.log1p(n) / 10])
 
 
@@ -148,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
         share = toxic.mean() if len(toxic) else 0.5
         model.beta[-1] = np.log((share + 0.02) / (1.02 - share))
         model.weights -= 10
+        model.fitted = False
         return model
     data, offsets = K.column_bytes(pa.array(rows.pop("text")))
     features, words = [], []
@@ -193,19 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1), ``predicted``, ``n_spans`` and ``spans`` to every row.
-
-    ``spans`` lists, as "start-end" in characters of the text, the runs of words whose
-    marginal is a half or more. A null or empty text has no token and scores what a
-    text without toxic words and of no length scores. Columns of these names are
-    replaced; repeated rows get equal values; an empty table stays empty.
-    """
+def _judged(docs: DataFrame, model: Model, text_column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
+    """A task's function: parts of its batches with each row's score, number of spans and spans."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.trans, model.beta))  # 2 ** BITS weights
-    docs = small_batches(docs).drop("score", "predicted", "n_spans", "spans")
     text_at = docs.columns.index(text_column)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
         weights, trans, beta = shared.value
         for batch in batches:
             data, offsets = K.column_bytes(batch.column(text_at))
@@ -221,17 +222,50 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_column: str
                 bounds = np.concatenate([[0], np.cumsum(np.concatenate(n_words))])
                 p = marginals(emission, bounds, trans)
                 x = np.column_stack([_document_features(p, bounds), np.ones(hi - lo)]) @ beta
-                made = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-                n_spans, spans = _spans(d, o, p, starts, ends, bounds)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(made), pa.array((made >= threshold).astype(np.int32)), pa.array(n_spans), pa.array(spans)],
-                    names=[*part.schema.names, "score", "predicted", "n_spans", "spans"],
-                )
+                yield batch.slice(lo, hi - lo), 1 / (1 + np.exp(-np.clip(x, -30, 30))), *_spans(d, o, p, starts, ends, bounds)
         K.release()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(judge, f"{fields}, score double, predicted int, n_spans int, spans string")
+    return judge
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+    """Adds ``score`` (0 to 1), ``predicted``, ``n_spans`` and ``spans`` to every row.
+
+    ``spans`` lists, as "start-end" in characters of the text, the runs of words whose
+    marginal is a half or more. A null or empty text has no token and scores what a
+    text without toxic words and of no length scores. Columns of these names are
+    replaced; repeated rows get equal values; an empty table stays empty.
+    """
+    docs = small_batches(docs).drop("score", "predicted", "n_spans", "spans")
+    judge = _judged(docs, model, text_column)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, made, n_spans, spans in judge(batches):
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(made), pa.array((made >= threshold).astype(np.int32)), pa.array(n_spans), pa.array(spans)],
+                names=[*part.schema.names, "score", "predicted", "n_spans", "spans"],
+            )
+
+    more = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("n_spans", IntegerType()), StructField("spans", StringType())]
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, *more]))
+
+
+def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows that score below ``threshold``, as they are, whatever their columns are called.
+
+    Where the model could not be fitted, for want of labels of both kinds, nothing is
+    known to be toxic and every row stays. Null and empty texts have no toxic token and
+    stay; repeated rows go or stay together; an empty table stays empty.
+    """
+    if not model.fitted:
+        return docs
+    judge = _judged(small_batches(docs), model, "text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, made, _, _ in judge(batches):
+            yield part.filter(pa.array(made < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray, p: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[str]]:
@@ -255,7 +289,12 @@ def _spans(data: np.ndarray, offsets: np.ndarray, p: np.ndarray, starts: np.ndar
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and the spans of every document."""
+    """doc_id, held_out, score, predicted and the spans of every document.
+
+    A null id is not held out; a null or empty text scores what a text of no words does;
+    repeated rows score alike; without labels of both kinds every document scores their
+    share (a half with none); an empty table gives no rows. No other column is read.
+    """
     model = fit(docs, labels)
     return score(texts(docs), model).select(
         "doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "score", "predicted", "n_spans", "spans"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 3  # levels of the tree; what lies deeper is one common tail
     many_children: int = 20  # a node with more literal children than this ...
     rare_pages: int = 5  # ... generalises those with fewer pages
     z: float = 1.96  # branches are merged unless their labels differ by this
@@ -55,13 +55,10 @@ def segment_class(segment: Column) -> Column:
     )
 
 
-def parsed_pages(pages: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def parsed_pages(pages: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     segments = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), segment_class)
-    tail = F.when(F.size("all") > s.depth, F.array(F.lit("{**}"))).otherwise(F.array().cast("array<string>"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("all", segments)
-    return rows.select("page_id", "host", "path", F.concat(F.slice("all", 1, s.depth), tail).alias("segments"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("segments", segments)
 
 
 def template_tree(pages: DataFrame, labels: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -71,20 +68,25 @@ def template_tree(pages: DataFrame, labels: DataFrame, s: Settings = DEFAULT) ->
     in a node of many literal children the rare ones become one wildcard branch, and
     so do branches whose share of bad labels does not differ from that of the node's
     other pages (two-proportion z). A template's purity is its share of bad labels,
-    smoothed towards the overall share. Everything is aggregated by key with partial
-    sums; a host with a third of all pages is a matter of its distinct paths only.
+    smoothed towards the overall share. It goes on until no node holds two paths any
+    more; the rest of a path that is alone in its node is literal. Everything is
+    aggregated by key with partial sums; a host with a third of all pages is a matter of
+    its distinct paths only.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("page_id"), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int").alias("bad"))
     known = known.where("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    rows = parsed_pages(pages, s).join(known, "page_id", "left")
+    rows = parsed_pages(pages).join(known, "page_id", "left")
     sums = [F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")]
-    tree = cut(rows.groupBy("host", "segments").agg(*sums).withColumn("template", F.lit("")))
-    for level in range(1, s.depth + 1):
-        segment = F.try_element_at("segments", F.lit(level))
-        here = tree.withColumn("segment", segment)
-        nodes = here.where("segment is not null").groupBy("host", "template", "segment").agg(*[F.sum(c).alias(f"{c}_b") for c in ("n", "lab", "bad")])
-        parents = nodes.groupBy("host", "template").agg(*[F.sum(f"{c}_b").alias(f"{c}_p") for c in ("n", "lab", "bad")], F.count("*").alias("children"))
-        branches = nodes.join(parents, ["host", "template"])
+    todo = cut(rows.groupBy("host", "segments").agg(*sums).withColumn("template", F.lit("")))
+    done, level = [], 0
+    while todo.limit(1).count():
+        level += 1
+        here = todo.withColumn("segment", F.try_element_at("segments", F.lit(level)))
+        nodes = here.groupBy("host", "template", "segment").agg(*[F.sum(c).alias(f"{c}_b") for c in ("n", "lab", "bad")], F.count("*").alias("paths"))
+        deeper = nodes.where("segment is not null")
+        parents = deeper.groupBy("host", "template").agg(*[F.sum(f"{c}_b").alias(f"{c}_p") for c in ("n", "lab", "bad")], F.count("*").alias("children"))
+        alone = nodes.groupBy("host", "template").agg((F.sum("paths") == 1).alias("alone"))
+        branches = deeper.join(parents, ["host", "template"]).join(alone, ["host", "template"])
         rest = F.col("lab_p") - F.col("lab_b")
         share = F.col("bad_p") / F.col("lab_p")
         error = F.sqrt(share * (1 - share) * (1 / F.col("lab_b") + 1 / rest))
@@ -92,14 +94,17 @@ def template_tree(pages: DataFrame, labels: DataFrame, s: Settings = DEFAULT) ->
         alike = F.when((F.col("lab_b") == 0) | (rest == 0), F.lit(True)).when(F.col("bad_p").isin(0) | (F.col("bad_p") == F.col("lab_p")), F.lit(True)).otherwise(F.abs(gap) < s.z * error)
         rare = (F.col("children") > s.many_children) & (F.col("n_b") < s.rare_pages)
         merged = (F.col("children") > 1) & (rare | alike)
-        step = branches.select("host", "template", "segment", F.when(merged, F.lit("*")).otherwise(F.col("segment")).alias("step"))
+        step = branches.select("host", "template", "segment", "alone", F.when(merged, F.lit("*")).otherwise(F.col("segment")).alias("step"))
         moved = here.join(step, ["host", "template", "segment"], "left")
-        template = F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))
-        tree = cut(moved.select("host", "segments", "n", "lab", "bad", template.alias("template")))
+        literal = F.concat(F.lit("/"), F.array_join(F.slice("segments", level, F.size("segments")), "/"))
+        ended = F.col("step").isNull() | F.col("alone") | (F.size("segments") <= level)
+        template = F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.when(F.col("alone"), literal).otherwise(F.concat(F.lit("/"), "step"))))
+        moved = cut(moved.select("host", "segments", "n", "lab", "bad", template.alias("template"), ended.alias("ended")))
+        done.append(moved.where("ended").drop("ended"))
+        todo = moved.where("not ended").drop("ended")
+    tree = reduce(DataFrame.unionAll, done) if done else todo
     total = tree.agg(F.sum("bad").alias("bad"), F.sum("lab").alias("lab")).first()
     overall = (total["bad"] / total["lab"]) if total["lab"] else 0.0
-    template = F.when(F.size("segments") > s.depth, F.concat("template", F.lit("/{**}"))).otherwise(F.col("template"))
-    tree = tree.withColumn("template", template)
     purity = tree.groupBy("host", "template").agg(((F.sum("bad") + s.prior_weight * F.lit(overall)) / (F.sum("lab") + s.prior_weight)).alias("purity"))
     return tree.select("host", "segments", "template").join(purity, ["host", "template"])
 
@@ -114,6 +119,6 @@ def judged_pages(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, st
     """
     tree = template_tree(pages, labels, s)
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
-    rows = parsed_pages(pages, s).join(tree, ["host", "segments"], "left")
+    rows = parsed_pages(pages).join(tree, ["host", "segments"], "left")
     found = F.when(F.col("purity") >= s.reject, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, found).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

@@ -78,3 +78,14 @@ def test_pieces_equal_the_tokenizer(tokenizer):
     flat, bounds = pack.Pieces(tokenizer).token_ids(data, offsets)
     for k, t in enumerate(texts):
         assert flat[bounds[k]:bounds[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_another_tokenizer_gets_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)} | {"?": 70_000}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(str(tmp_path / "t.json"))
+    docs = spark.createDataFrame([(1, "w5 w69999 W5"), (2, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in pack.pack(docs, str(tmp_path / "t.json"), with_ids=True).collect()}
+    assert rows == {1: [5, 69_999, 70_000, 1], 2: [1]}

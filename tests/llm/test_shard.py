@@ -7,7 +7,7 @@ from lorespark.llm import shard
 
 def test_sizes_and_slots_are_exact(spark, documents):
     for block in (1 << 16, 10):
-        rows = shard.shard_rows(shard.digests(documents.repartition(5)), 8, rows_per_block=block).collect()
+        rows = shard.shard_rows(documents.repartition(5), 8, rows_per_block=block).collect()
         held = {}
         for r in rows:
             held.setdefault(r["shard"], []).append(r["slot"])
@@ -17,7 +17,7 @@ def test_sizes_and_slots_are_exact(spark, documents):
 
 
 def test_awkward_rows(awkward, nothing):
-    rows = shard.shard_rows(shard.digests(awkward), 8).collect()
+    rows = shard.sharded_documents(awkward, 8).collect()
     assert len(rows) == awkward.count()
     for r in rows:
         if r["doc_id"] == 3:
@@ -28,6 +28,22 @@ def test_awkward_rows(awkward, nothing):
     assert shard.shard_rows(awkward, 3).columns == [c for c in awkward.columns if c not in ("shard", "slot")] + ["shard", "slot"]
 
 
+def test_columns_and_texts_are_carried(awkward):
+    own = awkward.selectExpr("*", "key as _n", "key as _block", "key as _ticket", "text as `a b`")
+    made = shard.shard_rows(own, 3)
+    assert made.drop("shard", "slot").exceptAll(own.drop("shard", "slot")).count() == 0 and made.count() == own.count()
+
+
+def test_dealt_rows_are_uniform(spark):
+    rows = spark.range(12).repartition(3)
+    seen = np.zeros((12, 12))
+    for seed in range(120):
+        for r in shard.shard_rows(rows, 2, seed=seed, rows_per_block=3).collect():
+            seen[r["id"], 6 * r["shard"] + r["slot"]] += 1
+    # 120 draws over 12 places: chi-square of 121 degrees of freedom, far tail
+    assert (seen.sum(axis=0) == 120).all() and ((seen - 10) ** 2 / 10).sum() < 190
+
+
 def test_matrix_has_the_given_margins():
     sizes, capacity = np.array([5, 0, 9, 2, 4]), np.array([7, 7, 6])
     m = np.array([shard.matrix_row(p, sizes, capacity, 3) for p in range(5)])

@@ -82,6 +82,34 @@ def test_without_labels(spark, awkward, nothing):
     assert toxicity.scored_documents(nothing, labels).count() == 0
 
 
+def test_nothing_is_removed_without_a_model(spark, awkward, nothing):
+    docs, labels = corpus(spark)
+    for known in (labels.where("false"), labels.where("toxic = 0"), labels.where("toxic = 1")):
+        assert toxicity.remove_toxic(docs, toxicity.fit(docs, known)).count() == docs.count()
+    model = toxicity.fit(docs, labels)
+    left = toxicity.remove_toxic(docs.selectExpr("*", "7 as score", "8 as predicted", "'x' as spans", "9 as n_spans"), model)
+    assert left.where("score <> 7 or predicted <> 8 or spans <> 'x' or n_spans <> 9").count() == 0
+    assert {r["doc_id"] for r in left.collect()} == {i for i in range(600) if i % 3}
+    assert toxicity.remove_toxic(awkward, model).count() == awkward.count() and toxicity.remove_toxic(nothing, model).count() == 0
+
+
+def test_repeated_rows_and_long_texts_do_not_swell_the_sample(spark):
+    from lorespark.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"b{k}") for k in range(50)] + [(2, "x" * 5000), (3, None), (4, "four"), (6, "six")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 10, max_bytes=16 * 1000)
+    held = {r["doc_id"]: r["text"] for _, r in rows.iterrows()}
+    assert held.items() <= {1: "b0", 3: "", 4: "four", 6: "six"}.items() and 2 not in held and len(held) >= 2
+
+
+def test_held_out_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.scored_documents(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.95
+
+
 def test_words_are_trimmed():
     data, offsets = K.column_bytes(pa.array(["«Ab», !! x", None, ""]))
     _, s, e, bounds = toxicity.token_features(data, offsets)

@@ -38,3 +38,16 @@ def test_impure_templates_are_blocked_and_variables_generalised(spark):
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urls.judged_pages(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_deep_segments_part_templates(spark, awkward, nothing):
+    pages = [(i, f"http://h.com/a/b/c/d/{'spam' if i % 2 else 'good'}/{i}x/end") for i in range(80)] + [(900, "http://h.com/a/b/c/d/e/f/g/h/1/j/k/l/m/n"), (901, "http://h.com/a"), (902, "http://h.com/a/b")]
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    made = {r["page_id"]: r for r in urls.judged_pages(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()}
+    assert {made[i]["template"] for i in range(80)} == {"/a/b/c/d/spam/*/end", "/a/b/c/d/good/*/end"}
+    assert all(made[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(80))
+    assert made[900]["template"] == "/a/b/c/d/*/f/g/h/{n}/j/k/l/m/n" and made[901]["template"] == "/a" and made[902]["template"] == "/a/b"
+    odd = awkward.selectExpr("doc_id as page_id", "text as url", "1 as template", "'x' as segments", "0 as alone", "text as host", "1 as rule", "2 as bad")
+    rows = urls.judged_pages(odd, labels).collect()
+    assert len(rows) == awkward.count() and all(r["host"] == "" for r in rows)
+    assert urls.judged_pages(nothing.selectExpr("doc_id as page_id", "text as url"), labels).count() == 0
