@@ -16,7 +16,7 @@ from lorespark.llm.frames import cut, texts, unused
 
 WORDS = 50
 GRAM = 10
-HOT_ROWS = 4096
+HOT_ROWS = 1024
 
 
 class Automaton:
@@ -127,21 +127,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row for each different run of a document, with all places (``firsts``) where it begins."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _, _, _, bounds, words in _words(batch.column(1)):
                 doc, least, content, first, n = _minimizer_runs(words, bounds, length, gram)
-                part = batch.slice(lo, hi - lo)
+                order = np.lexsort((first, content, least, doc))
+                doc, least, content, first, n = (x[order] for x in (doc, least, content, first, n))
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (content[1:] != content[:-1]) | (least[1:] != least[:-1])
+                heads = np.flatnonzero(new)
+                firsts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(doc)).astype(np.int32)), pa.array(first.astype(np.int32)))
+                part, doc = batch.slice(lo, hi - lo), pa.array(doc[heads])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(least)), pa.array(K.signed(content)), part.column(0).take(pa.array(doc)), part.column(2).take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["key", "content_key", "doc_id", "text_key", "first", "n"],
+                    [pa.array(K.signed(least[heads])), pa.array(K.signed(content[heads])), part.column(0).take(doc), part.column(2).take(doc), firsts, pa.array(n[heads].astype(np.int32))],
+                    names=["key", "content_key", "doc_id", "text_key", "firsts", "n"],
                 )
         K.release()
 
-    return keyed.mapInArrow(emit, "key long, content_key long, doc_id long, text_key long, first int, n int")
+    return keyed.mapInArrow(emit, "key long, content_key long, doc_id long, text_key long, firsts array<int>, n int")
 
 
-_CONTENT = "key long, doc_id long, text_key long, first int, content binary"
+_CONTENT = "key long, doc_id long, text_key long, firsts array<int>, content binary"
 _REMOVED = "doc_id long, text_key long, first int, stop int"
 
 
@@ -160,11 +168,11 @@ def _contents(wanted: DataFrame, length: int, each_window: bool) -> DataFrame:
                     own = words[bounds[i]:bounds[i + 1]]
                     hashes = K.run_hashes(own, length) if each_window else None
                     for run in runs[i]:
-                        first, n = run["first"], run["n"]
+                        firsts, n = run["firsts"], run["n"]
                         if each_window:
-                            rows += [(int(h), ids[i], keys[i], first + k, b"") for k, h in enumerate(hashes[first:first + n].view(np.int64))]
+                            rows += [(h, ids[i], keys[i], [f + k for f in firsts], b"") for k, h in enumerate(hashes[firsts[0]:firsts[0] + n].view(np.int64).tolist())]
                         else:
-                            rows.append((run["key"], ids[i], keys[i], first, own[first:first + n + length - 1].tobytes()))
+                            rows.append((run["key"], ids[i], keys[i], firsts, own[firsts[0]:firsts[0] + n + length - 1].tobytes()))
                     if len(rows) > 20_000:
                         yield _batch(rows)
                         rows = []
@@ -173,13 +181,13 @@ def _contents(wanted: DataFrame, length: int, each_window: bool) -> DataFrame:
         K.release()
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc_id", "text_key", "first", "content"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc_id", "text_key", "firsts", "content"])
 
     return wanted.mapInArrow(emit, _CONTENT)
 
 
-def _removed_in_group(rows: list[tuple[int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
+def _removed_in_group(rows: list[tuple[int, int, list[int], bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
     """(doc_id, text_key, first word, stop) of what one shard's automaton removes from the runs that were sent to it."""
     least: dict[bytes, int] = {}
     for doc_id, _, _, content in rows:
@@ -193,18 +201,20 @@ def _removed_in_group(rows: list[tuple[int, int, int, bytes]], length: int) -> I
             shard.add(lists[content], doc_id)
         shard.finish()
         where = {c: np.array(shard.first_documents(w, length)) for c, w in lists.items()}
-    for doc_id, text_key, first, content in rows:
+    for doc_id, text_key, firsts, content in rows:
         n = len(content) // 8 - length + 1
         found = where[content]
         if found is None:
             if least[content] < doc_id:
-                yield doc_id, text_key, first, first + n + length - 1
+                for first in firsts:
+                    yield doc_id, text_key, first, first + n + length - 1
             continue
         hit = np.flatnonzero(found < doc_id)
         if len(hit):
             breaks = np.flatnonzero(np.diff(hit) > 1)
             for a, b in zip(np.append(hit[0], hit[breaks + 1]).tolist(), np.append(hit[breaks], hit[-1]).tolist(), strict=True):
-                yield doc_id, text_key, first + a, first + b + length
+                for first in firsts:
+                    yield doc_id, text_key, first + a, first + b + length
 
 
 def _match_shards(contents: DataFrame, length: int) -> DataFrame:
@@ -249,10 +259,11 @@ def repeated_spans(docs: DataFrame, length: int = WORDS, gram: int = GRAM, hot_r
     Where a shard is left with several different runs, their words make a suffix
     automaton whose states know the least document; streaming the runs through it
     gives the matching statistics, and windows matched in full by a smaller document
-    are removed. A shard of more than ``hot_rows`` different runs (the edges of a
-    passage of very many documents) is not gathered in one task: its windows are dealt
-    anew, each by its own words, and the least document is found by a pre-aggregated
-    minimum.
+    are removed. However often a document repeats a run, the run travels once, with its
+    places, so a shard has one row for each of its different runs. A shard of more than
+    ``hot_rows`` of them (the edges of a passage of very many documents) is not gathered
+    in one task: its windows are dealt anew, each by its own words, and the least document
+    is found by a pre-aggregated minimum.
     """
     keyed = _judged(docs)
     runs = _runs(keyed, length, gram)
@@ -260,16 +271,18 @@ def repeated_spans(docs: DataFrame, length: int = WORDS, gram: int = GRAM, hot_r
     shards = contents.groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("first_low"), F.max("high").alias("last_high"))
     shards = shards.where("first_low < last_high").select("key", "kinds")
     followed = runs.join(contents.join(shards, "key").select("key", "content_key", "low", "kinds"), ["key", "content_key"]).where("low < doc_id or kinds > 1")
-    followed = cut(followed.select("key", "doc_id", "text_key", "first", "n", (F.col("low") < F.col("doc_id")).alias("whole"), (F.col("kinds") > hot_rows).alias("hot")))
-    copies = followed.where("whole").select("doc_id", "text_key", "first", (F.col("first") + F.col("n") + (length - 1)).cast("int").alias("stop"))
-    own = followed.where("not whole").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "first", "n", "hot")).alias("all"))
+    followed = cut(followed.select("key", "doc_id", "text_key", "firsts", "n", (F.col("low") < F.col("doc_id")).alias("whole"), (F.col("kinds") > hot_rows).alias("hot")))
+    copies = followed.where("whole").select("doc_id", "text_key", "n", F.explode("firsts").alias("first"))
+    copies = copies.select("doc_id", "text_key", "first", (F.col("first") + F.col("n") + (length - 1)).cast("int").alias("stop"))
+    own = followed.where("not whole").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "firsts", "n", "hot")).alias("all"))
     both = keyed.join(own, ["doc_id", "text_key"])
     cool = both.select("doc_id", "text_key", "text", F.filter("all", lambda x: ~x["hot"]).alias("runs")).where(F.size("runs") > 0)
     hot = both.select("doc_id", "text_key", "text", F.filter("all", lambda x: x["hot"]).alias("runs")).where(F.size("runs") > 0)
     by_shard = _match_shards(_contents(cool, length, False), length)
     windows = _contents(hot, length, True).drop("content")
     least = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    by_window = windows.join(least, "key").where("low < doc_id").select("doc_id", "text_key", "first", (F.col("first") + length).cast("int").alias("stop"))
+    by_window = windows.join(least, "key").where("low < doc_id").select("doc_id", "text_key", F.explode("firsts").alias("first"))
+    by_window = by_window.select("doc_id", "text_key", "first", (F.col("first") + length).cast("int").alias("stop"))
     return copies.union(by_shard).union(by_window)
 
 

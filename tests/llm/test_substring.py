@@ -46,6 +46,8 @@ def corpus(seed, n=60):
             if rng.random() < 0.5 and words:
                 words[rng.randrange(len(words))] = f"e{rng.randrange(99)}"
         rows.append((i, " ".join(words)))
+    often = " ".join(passages[0] + passages[1])
+    rows += [(n + 4, f"{often} head " * 3), (n + 5, f"tail {often} " * 5)]
     rows += [(n, "same " * 130), (n + 1, "same " * 90), (n + 2, rows[3][1]), (n + 3, rows[3][1])]
     rng.shuffle(rows)
     return rows
