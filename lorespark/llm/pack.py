@@ -172,7 +172,8 @@ def cuts(n: int, window: int = WINDOW, piece: int = PIECE) -> list[tuple[int, in
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, piece: int = PIECE, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and the ids where asked for.
 
-    A null or empty text has the end id alone. Repeated rows give repeated pieces.
+    A null or empty text has the end id alone. Repeated rows give repeated pieces. Ids have
+    two bytes each where the vocabulary has no more than 65,536, else four.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # one vocabulary file, whatever the data
@@ -196,10 +197,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
                 rows: list[tuple] = []
                 flat, bounds = pieces.token_ids(d, o)
                 for k, doc_id in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
-                    ids = np.append(flat[bounds[k]:bounds[k + 1]], END_ID).astype("<u4")
+                    ids = np.append(flat[bounds[k]:bounds[k + 1]], pieces.kind(END_ID))
+                    raw_ids = ids.astype("<u4")
                     for start, length in cuts(len(ids), window, piece):
-                        raw = ids[start:start + length].tobytes()
-                        rows.append((doc_id, start, length, zlib.crc32(raw), len(ids), raw if with_ids else None))
+                        own = ids[start:start + length].tobytes() if with_ids else None
+                        rows.append((doc_id, start, length, zlib.crc32(raw_ids[start:start + length].tobytes()), len(ids), own))
                 made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
                 yield pa.RecordBatch.from_arrays(made[:5 + with_ids], names=names[:5 + with_ids])
         K.release()
@@ -286,6 +288,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, piece: int
         offset = np.empty(len(at), np.int64)
         offset[order] = run - np.maximum.accumulate(np.where(first, run, 0))
         t = t.drop_columns(["_group"])
+        if with_ids:
+            held, size = t["ids"].combine_chunks(), int(length.sum())
+            raw = b"".join(held.to_pylist())
+            flat = np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u4").astype("<u4")
+            bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32).tobytes())
+            t = t.set_column(t.schema.get_field_index("ids"), "ids", pa.Array.from_buffers(pa.binary(), len(t), [None, bounds, pa.py_buffer(flat.tobytes())]))
         return t.append_column("sequence_id", pa.array(key[0].as_py() * (1 << 20) + at, pa.int64())).append_column("offset", pa.array(offset))
 
     fields = [*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())]
