@@ -25,8 +25,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x / n))
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x / n)))
+    return scaled[0]  # a list of one holds the norm, so that it is made once
 
 
 def embedding_broken(a: Column, dim: int) -> Column:
@@ -71,6 +71,17 @@ def hmac_sha256(key: str) -> Column:
     return sign
 
 
+def signature_ok(key: str) -> Column:
+    """A function of a text and its signature: whether the signature is the text's for this key, compared in constant time."""
+
+    @F.pandas_udf("boolean")
+    def check(text: pd.Series, signature: pd.Series) -> pd.Series:
+        made = (hmac.new(key.encode(), (t or "").encode(), hashlib.sha256).hexdigest() for t in text)
+        return pd.Series([hmac.compare_digest(m.encode(), (s or "").encode()) for m, s in zip(made, signature, strict=True)], dtype=bool)
+
+    return check
+
+
 def bucket_and_sign(hashed: Column, dim: int) -> tuple[Column, Column]:
     """Which component a token adds to, and with which sign (its top bit)."""
     return hashed % dim, F.when(hashed >= 2**31, -1).otherwise(1)

@@ -90,6 +90,23 @@ def chunk_rows(docs: DataFrame, how: str, size: int, overlap: int = 0) -> DataFr
     return docs.select("id", "body").mapInPandas(emit, "id string, at int, chunk string")
 
 
+def passages(docs: DataFrame, size: int = 800, overlap: int = 80) -> DataFrame:
+    """Documents of type "chunk", titled <source>#<n>, of the texts of ``docs``: what an index holds of them."""
+    name = F.concat("id", F.lit("#"), F.col("at").cast("string"))
+    return chunk_rows(docs, "recursive", size, overlap).select(
+        name.alias("id"), F.lit("chunk").alias("doc_type"), name.alias("title"), F.lit(None).cast("string").alias("author"), F.col("chunk").alias("body"),
+        F.create_map(F.lit("source"), F.col("id")).alias("metadata"), F.lit(100).alias("confidence"),
+    )
+
+
+def replace_passages(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The store with these passages in place of all that it had of their sources."""
+    sources = new.select(F.col("metadata")["source"].alias("_source")).distinct()
+    held = F.when(F.col("doc_type") == "chunk", F.col("metadata")["source"])
+    kept = store.withColumn("_source", held).join(sources, "_source", "left_anti").drop("_source")
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
 # -- extraction ---------------------------------------------------------------
 
 
@@ -288,7 +305,10 @@ def arithmetic(text: str) -> tuple[str, str | None]:
     """The first false "A op B = C" of whole numbers; parts of longer terms, grouped or decimal numbers don't count."""
     found = False
     for m in _EQUATION.finditer(text):
-        if re.search(r"[+\-*/][ \t]*$", text[max(0, m.start() - 80):m.start()]):
+        at = m.start()
+        while at and text[at - 1] in " \t":
+            at -= 1
+        if at and text[at - 1] in "+-*/":
             continue
         a, op, b, c = int(m[1]), m[2], int(m[3]), int(m[4] + m[5])
         if op == "/" and (b == 0 or a % b):

@@ -9,9 +9,11 @@ from lorespark.session import cut
 
 
 def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """Later rows win by id; confidence is at most 100."""
+    """New rows win by id, of several with one id the one of highest confidence, then least label; confidence is at most 100."""
     kept = nodes.join(new.select("id"), "id", "left_anti")
-    return kept.unionByName(new.withColumn("confidence", F.least("confidence", F.lit(100))).select(*nodes.columns))
+    rest = [c for c in nodes.columns if c != "id"]
+    one = new.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("confidence", -F.xxhash64("label"), "label")).alias("n")).select("id", "n.*")
+    return kept.unionByName(one.withColumn("confidence", F.least("confidence", F.lit(100)).cast(nodes.schema["confidence"].dataType)).select(*nodes.columns))
 
 
 def bump_confidence(nodes: DataFrame, seen: DataFrame) -> DataFrame:
@@ -20,6 +22,22 @@ def bump_confidence(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     return nodes.join(best, "id", "left").withColumn("confidence", F.least(F.greatest("confidence", "_seen"), F.lit(100))).select(*nodes.columns)
 
 
+def reinforce(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds what was found (name, label, kind, confidence) to the nodes, which are known by their lower-cased labels.
+
+    A known node keeps its fields but the larger confidence; an unknown name becomes the
+    node "entity:<name>". Adds ``change``: "added", "reinforced" or null.
+    """
+    best = found.groupBy("name").agg(F.max("confidence").alias("seen"), F.max_by(F.struct("label", "kind"), "confidence").alias("f"))
+    known = nodes.withColumn("name", F.lower("label")).join(best.select("name", "seen"), "name", "left")
+    confidence = F.least(F.greatest("confidence", "seen"), F.lit(100)).cast(nodes.schema["confidence"].dataType)
+    old = known.select(*[confidence.alias(c) if c == "confidence" else F.col(c) for c in nodes.columns], F.when(F.col("seen").isNotNull(), F.lit("reinforced")).alias("change"))
+    fresh = best.join(nodes.select(F.lower("label").alias("name")), "name", "left_anti")
+    values = {"id": F.concat(F.lit("entity:"), "name"), "kind": F.col("f.kind"), "label": F.col("f.label"), "confidence": F.least("seen", F.lit(100))}
+    made = [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in nodes.schema.fields]
+    return old.unionByName(fresh.select(*made, F.lit("added").alias("change")))
+
+
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the nodes of ``gone`` (id) and all edges that touch them."""
     ids = gone.select("id").distinct()
@@ -51,11 +69,16 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(live, "id", "left").select("id", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-def bfs(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int = 64) -> DataFrame:
-    """id and least number of hops of all nodes that outgoing edges lead to from ``start`` (id); without the start."""
+def bfs(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """id and least number of hops of all nodes that outgoing edges lead to from ``start`` (id); without the start.
+
+    It ends when nothing new is reached, or after ``max_hops`` where that is asked for.
+    """
     seen = cut(start.select("id").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         reached = edges.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         frontier = cut(reached.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.limit(1).count():
@@ -79,14 +102,16 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str]
     links = cut(live.groupBy("src", "dst").agg(F.count("*").alias("n"))).repartition(parts, "src").persist()
     out = links.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("out"))
     state = cut(teleport.join(out, "id", "left").select(*by, "id", "tp", "out", F.col("tp").alias("rank")))
+    own = state.select(*by, "id", "tp")  # rows of a rank or a teleport above 0 are kept, no others
     for _ in range(iterations):
         sent = links.join(state.where("out is not null and rank > 0").select(*by, F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share")), "src")
         got = sent.groupBy(*by, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("n")).alias("got"))
         # one number for each query: the mass that stands on nodes without links
         lost = state.groupBy(*by).agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
-        new = state.join(got, [*by, "id"], "left")
+        both = got.withColumn("tp", F.lit(0.0)).unionByName(own.withColumn("got", F.lit(0.0)))
+        new = both.groupBy(*by, "id").agg(F.sum("got").alias("got"), F.sum("tp").alias("tp")).join(out, "id", "left")
         new = new.join(F.broadcast(lost), by) if by else new.crossJoin(F.broadcast(lost))
-        rank = (1 - damping) * F.col("tp") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("tp"))
+        rank = (1 - damping) * F.col("tp") + damping * (F.col("got") + F.col("lost") * F.col("tp"))
         state = cut(new.select(*by, "id", "tp", "out", rank.alias("rank")))
     links.unpersist()
     return state.select(*by, "id", "rank")
@@ -99,14 +124,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
 
 def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 30) -> DataFrame:
-    """query_id, id and rank for every query of ``seeds`` (query_id, id); seeds that are no nodes don't count."""
+    """query_id, id and rank for every query of ``seeds`` (query_id, id), of all nodes with a rank; seeds that are no nodes don't count.
+
+    The mass of nodes without links goes back to the seeds, so a query has rows only for
+    what its seeds lead to, not for every node.
+    """
     present = seeds.join(nodes.select("id"), "id", "left_semi")
     size = present.groupBy("query_id").agg(F.count("*").alias("n"))
     shares = present.dropDuplicates(["query_id", "id"]).join(size, "query_id").select("query_id", "id", (F.lit(1.0) / F.col("n")).alias("share"))
-    queries = size.select("query_id")  # one row for each query of the batch
-    every = nodes.select("id").crossJoin(F.broadcast(queries))
-    teleport = every.join(shares, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("share", F.lit(0.0)).alias("tp"))
-    return _rank(nodes, edges, teleport, ["query_id"], damping, iterations)
+    return _rank(nodes, edges, shares.withColumnRenamed("share", "tp"), ["query_id"], damping, iterations)
 
 
 def central_nodes(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
@@ -152,14 +178,50 @@ def merge_edges(sides: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     return out.distinct()
 
 
-def version_log(versions: DataFrame, head: int, limit: int = 1000) -> DataFrame:
-    """version_id and depth of a version and its ancestors (version_id, parent): one lookup for each step back."""
-    spark = versions.sparkSession
-    out, at = [], head
-    while at is not None and len(out) < limit:
-        row = versions.where(F.col("version_id") == at).select("version_id", "parent").first()
-        if row is None:
-            break
-        out.append((row["version_id"], len(out)))
-        at = row["parent"]
-    return spark.createDataFrame(out, "version_id long, depth int")
+def version_log(versions: DataFrame, head: int) -> DataFrame:
+    """version_id and depth of a version and all its ancestors (version_id, parent), by doubled pointers: log2(depth) rounds.
+
+    A parent that is no version ends the log; a circle of parents is an error.
+    """
+    known = versions.select(F.col("version_id").cast("long").alias("version_id"), F.col("parent").cast("long").alias("parent")).dropDuplicates(["version_id"])
+    n = known.count()
+    up = cut(known.join(known.select(F.col("version_id").alias("parent")), "parent", "left_semi").select(F.col("version_id").alias("at"), F.col("parent").alias("to")))
+    seen = cut(known.where(F.col("version_id") == head).select("version_id", F.lit(0).alias("depth")))
+    reach = 1
+    while True:
+        more = seen.join(up, seen["version_id"] == up["at"]).select(F.col("to").alias("version_id"), (F.col("depth") + reach).alias("depth"))
+        longer = cut(seen.unionByName(more))
+        if longer.count() == seen.count():
+            return seen
+        if longer.count() > n:
+            raise ValueError("the versions' parents form a circle")
+        seen, reach = longer, reach * 2
+        up = cut(up.alias("a").join(up.alias("b"), F.col("a.to") == F.col("b.at")).select("a.at", "b.to"))
+
+
+def commit_version(versions: DataFrame, refs: DataFrame, branch: str, version_id: int) -> tuple[DataFrame, DataFrame]:
+    """A new version on a branch, whose tip is its parent; the branch (name, version_id) moves to it."""
+    tip = refs.where(F.col("name") == branch).agg(F.max("version_id").alias("parent"))
+    new = tip.select(F.lit(version_id).cast("long").alias("version_id"), F.col("parent").cast("long").alias("parent"))
+    moved = versions.sparkSession.createDataFrame([(branch, version_id)], "name string, version_id long")
+    return versions.unionByName(new), refs.where(F.col("name") != branch).unionByName(moved)
+
+
+def create_branch(refs: DataFrame, name: str, at: str) -> DataFrame:
+    """A branch of this name at the tip of another; a branch of that name is moved."""
+    return refs.where(F.col("name") != name).unionByName(refs.where(F.col("name") == at).select(F.lit(name).alias("name"), "version_id"))
+
+
+def checkout(rows: DataFrame, versions: DataFrame, refs: DataFrame, branch: str) -> DataFrame:
+    """What a branch's tip holds of versioned rows (id, version_id, ...): of each id the row of the nearest version in its log."""
+    tip = refs.where(F.col("name") == branch).agg(F.max("version_id")).first()[0]
+    if tip is None:
+        return rows.limit(0)
+    near = rows.join(version_log(versions, tip), "version_id")
+    rest = [c for c in rows.columns if c != "id"]
+    return near.groupBy("id").agg(F.min_by(F.struct(*rest), "depth").alias("r")).select("id", "r.*").select(*rows.columns)
+
+
+def merge_report(merged: DataFrame) -> DataFrame:
+    """added, conflicts and total of what ``merge_nodes`` returned: one row."""
+    return merged.agg(F.count_if("added").alias("added"), F.count_if("conflict").alias("conflicts"), F.count("*").alias("total"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import classify_intent, permits, trim
+from lorespark.functions.vectors import cosine
+from lorespark.operators.retrieval import embed
+from lorespark.session import cut
 
 TARGET_LATENCY_MS = 50
 
@@ -80,8 +85,8 @@ def evaluate_policy(requests: DataFrame, grants: DataFrame, rules: DataFrame) ->
     rules: action, attribute_key, attribute_value, deny. Grants are joined by role.
     """
     attributes = requests.select("request_id", "action", F.explode("attributes").alias("attribute_key", "attribute_value"))
-    hit = attributes.join(F.broadcast(rules), ["action", "attribute_key", "attribute_value"]).groupBy("request_id").agg(F.bool_or("deny").alias("denied"), F.bool_or(~F.col("deny")).alias("allowed"))
-    roles = requests.select("request_id", "action", F.explode("roles").alias("role")).join(F.broadcast(grants), "role")
+    hit = attributes.join(rules, ["action", "attribute_key", "attribute_value"]).groupBy("request_id").agg(F.bool_or("deny").alias("denied"), F.bool_or(~F.col("deny")).alias("allowed"))
+    roles = requests.select("request_id", "action", F.explode("roles").alias("role")).join(grants, "role")
     granted = roles.where(permits(F.col("permission"), F.col("action"))).select("request_id").distinct().withColumn("granted", F.lit(True))
     out = requests.join(hit, "request_id", "left").join(granted, "request_id", "left")
     yes = ~F.coalesce("denied", F.lit(False)) & (F.coalesce("allowed", F.lit(False)) | F.coalesce("granted", F.lit(False)))
@@ -117,23 +122,54 @@ def consensus(reflections: DataFrame, by: str) -> DataFrame:
     return means.join(best, by).select(by, "score", "n_hints", "majority_hint", (F.col("most") / F.col("total")).alias("agreement"))
 
 
+def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """Adds ``n``, the place (from 0) of each row among those of its ``by``, in ``order``.
+
+    A group may hold most of all rows: rows are parted by ranges of (by, order), numbered
+    within a part, and each part starts after the counts of the parts before it.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, by, order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(by, "_part").agg(F.count("*").alias("_size"))  # a row for each part and group
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("_part", by).orderBy(order)) - 1
+    placed = ranged.withColumn("_within", within).join(sizes.withColumn("_before", before), [by, "_part"])
+    return placed.withColumn("n", F.col("_within") + F.col("_before")).drop("_part", "_within", "_before", "_size")
+
+
+def canonical_message(nonce: Column, timestamp_ms: Column) -> Column:
+    """The text of a message that is signed: id, source, destination, msg_type, priority, body, graph_id, memory_ref, nonce and time."""
+    own = [F.col(c).cast("string") for c in ("id", "source", "destination", "msg_type")]
+    rest = [F.initcap("priority"), F.col("body"), F.coalesce("graph_id", F.lit("")), F.coalesce("memory_ref", F.lit(""))]
+    return F.array_join(F.array(*own, *rest, nonce.cast("string"), timestamp_ms.cast("string")), "|", "")
+
+
 def inbox_order(messages: DataFrame) -> DataFrame:
-    """Adds the place in which a destination receives its messages: by priority, then first in first out."""
+    """Adds the place in which a destination receives its messages: by priority, then first in first out.
+
+    One destination's messages are sorted by one task, which spills what does not fit.
+    """
     weight = F.when(F.col("priority") == "critical", 3).when(F.col("priority") == "high", 2).when(F.col("priority") == "normal", 1).otherwise(0)
     return messages.withColumn("place", F.row_number().over(Window.partitionBy("destination").orderBy(weight.desc(), "seq")))
 
 
 def round_robin(messages: DataFrame, providers: DataFrame) -> DataFrame:
-    """Adds the provider: the n-th message of a capability goes to provider n modulo their number."""
+    """Adds the provider: the n-th message of a capability goes to provider n modulo their number.
+
+    One capability may have most of the messages; see ``numbered``.
+    """
     order = Window.partitionBy("capability").orderBy("position")
-    numbered = providers.withColumn("k", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(Window.partitionBy("capability")))
-    sizes = numbered.select("capability", "size").distinct()
-    turn = messages.withColumn("n", F.row_number().over(Window.partitionBy("capability").orderBy("seq")) - 1).join(F.broadcast(sizes), "capability")
-    return turn.withColumn("k", F.col("n") % F.col("size")).drop("size").join(F.broadcast(numbered.select("capability", "k", F.col("id").alias("provider"))), ["capability", "k"]).drop("k", "n")
+    listed = providers.withColumn("k", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(Window.partitionBy("capability")))
+    turn = numbered(messages, "capability", "seq").join(listed.select("capability", "size").distinct(), "capability")
+    return turn.withColumn("k", F.col("n") % F.col("size")).drop("size").join(listed.select("capability", "k", F.col("id").alias("provider")), ["capability", "k"]).drop("k", "n")
 
 
 def replay_states(events: DataFrame, moves: tuple = TASK_MOVES, start: str = "created") -> DataFrame:
-    """task, state, attempts, rejected: an ordered log (task, seq, wanted) through the legal transitions."""
+    """task, state, attempts, rejected: an ordered log (task, seq, wanted) through the legal transitions.
+
+    A task's log is one array of short words; a life cycle's length bounds it. A log
+    without end is replayed by the stream of ``lorespark.streaming.jobs.state_changes``.
+    """
     legal = F.array(*[F.lit(f"{a}>{b}") for a, b in moves])
     wanted = events.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "wanted"))), lambda x: x["wanted"]).alias("log"))
     zero = F.struct(F.lit(start).alias("state"), F.lit(0).alias("attempts"), F.lit(0).alias("rejected"))
@@ -149,6 +185,23 @@ def recency(age: Column, decay: float = 0.9) -> Column:
     return F.pow(F.lit(min(max(decay, 0.0), 1.0)), F.greatest(age, F.lit(0)))
 
 
+def recalled(memories: DataFrame, questions: DataFrame) -> DataFrame:
+    """Adds ``relevance`` to memories (session, seq, text, ...): the cosine of their and their session's question's embeddings, 0 at least."""
+    key = F.struct(F.col("session"), F.col("seq"))
+    own = embed(memories.select(key.alias("id"), "text")).select("id.session", "id.seq", "embedding")
+    asked = embed(questions.select(F.col("session").alias("id"), F.col("question").alias("text"))).select(F.col("id").alias("session"), F.col("embedding").alias("q"))
+    near = own.join(asked, "session").select("session", "seq", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("embedding"), F.col("q")))), 9).alias("relevance"))
+    return memories.drop("text").join(near, ["session", "seq"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+
+
+def record(history: DataFrame, new: DataFrame) -> DataFrame:
+    """A session history (session, seq, ...) with new records (session, at, ...) behind it, numbered on from each session's last number in the order of ``at``."""
+    last = history.groupBy("session").agg(F.max("seq").alias("_last"))
+    order = F.row_number().over(Window.partitionBy("session").orderBy("at"))
+    made = new.withColumn("_n", order).join(last, "session", "left").withColumn("seq", F.coalesce("_last", F.lit(0)) + F.col("_n"))
+    return history.unionByName(made.drop("at", "_n", "_last"))
+
+
 def recall(memories: DataFrame, k: int, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """The best ``k`` memories of each session (session, seq, importance, relevance): normalised recency, importance and relevance."""
     w = Window.partitionBy("session")
@@ -161,15 +214,29 @@ def recall(memories: DataFrame, k: int, weights: tuple[float, float, float] = (1
     return scored.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "seq"))).where(F.col("place") <= k)
 
 
-def dag_levels(steps: DataFrame, deps: DataFrame, max_levels: int = 64) -> DataFrame:
-    """workflow, step, level: the longest path of dependencies before each step, level by level."""
-    from lorespark.session import cut
+def dag_levels(steps: DataFrame, deps: DataFrame) -> DataFrame:
+    """workflow, step, level: the longest path of dependencies before each step.
 
-    level = cut(steps.join(deps.select("workflow", "step").distinct(), ["workflow", "step"], "left_anti").select("workflow", "step", F.lit(0).alias("level")))
-    out, at = level, level
-    for n in range(1, max_levels + 1):
-        at = cut(deps.join(at.select("workflow", F.col("step").alias("dep")), ["workflow", "dep"]).select("workflow", "step").distinct().withColumn("level", F.lit(n)))
+    A step is placed in the round after its last dependency, so each is placed once; the
+    rounds end when no step becomes free. A workflow in which steps are left then has a
+    circle (or waits for a step that it does not have): all its levels are null.
+    """
+    own = steps.select("workflow", "step").distinct()
+    waiting = cut(deps.select("workflow", "step", "dep").distinct().join(own, ["workflow", "step"], "left_semi"))
+    at = cut(own.join(waiting, ["workflow", "step"], "left_anti").withColumn("level", F.lit(0)))
+    placed, level = [at], 0
+    while True:
+        level += 1
+        done = at.select("workflow", F.col("step").alias("dep"))
+        freed = waiting.join(done, ["workflow", "dep"], "left_semi").select("workflow", "step").distinct()
+        left = cut(waiting.join(done, ["workflow", "dep"], "left_anti"))
+        at = cut(freed.join(left, ["workflow", "step"], "left_anti").withColumn("level", F.lit(level)))
         if not at.limit(1).count():
             break
-        out = out.union(at)
-    return out.groupBy("workflow", "step").agg(F.max("level").alias("level"))
+        placed.append(at)
+        waiting = left
+    levels = reduce(DataFrame.unionAll, placed)
+    if not waiting.limit(1).count():
+        return levels
+    stuck = waiting.select("workflow").distinct()
+    return levels.join(stuck, "workflow", "left_anti").unionByName(own.join(stuck, "workflow", "left_semi").withColumn("level", F.lit(None).cast("int")))

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import contains_any, max_hops, s_stem, snippet, tokens
-from lorespark.functions.vectors import cosine
+from lorespark.functions.text import contains_any, embedder_tokens, max_hops, s_stem, snippet, tokens
+from lorespark.functions.vectors import bucket_and_sign, cosine, fnv1a_32, l2_normalize
 from lorespark.operators import graph as G
 
 K1, B, DELTA, TITLE_BOOST = 1.5, 0.75, 1.0, 2
@@ -51,22 +51,18 @@ def idf(n: Column, df: Column) -> Column:
 def keyword_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """BM25+ hits. A document of confidence 0 stays, with score 0.
 
-    Only postings of the queries' terms are shuffled: the terms of a batch, a small
-    table, are joined before anything is grouped. A document's length comes with its
-    postings, so texts are tokenized once.
+    Only postings of the queries' terms are shuffled: terms that no query has are dropped
+    by a semi-join before anything is grouped, and the plan does not grow with the batch.
+    A document's length comes with its postings; the mean length takes a pass of its own.
     """
     terms = query_terms(queries)
-    wanted = [r["term"] for r in terms.select("term").distinct().collect()]  # the words of the batch's questions
-    if not wanted:
-        wanted = [""]
     all_tokens = docs.select("id", tokens(F.col("title")).alias("t"), tokens(F.col("body")).alias("b"))
-    keep = lambda x: F.filter(x, lambda w: w.isin(*wanted))
-    narrow = all_tokens.select("id", (F.size("t") + F.size("b")).alias("dl"), keep(F.col("t")).alias("t"), keep(F.col("b")).alias("b"))
-    stats = docs.select((F.size(tokens(F.col("title"))) + F.size(tokens(F.col("body")))).alias("dl")).agg(F.count("*").alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    weighted = narrow.select("id", "dl", F.explode(F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(TITLE_BOOST).alias("w"))), F.transform("b", lambda w: F.struct(w.alias("term"), F.lit(1).alias("w"))))).alias("x"))
-    tf = weighted.groupBy("id", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    stats = document_stats(docs).agg(F.count("*").alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    entry = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    weighted = all_tokens.select("id", (F.size("t") + F.size("b")).alias("dl"), F.explode(F.concat(entry("t", TITLE_BOOST), entry("b", 1))).alias("x")).select("id", "dl", "x.*")
+    tf = weighted.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))
+    scored = tf.join(df, "term").join(terms, "term").crossJoin(stats)  # one row of totals
     part = (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) + DELTA
     total = scored.groupBy("query_id", "id").agg(F.sum(F.col("times") * idf(F.col("n_docs"), F.col("df")) * part).alias("raw")).where("raw > 0")
     out = total.join(docs.select("id", "title", "confidence", snippet(F.col("body")).alias("snippet")), "id")
@@ -74,8 +70,8 @@ def keyword_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def vector_hits(vectors: DataFrame, query_vectors: DataFrame, docs: DataFrame | None = None, threshold: float = VECTOR_THRESHOLD) -> DataFrame:
-    """Exact cosine hits of ``vectors`` (id, embedding) for a batch of query vectors, which is sent to all tasks."""
-    pairs = vectors.crossJoin(F.broadcast(query_vectors.select("query_id", F.col("embedding").alias("q"))))
+    """Exact cosine hits of ``vectors`` (id, embedding) for a stated batch of query vectors, in full."""
+    pairs = vectors.crossJoin(query_vectors.select("query_id", F.col("embedding").alias("q")))
     near = pairs.withColumn("sim", cosine(F.col("q"), F.col("embedding"))).where(F.col("sim") >= threshold).select("query_id", "id", "sim")
     if docs is None:
         return near
@@ -90,20 +86,20 @@ def graph_hits(nodes: DataFrame, edges: DataFrame, queries: DataFrame, ranks: Da
     """
     ranks = G.pagerank(nodes, edges) if ranks is None else ranks
     words = nodes.select("id", F.explode(tokens(F.col("label"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    matches = words.join(F.broadcast(query_terms(queries)), "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("times")).alias("matches"))
+    matches = words.join(query_terms(queries), "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("times")).alias("matches"))
     most = ranks.agg(F.greatest(F.max("rank"), F.lit(EPSILON)).alias("most"))
-    direct = matches.join(nodes, "id").join(ranks, "id", "left").crossJoin(F.broadcast(most))
+    direct = matches.join(nodes, "id").join(ranks, "id", "left").crossJoin(most)
     base = F.col("matches") * F.col("confidence") / 100.0 * GRAPH_WEIGHT * (1 + F.coalesce("rank", F.lit(0.0)) / F.col("most"))
     null_id = F.lit(None).cast("string").alias("id")
     direct = direct.select("query_id", F.col("id").alias("node"), F.col("label").alias("title"), F.initcap("kind").alias("snippet"), F.round(base, DIGITS).alias("score"))
     hits = direct.select("query_id", null_id, "title", "snippet", "score", F.lit("graph").alias("source"))
     relational = queries.where(max_hops(F.col("question")) > 1).select("query_id")
-    seeds = direct.join(F.broadcast(relational), "query_id", "left_semi").select("query_id", F.col("node").alias("id"))
+    seeds = direct.join(relational, "query_id", "left_semi").select("query_id", F.col("node").alias("id"))
     if not seeds.limit(1).count():
         return hits
     mass = G.personalized_pagerank(nodes, edges, seeds).join(seeds, ["query_id", "id"], "left_anti").where(F.col("rank") > EPSILON)
     bounds = mass.groupBy("query_id").agg(F.max("rank").alias("top")).join(direct.groupBy("query_id").agg((F.min("score") * HOP_CEILING).alias("ceiling")), "query_id")
-    hops = mass.join(F.broadcast(bounds), "query_id").join(nodes, "id")
+    hops = mass.join(bounds, "query_id").join(nodes, "id")
     return hits.unionByName(hops.select("query_id", null_id, F.col("label").alias("title"), F.concat(F.initcap("kind"), F.lit(" (graph-related)")).alias("snippet"), F.round(F.col("rank") / F.col("top") * F.col("ceiling"), DIGITS).alias("score"), F.lit("graph_hop").alias("source")))
 
 
@@ -145,15 +141,45 @@ def expansion_terms(docs: DataFrame, feedback: DataFrame, queries: DataFrame, ma
     texts = docs.join(feedback, "id").select("query_id", F.explode(tokens(F.concat_ws(" ", "title", "body"))).alias("term")).where(F.char_length("term") > 2)
     if stop_words:
         texts = texts.where(~F.col("term").isin(*stop_words))
-    tf = texts.groupBy("query_id", "term").agg(F.count("*").alias("tf")).join(F.broadcast(own), ["query_id", "term"], "left_anti")
+    tf = texts.groupBy("query_id", "term").agg(F.count("*").alias("tf")).join(own, ["query_id", "term"], "left_anti")
     seen = docs.select("id", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "title", "body")))).alias("term")).join(tf.select("term").distinct(), "term", "left_semi")
     df = seen.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n_docs"))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("weight", F.round(F.col("tf") * idf(F.col("n_docs"), F.col("df")), DIGITS))
+    weighed = tf.join(df, "term").crossJoin(n).withColumn("weight", F.round(F.col("tf") * idf(F.col("n_docs"), F.col("df")), DIGITS))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))
     return weighed.withColumn("place", place).where(F.col("place") <= max_terms).select("query_id", "term", "weight", "place")
 
 
+def feedback_by_text(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """query_id and id of the first ``most`` documents, by id, whose title or body holds the whole question, any case.
+
+    A stated batch of questions is held against all documents; each task passes on the
+    first of its rows for a question only, so no question's matches meet in one task.
+    """
+    needles = queries.select("query_id", F.lower("question").alias("needle")).where("needle <> ''")
+    texts = docs.select("id", F.lower("title").alias("t"), F.lower("body").alias("b"))
+    hits = texts.join(needles, F.contains("t", "needle") | F.contains("b", "needle")).select("query_id", "id")
+    part = F.pmod(F.xxhash64("id"), F.lit(256))
+    first = F.row_number().over(Window.partitionBy("query_id", "part").orderBy("id"))
+    few = hits.withColumn("part", part).withColumn("n", first).where(F.col("n") <= most)
+    return few.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("n") <= most).select("query_id", "id")
+
+
+def embed(rows: DataFrame, dim: int = 64) -> DataFrame:
+    """id and embedding (array of ``dim`` doubles, of length 1 or all zero) of texts (id, text), by hashed tokens.
+
+    Each distinct token is hashed once; a token adds or takes 1 at the component that its
+    hash tells. A text without tokens, or a null one, has the zero vector.
+    """
+    words = rows.select("id", F.explode(embedder_tokens(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    hashes = words.select("w").distinct().select("w", fnv1a_32(F.col("w")).alias("h"))
+    component, sign = bucket_and_sign(F.col("h"), dim)
+    sums = words.join(hashes, "w").groupBy("id", component.cast("int").alias("c")).agg(F.sum(sign * F.col("n")).cast("double").alias("v"))
+    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"))  # dim entries at most
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return rows.select("id").distinct().join(held, "id", "left").withColumn("v", vector).select("id", l2_normalize(F.col("v")).alias("embedding"))
+
+
 def expand_queries(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """Questions with their expansion terms behind them; unchanged where there are none."""
     more = terms.groupBy("query_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"])).alias("more"))
@@ -170,7 +196,7 @@ def synonym_terms(queries: DataFrame, table: DataFrame, max_terms: int) -> DataF
     """query_id, term, place: synonyms in the order of the query's terms, then of the alphabet; none twice by stem."""
     words = queries.select("query_id", F.posexplode(tokens(F.col("question"))).alias("at", "term"))
     own = words.select("query_id", F.col("term").alias("stem")).distinct()
-    found = words.join(F.broadcast(table), "term").withColumn("stem", s_stem(F.col("synonym"))).join(own, ["query_id", "stem"], "left_anti")
+    found = words.join(table, "term").withColumn("stem", s_stem(F.col("synonym"))).join(own, ["query_id", "stem"], "left_anti")
     first = found.groupBy("query_id", "stem").agg(F.min(F.struct("at", "synonym")).alias("m"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("m.at", "m.synonym"))
     return first.select("query_id", F.col("m.synonym").alias("term"), place.alias("place")).where(F.col("place") <= max_terms)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.operators import orchestrate as O
 from lorespark.queries.base import query, sql_trim
+from lorespark.queries.text import intent_sql
 from lorespark.session import table
 from lorespark.sources import adapters as A
 
@@ -102,21 +103,21 @@ def mesh_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.round_robin(m, providers).select("seq", "capability", "provider")
 
 
-_WANTED = ("queued", "running", "verifying", "completed", "failed", "rollback", "retry")
+WANTED = ("queued", "running", "verifying", "completed", "failed", "rollback", "retry")
 
 
-def _fsm_sql() -> str:
+def fsm_sql() -> str:
     legal = ", ".join(f"'{a}>{b}'" for a, b in O.TASK_MOVES)
-    case = " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WANTED))
+    case = " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WANTED))
     return f"""WITH RECURSIVE e AS (SELECT user_id AS task, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_id % 7 {case} END AS w FROM events),
 s AS (SELECT DISTINCT task, 0::BIGINT AS k, 'created' AS state, 0 AS attempts, 0 AS rejected FROM e UNION ALL
 SELECT s.task, e.k, CASE WHEN s.state || '>' || w IN ({legal}) THEN w ELSE state END, attempts + CASE WHEN w = 'retry' AND s.state || '>' || w IN ({legal}) THEN 1 ELSE 0 END, rejected + CASE WHEN s.state || '>' || w IN ({legal}) THEN 0 ELSE 1 END FROM s JOIN e ON e.task = s.task AND e.k = s.k + 1)
 SELECT task, state, attempts, rejected FROM s QUALIFY row_number() OVER (PARTITION BY task ORDER BY k DESC) = 1"""
 
 
-@query(_fsm_sql())
+@query(fsm_sql())
 def task_fsm_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = F.element_at(F.array(*[F.lit(w) for w in _WANTED]), (F.col("event_id") % 7 + 1).cast("int"))
+    wanted = F.element_at(F.array(*[F.lit(w) for w in WANTED]), (F.col("event_id") % 7 + 1).cast("int"))
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), wanted.alias("wanted"))
     return O.replay_states(events)
 
@@ -136,10 +137,17 @@ def ready_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.ready_tasks(tasks).select("id")
 
 
-@query("SELECT conv_id, turn, i AS step, CASE i WHEN 0 THEN 'retrieve context' ELSE 'answer' END AS description FROM conversations, range(2) r(i) WHERE role = 'user'")
+_STEPS = ", ".join(f"('{c}', {i}, '{d}', '{cap}', '{','.join(map(str, deps))}')" for c, plan in O.PLANS.items() for i, (d, cap, deps) in enumerate(plan))
+
+
+@query(
+    f"WITH c AS (SELECT conv_id, turn, text, {intent_sql('text')} AS class FROM conversations), p(class, step, description, capability, depends_on) AS (VALUES {_STEPS}) "
+    "SELECT conv_id, turn, c.class, coalesce(p.step, 0)::INTEGER AS step, coalesce(p.description, c.text) AS description, coalesce(capability, 'reasoning') AS capability, coalesce(depends_on, '') AS depends_on FROM c LEFT JOIN p ON p.class = c.class"
+)
 def plan_question_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.struct("conv_id", "turn").alias("intent_id"), F.lit("how?").alias("intent"))
-    return O.plan_steps(asked).select("intent_id.conv_id", "intent_id.turn", F.col("step").cast("long").alias("step"), "description")
+    """The plan of every turn of every conversation."""
+    asked = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("intent_id"), F.col("text").alias("intent"))
+    return O.plan_steps(asked).select("intent_id.conv_id", "intent_id.turn", "class", "step", "description", "capability", "depends_on")
 
 
 @query(f"{TELEMETRY} SELECT count(*)::BIGINT AS records, count(*) FILTER (runtime = 'error')::BIGINT AS errors, sum(tokens)::BIGINT AS tokens, coalesce(round(avg(latency_ms), 6), 0) AS mean_latency_ms FROM telemetry")

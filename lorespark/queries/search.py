@@ -10,6 +10,7 @@ from lorespark.functions.vectors import cosine
 from lorespark.operators import orchestrate as O
 from lorespark.operators import retrieval as R
 from lorespark.queries.base import query, sql_tokens
+from lorespark.queries.text import embed_sql
 from lorespark.session import table
 from lorespark.sources import adapters as A
 
@@ -100,14 +101,18 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(A.documents(spark, sf_dir), questions(spark), 10, A.nodes(spark, sf_dir), A.edges(spark, sf_dir), vectors, query_vectors)
 
 
-@query(f"WITH {BM25}, f AS (SELECT query_id, id FROM kw QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id) <= 5), ft AS (SELECT query_id, unnest({sql_tokens(chr(39) + chr(39) + ' || title || ' + chr(39) + ' ' + chr(39) + ' || body')}) AS term FROM f JOIN docs USING (id)), "
+_ASKED = (("f1", "Idiot"), ("f2", "ON THE"), ("f3", "no such words zzzzzz"), ("f4", "der"))
+_ASKED_SQL = "qf(query_id, question) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ASKED) + f"), qt AS (SELECT query_id, unnest({sql_tokens('question')}) AS term FROM qf)"
+
+
+@query(f"WITH {A.DOCUMENTS_SQL}, {_ASKED_SQL}, f AS (SELECT query_id, id FROM qf, docs WHERE contains(lower(title), lower(question)) OR contains(lower(body), lower(question)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 5), ft AS (SELECT query_id, unnest({sql_tokens(chr(39) + chr(39) + ' || title || ' + chr(39) + ' ' + chr(39) + ' || body')}) AS term FROM f JOIN docs USING (id)), "
        f"c AS (SELECT query_id, term, count(*) AS tf FROM ft WHERE length(term) > 2 GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest({sql_tokens('title || ' + chr(39) + ' ' + chr(39) + ' || body')}) AS term FROM docs) GROUP BY term), "
        "w AS (SELECT query_id, term, round(tf * ln(((SELECT count(*) FROM docs) - df + 0.5) / (df + 0.5) + 1.0), 9) AS weight FROM c JOIN d USING (term) WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM qt)) "
        "SELECT query_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term)::INTEGER AS place FROM w QUALIFY place <= 5")
 def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, qs = A.documents(spark, sf_dir), questions(spark)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "id"))
-    feedback = R.keyword_hits(docs, qs).withColumn("n", place).where("n <= 5").select("query_id", "id")
+    """Feedback from the documents that hold the whole question."""
+    docs, qs = A.documents(spark, sf_dir), spark.createDataFrame(list(_ASKED), "query_id string, question string")
+    feedback = R.feedback_by_text(docs, qs, 5)
     return R.expansion_terms(docs, feedback, qs, 5).select("query_id", "term", F.round("weight", 6).alias("weight"), "place")
 
 
@@ -158,7 +163,11 @@ def eval_mrr_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _memory_sql() -> str:
     norm = lambda c: f"CASE WHEN max({c}) OVER s - min({c}) OVER s < 1.1920929e-07 THEN 1.0 ELSE ({c} - min({c}) OVER s) / (max({c}) OVER s - min({c}) OVER s) END"
-    return f"""WITH m AS (SELECT conv_id AS session, turn AS seq, CASE role WHEN 'assistant' THEN 0.9 WHEN 'user' THEN 0.5 ELSE 0.2 END::DOUBLE AS importance, least(length(text) / 200.0, 1.0)::DOUBLE AS relevance FROM conversations),
+    return f"""WITH r AS (SELECT conv_id AS session, turn AS seq, text, role FROM conversations), {embed_sql("r", "session, seq")},
+n AS (SELECT session, seq, sqrt(sum(v * v)) AS norm FROM s GROUP BY ALL), f AS (SELECT session, min(seq) AS seq FROM r GROUP BY session),
+q AS (SELECT s.session, component, v, norm FROM s JOIN f USING (session, seq) JOIN n USING (session, seq)),
+c AS (SELECT s.session, s.seq, sum(s.v * q.v) / any_value(n.norm * q.norm) AS sim FROM s JOIN q ON s.session = q.session AND s.component = q.component JOIN n ON n.session = s.session AND n.seq = s.seq GROUP BY ALL),
+m AS (SELECT session, seq, CASE role WHEN 'assistant' THEN 0.9 WHEN 'user' THEN 0.5 ELSE 0.2 END::DOUBLE AS importance, round(greatest(0.0, least(1.0, coalesce(CASE WHEN isfinite(sim) THEN sim END, 0.0))), 9)::DOUBLE AS relevance FROM r LEFT JOIN c USING (session, seq)),
 a AS (SELECT *, pow(0.9::DOUBLE, max(seq) OVER (PARTITION BY session) - seq) AS recency FROM m),
 x AS (SELECT session, seq, round({norm('recency')} + {norm('importance')} + {norm('relevance')}, 9) AS score FROM a WINDOW s AS (PARTITION BY session))
 SELECT session, seq, round(score, 6) AS score, row_number() OVER (PARTITION BY session ORDER BY score DESC, seq)::INTEGER AS place FROM x QUALIFY place <= 3"""
@@ -166,7 +175,10 @@ SELECT session, seq, round(score, 6) AS score, row_number() OVER (PARTITION BY s
 
 @query(_memory_sql())
 def memory_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = A.turns(spark, sf_dir).select("session", "seq", F.when(F.col("role") == "assistant", 0.9).when(F.col("role") == "user", 0.5).otherwise(0.2).alias("importance"), F.least(F.char_length("body") / 200.0, F.lit(1.0)).alias("relevance"))
+    """What each session recalls for its first turn, asked as a question: recency, importance and the likeness of hashed embeddings."""
+    turns = A.turns(spark, sf_dir).withColumn("importance", F.when(F.col("role") == "assistant", 0.9).when(F.col("role") == "user", 0.5).otherwise(0.2))
+    asked = turns.groupBy("session").agg(F.min_by("body", "seq").alias("question"))
+    m = O.recalled(turns.select("session", "seq", "importance", F.col("body").alias("text")), asked)
     return O.recall(m, 3).select("session", "seq", F.round("score", 6).alias("score"), "place")
 
 

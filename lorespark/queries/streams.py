@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions import vectors as V
+from lorespark.operators import orchestrate as O
 from lorespark.queries.base import query
-from lorespark.queries.records import BY_RUNTIME, TELEMETRY
+from lorespark.queries.records import BY_RUNTIME, TELEMETRY, WANTED, fsm_sql
 from lorespark.sources import adapters as A
 from lorespark.streaming import jobs as S
 
@@ -30,9 +32,34 @@ def stream_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "title", "confidence").distinct()
 
 
-@query()
+_HOUR = 3_600_000
+_GUARD_SQL = f"""WITH RECURSIVE e AS (SELECT event_id AS id, event_id // 3 AS nonce, epoch_ms(ts) AS ts_ms, epoch_ms(ts) + (event_id % 5) * {5 * _HOUR} AS now_ms FROM events),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY nonce ORDER BY now_ms, id) AS k FROM e),
+s AS (SELECT DISTINCT nonce, 0::BIGINT AS k, NULL::BIGINT AS accepted, NULL::BIGINT AS id, NULL::VARCHAR AS verdict FROM m UNION ALL
+SELECT nonce, k, CASE WHEN v = 'accepted' THEN ts_ms ELSE accepted END, id, v FROM (SELECT m.*, s.accepted, CASE WHEN m.id % 11 = 0 THEN 'bad_signature' WHEN abs(now_ms - ts_ms) > {12 * _HOUR} THEN 'expired' WHEN s.accepted IS NOT NULL AND now_ms - s.accepted <= {12 * _HOUR} THEN 'replayed' ELSE 'accepted' END AS v FROM s JOIN m ON m.nonce = s.nonce AND m.k = s.k + 1))
+SELECT id, nonce, verdict FROM s WHERE k > 0"""
+
+
+@query(_GUARD_SQL)
 def stream_replay_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hour = 3_600_000
+    """Signed messages, three of each nonce; every eleventh signature is forged."""
+    key = "a shared secret"
     sent = F.unix_millis(F.col("ts").cast("timestamp"))
-    messages = _events(spark, sf_dir).select(F.col("event_id").alias("id"), (F.col("event_id") % 50).alias("nonce"), sent.alias("ts_ms"), (sent + (F.col("event_id") % 5) * 5 * hour).alias("now_ms"))
-    return S.drain(S.replay_verdicts(messages, 12 * hour), S.append).select("id", "nonce", "verdict")
+    messages = _events(spark, sf_dir).select(
+        F.col("event_id").alias("id"), F.lit("agent").alias("source"), F.col("user_id").alias("destination"), F.col("event_type").alias("msg_type"), F.lit("high").alias("priority"), F.col("props").alias("body"),
+        F.lit(None).cast("string").alias("graph_id"), F.lit(None).cast("string").alias("memory_ref"), F.floor(F.col("event_id") / 3).cast("long").alias("nonce"), sent.alias("ts_ms"), (sent + (F.col("event_id") % 5) * 5 * _HOUR).alias("now_ms"),
+    )
+    text = O.canonical_message(F.col("nonce"), F.col("ts_ms"))
+    signature = F.when(F.col("id") % 11 == 0, F.lit("forged")).otherwise(V.hmac_sha256(key)(text))
+    signed = messages.withColumn("signature", signature).withColumn("signed", V.signature_ok(key)(text, F.col("signature")))
+    verdicts = S.replay_verdicts(signed.select("id", "nonce", "ts_ms", "now_ms", "signed"), 12 * _HOUR)
+    return S.drain(verdicts, S.append).select("id", "nonce", "verdict")
+
+
+@query(fsm_sql())
+def stream_task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The life cycles of task_fsm_replay as a stream: the state after each task's last event."""
+    wanted = F.element_at(F.array(*[F.lit(w) for w in WANTED]), (F.col("event_id") % 7 + 1).cast("int"))
+    events = _events(spark, sf_dir).select(F.col("user_id").cast("long").alias("task"), F.col("event_id").cast("long").alias("seq"), wanted.alias("wanted"))
+    out = S.drain(S.state_changes(events), S.append)
+    return out.groupBy("task").agg(F.max_by(F.struct("state", "attempts", "rejected"), "seq").alias("s")).select("task", "s.*")

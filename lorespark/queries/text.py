@@ -22,9 +22,9 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.concat_ws(" ", "t").cast("binary")).alias("digest"))
 
 
-@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '{NOT_ALNUM}+')) AS word FROM benchmark) SELECT word, {sql_stem('word')} AS stem FROM w WHERE word <> ''")
+@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '{NOT_ALNUM}+')) AS word FROM documents) SELECT word, {sql_stem('word')} AS stem FROM w WHERE word <> ''")
 def text_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), T.NOT_ALNUM + "+")).alias("word")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), T.NOT_ALNUM + "+")).alias("word")).distinct()
     return words.where("word <> ''").select("word", T.s_stem(F.col("word")).alias("stem"))
 
 
@@ -50,9 +50,9 @@ def text_summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.summarize(F.col("text"), 120).alias("summary"))
 
 
-@query(f"{WITH_DOCS} SELECT id, title FROM docs WHERE contains(lower(title), 'password') OR contains(lower(body), 'password')")
+@query(f"{WITH_DOCS} SELECT id, title FROM docs WHERE contains(lower(title), 'idiot') OR contains(lower(body), 'idiot')")
 def store_scan_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.substring_scan(A.documents(spark, sf_dir), "Password").select("id", "title")
+    return R.substring_scan(A.documents(spark, sf_dir), "Idiot").select("id", "title")
 
 
 @query("WITH s AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY (doc_id % 2) DESC, doc_id DESC) AS n FROM documents) SELECT source, doc_id, n_chars FROM s WHERE n = 1")
@@ -64,25 +64,25 @@ def store_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || substr(hex(encode(w)), (2 * i - 1)::INTEGER, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
 
 
-@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM benchmark) SELECT w AS word, {_FNV} AS hash FROM w WHERE w <> ''")
+@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) SELECT w AS word, {_FNV} AS hash FROM w WHERE w <> ''")
 def fnv32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[ \n]+")).alias("word")).distinct().where("word <> ''")
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("word")).distinct().where("word <> ''")
     return words.select("word", V.fnv1a_32(F.col("word")).alias("hash"))
 
 
-@query(
-    f"""WITH t AS (SELECT item_id, unnest(list_transform(list_filter(regexp_split_to_array(text, '{NOT_ALNUM}+'), lambda x: octet_length(encode(x)) > 1), lambda x: lower(x))) AS w FROM benchmark),
-h AS (SELECT item_id, {_FNV} AS h FROM t), s AS (SELECT item_id, (h % 64)::INTEGER AS component, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END)::DOUBLE AS v FROM h GROUP BY ALL)
-SELECT item_id, component, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS value FROM s WHERE v <> 0"""
-)
+def embed_sql(rows: str, key: str) -> str:
+    """s (key, component, v) and norms of the hashing embedder over the texts of ``rows``; each distinct token is hashed once."""
+    return f"""t AS (SELECT {key}, unnest(list_transform(list_filter(regexp_split_to_array(text, '{NOT_ALNUM}+'), lambda x: octet_length(encode(x)) > 1), lambda x: lower(x))) AS w FROM {rows}),
+h AS MATERIALIZED (SELECT w, {_FNV} AS h FROM (SELECT DISTINCT w FROM t)),
+s AS MATERIALIZED (SELECT {key}, (h % 64)::INTEGER AS component, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END)::DOUBLE AS v FROM t JOIN h USING (w) GROUP BY ALL)"""
+
+
+@query(f"WITH {embed_sql('documents', 'doc_id')} SELECT doc_id, component, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s WHERE v <> 0")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hashing embedder as rows: each distinct token is hashed once."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.embedder_tokens(F.col("text"))).alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("n"))
-    hashes = words.select("w").distinct().select("w", V.fnv1a_32(F.col("w")).alias("h"))
-    component, sign = V.bucket_and_sign(F.col("h"), 64)
-    sums = words.join(hashes, "w").groupBy("item_id", component.cast("int").alias("component")).agg(F.sum(sign * F.col("n")).cast("double").alias("v"))
-    norms = sums.groupBy("item_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.where("v <> 0").join(norms, "item_id").select("item_id", "component", F.round(F.col("v") / F.col("norm"), 6).alias("value"))
+    """The vectors of all documents, as rows of their components that are not 0."""
+    vectors = R.embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rows = vectors.select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("component", "v"))
+    return rows.where("v <> 0").select("doc_id", "component", F.round("v", 6).alias("value"))
 
 
 @query(f"WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {sql_trim('x')}), lambda x: x <> '') AS c FROM documents) SELECT doc_id, len(c)::BIGINT AS n, md5(array_to_string(c, '|')) AS digest FROM c")
@@ -121,10 +121,17 @@ def gc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(C.garbage(docs), "id", "left_anti").select("id", "title", "confidence")
 
 
-@query(f"{WITH_DOCS} SELECT (length(body) > 1000) AS due, count(*)::BIGINT AS n, sum(CASE WHEN length(body) > 1000 THEN length(body) ELSE 0 END)::BIGINT AS original_chars FROM docs GROUP BY 1")
+@query(
+    f"{WITH_DOCS}, w AS (SELECT id, unnest(list_transform(regexp_split_to_array(body, '{NOT_ALNUM}'), lambda x: lower(x))) AS word FROM docs WHERE length(body) > 1000), "
+    f"c AS (SELECT id, word, count(*) AS n FROM w WHERE octet_length(encode(word)) >= 4 AND word NOT IN ({_STOP}) GROUP BY ALL), "
+    "k AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS place FROM c QUALIFY place <= 5), l AS (SELECT id, string_agg(word, ',' ORDER BY place) AS concepts FROM k GROUP BY id), "
+    f"x AS (SELECT id, body, {sql_trim('body')} AS t FROM docs), h AS (SELECT id, body, t, length(regexp_extract(left(t, 1000), '(?s)^.*[.!?。]')) AS c FROM x) "
+    r"SELECT id, length(body) > 1000 AS due, CASE WHEN length(body) > 1000 THEN coalesce(concepts, '') END AS concepts, CASE WHEN length(body) > 1000 THEN length(body)::VARCHAR END AS original_len, "
+    r"md5(CASE WHEN length(body) <= 1000 THEN body WHEN length(t) <= 1000 THEN t ELSE regexp_replace(left(t, CASE WHEN c > 0 AND c >= 500 THEN c ELSE 1000 END), '\s+$', '') || '…' END) AS body FROM h LEFT JOIN l USING (id)"
+)
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = C.consolidate(A.documents(spark, sf_dir), 1000)
-    return out.groupBy("due").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("metadata")["original_len"].cast("long")), F.lit(0)).alias("original_chars"))
+    return out.select("id", "due", F.col("metadata")["concepts"].alias("concepts"), F.col("metadata")["original_len"].alias("original_len"), F.md5(F.col("body").cast("binary")).alias("body"))
 
 
 _BODY = "SELECT doc_id, text AS body FROM documents"
@@ -193,9 +200,18 @@ def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def index_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of all documents, named by source and place, with the digest that a store would key them by."""
-    passages = C.chunk_rows(A.documents(spark, sf_dir), "recursive", 800, 80)
-    return passages.select(F.concat("id", F.lit("#"), F.col("at").cast("string")).alias("id"), F.col("id").alias("source"), F.sha2("chunk", 256).alias("digest"), F.size(T.tokens(F.col("chunk"))).cast("long").alias("n_tokens"))
+    """Indexes all documents over a store that holds coarser passages of them: its passages with vectors, and the graph's nodes with what became of them."""
+    from lorespark.api import Workspace
+
+    docs = A.documents(spark, sf_dir)
+    old = C.replace_passages(docs, C.passages(docs, 1600, 0))
+    made = Workspace(spark, old, A.nodes(spark, sf_dir), A.edges(spark, sf_dir)).index(800, 80)
+    vector = F.md5(F.concat_ws(",", F.transform("embedding", lambda x: F.round(x, 6).cast("string"))).cast("binary"))
+    stored = made.documents.where("doc_type = 'chunk'").join(made.vectors, "id")
+    rows = stored.select("id", F.lit("passage").alias("kind"), F.col("metadata")["source"].alias("source"), F.sha2("body", 256).alias("digest"), F.size(T.tokens(F.col("body"))).cast("long").alias("n_tokens"), vector.alias("vector"), "confidence", F.lit("added").alias("change"))
+    null = F.lit(None).cast("string")
+    nodes = made.changes.select("id", "kind", null.alias("source"), F.sha2("label", 256).alias("digest"), F.lit(None).cast("long").alias("n_tokens"), null.alias("vector"), "confidence", "change")
+    return rows.unionByName(nodes)
 
 
 @query(f"{WITH_DOCS} SELECT id, sha256(body) AS digest, left(body, 80) AS snippet FROM docs")
@@ -203,13 +219,13 @@ def document_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.documents(spark, sf_dir).select("id", F.sha2("body", 256).alias("digest"), T.snippet(F.col("body")).alias("snippet"))
 
 
-def _intent_sql(text: str) -> str:
+def intent_sql(text: str) -> str:
     any_ = lambda parts: " OR ".join(f"contains(lower({text}), '{p}')" for p in parts)
     cases = " ".join(f"WHEN {any_(parts)} THEN '{kind}'" for kind, parts in T.INTENT_PARTS)
     return f"CASE {cases} WHEN {sql_trim(text)} LIKE '%?' OR {any_(T.QUESTION_PARTS)} THEN 'question' ELSE 'generic' END"
 
 
-@query(f"SELECT conv_id, turn, {_intent_sql('text')} AS class, CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{p}{chr(39)})' for p in T.RELATIONAL_PARTS)} THEN 2 ELSE 1 END AS max_hops FROM conversations")
+@query(f"SELECT conv_id, turn, {intent_sql('text')} AS class, CASE WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{p}{chr(39)})' for p in T.RELATIONAL_PARTS)} THEN 2 ELSE 1 END AS max_hops FROM conversations")
 def plan_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.classify_intent(F.col("text")).alias("class"), T.max_hops(F.col("text")).alias("max_hops"))
 

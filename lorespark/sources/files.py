@@ -14,7 +14,7 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     """Documents of a folder of ``<id>.doc`` files; and the paths that are no UTF-8 and were passed over.
 
     A file is header lines "key: value" up to the first blank line, then the body as it
-    stands. Keys that start with "meta." make the metadata. A malformed embedding is
+    stands. Of lines with one key the last counts. Keys that start with "meta." make the metadata. A malformed embedding is
     null as a whole; a missing confidence is 0.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.doc").load(folder)
@@ -25,7 +25,8 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     body = F.when(at > 0, F.substring("content", at + 2, F.length("content"))).otherwise(F.lit(""))
     lines = F.filter(F.split(head, "\n"), lambda x: F.contains(x, F.lit(": ")) | F.endswith(x, F.lit(":")))
     pair = lambda x: F.struct(unescape(F.substring_index(x, ":", 1)).alias("key"), unescape(F.regexp_replace(x, "^[^:]*: ?", "")).alias("value"))
-    fields = F.map_from_entries(F.array_distinct(F.transform(lines, pair)))
+    pairs = F.transform(lines, pair)
+    fields = F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"])))
     df = good.select(F.regexp_extract("path", r"([^/]+)\.doc$", 1).alias("id"), fields.alias("f"), body.alias("body"))
     numbers = F.transform(F.split(F.col("f")["embedding"], "[, ]+"), lambda x: x.try_cast("float"))
     embedding = F.when(F.exists(numbers, lambda x: x.isNull()), F.lit(None)).otherwise(numbers)

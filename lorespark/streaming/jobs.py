@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lorespark.operators.orchestrate import telemetry_by_runtime
+from lorespark.operators.orchestrate import TASK_MOVES, telemetry_by_runtime
 from lorespark.session import checkpoint_folder
 
 
@@ -65,18 +65,27 @@ def reindex(changes: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def replay_verdicts(messages: DataFrame, window_ms: int) -> DataFrame:
-    """id, nonce and verdict of each message (id, nonce, ts_ms, now_ms), of a batch or a stream.
-
-    Expired: now and the message's time differ by more than the window. Replayed: the
-    nonce was accepted with a time that is no older than the window now. Else accepted.
-    State is kept by nonce and is one number; messages of a batch are taken in the order of now_ms.
+    """id, nonce and verdict of each message (id, nonce, ts_ms, now_ms, signed), of a batch or a stream.
+
+    Bad signature: ``signed`` (see functions.vectors.signature_ok) is not true. Expired: now
+    and the message's time differ by more than the window. Replayed: the nonce was accepted
+    with a time that is no older than the window now. Else accepted. State is kept by nonce,
+    is one number, and is dropped when the messages' clock (now_ms) has gone on beyond the
+    window. Messages of a batch are taken in the order of now_ms; a nonce is meant to be used once, so its
+    messages of one batch are few.
     """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["now_ms", "id"])  # one nonce's messages of one batch
         accepted = state.get[0] if state.exists else None
         verdicts = []
-        for now, at in zip(rows["now_ms"], rows["ts_ms"], strict=True):
+        for now, at, signed in zip(rows["now_ms"], rows["ts_ms"], rows["signed"], strict=True):
+            if not signed:
+                verdicts.append("bad_signature")
+                continue
             if abs(now - at) > window_ms:
                 verdicts.append("expired")
                 continue
@@ -87,6 +96,30 @@ def replay_verdicts(messages: DataFrame, window_ms: int) -> DataFrame:
             verdicts.append("accepted")
         if accepted is not None:
             state.update((accepted,))
+            state.setTimeoutTimestamp(max(accepted + window_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"id": rows["id"], "nonce": rows["nonce"], "verdict": verdicts})
 
-    return messages.groupBy("nonce").applyInPandasWithState(judge, "id long, nonce long, verdict string", "accepted long", "append", GroupStateTimeout.NoTimeout)
+    timed = messages.withColumn("at", F.timestamp_millis("now_ms")).withWatermark("at", f"{2 * window_ms} milliseconds")
+    return timed.groupBy("nonce").applyInPandasWithState(judge, "id long, nonce long, verdict string", "accepted long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def state_changes(events: DataFrame, moves: tuple = TASK_MOVES, start: str = "created") -> DataFrame:
+    """task, seq, state, attempts, rejected after each batch's events (task, seq, wanted) of a task, in their order.
+
+    State is one short row for each task, whatever the length of its log.
+    """
+    legal = frozenset(moves)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state, attempts, rejected = held.get if held.exists else (start, 0, 0)
+        rows = pd.concat(list(batches)).sort_values("seq")  # one task's events of one batch
+        for wanted in rows["wanted"]:
+            if (state, wanted) in legal:
+                state, attempts = wanted, attempts + (wanted == "retry")
+            else:
+                rejected += 1
+        held.update((state, attempts, rejected))
+        yield pd.DataFrame({"task": [key[0]], "seq": [rows["seq"].iloc[-1]], "state": [state], "attempts": [attempts], "rejected": [rejected]})
+
+    kept = "state string, attempts int, rejected int"
+    return events.groupBy("task").applyInPandasWithState(step, f"task long, seq long, {kept}", kept, "append", GroupStateTimeout.NoTimeout)

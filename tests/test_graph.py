@@ -37,7 +37,7 @@ def test_personalized_on_every_node_is_pagerank(spark):
 def test_personalized_follows_seeds_and_ignores_unknown(spark):
     n, e = graph(spark, list("abcxyz"), [("a", "b"), ("b", "c"), ("x", "y"), ("y", "z")])
     r = ranks(G.personalized_pagerank(n, e, spark.createDataFrame([("q", "a"), ("q", "nobody")], "query_id string, id string")))
-    assert r["b"] > r["y"] and r["c"] > r["z"] and r["a"] > r["x"]
+    assert set(r) == {"a", "b", "c"} and sum(r.values()) > 0.999  # nothing for nodes that no seed leads to
     assert G.personalized_pagerank(n, e, spark.createDataFrame([("q", "nobody")], "query_id string, id string")).count() == 0
 
 

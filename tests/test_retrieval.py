@@ -99,11 +99,13 @@ def test_replay_guard_against_a_plain_loop(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, rng.randrange(4), rng.randrange(5000), 0) for i in range(300)]
     rows = [(i, n, t, t + rng.choice((0, 100, 900, 1500))) for i, n, t, _ in rows]
-    spark.createDataFrame(rows, "id long, nonce long, ts_ms long, now_ms long").coalesce(1).write.parquet(str(tmp_path / "m"))
+    spark.createDataFrame(rows, "id long, nonce long, ts_ms long, now_ms long").selectExpr("*", "id % 7 <> 0 as signed").coalesce(1).write.parquet(str(tmp_path / "m"))
     got = {r["id"]: r["verdict"] for r in S.drain(S.replay_verdicts(S.read_stream(spark, str(tmp_path / "m")), 1000), S.append).collect()}
     last, want = {}, {}
     for i, n, t, now in sorted(rows, key=lambda r: (r[3], r[0])):
-        if abs(now - t) > 1000:
+        if i % 7 == 0:
+            want[i] = "bad_signature"
+        elif abs(now - t) > 1000:
             want[i] = "expired"
         elif n in last and now - last[n] <= 1000:
             want[i] = "replayed"
