@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     rows = docs.join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 16)  # 2 * per_class ids at most
     rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(text, *extra)).alias("x")).select("doc_id", "label", "x.*")
     held = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy(place, "doc_id"))
-    rows = rows.withColumn("held", held).where(F.col("held") <= max_bytes // 2).drop("held").toArrow().to_pandas()
+    rows = rows.withColumn("held", held).where(F.col("held") <= max_bytes // 2).drop("held").toArrow()
+    rows = rows.to_pandas(types_mapper=lambda t: pd.ArrowDtype(t) if pa.types.is_string(t) else None)  # texts stay in Arrow's memory
     rows = rows.sort_values("doc_id").reset_index(drop=True)
     have = rows["label"].value_counts()
     total = sum(share.values()) or 1

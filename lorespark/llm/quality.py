@@ -155,6 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs:
             g_factors = np.stack([np.bincount(i, weights=parts_v[:, f], minlength=_SIZE) for f in range(RANK)], axis=1)
             adam.step([np.array([error.sum()]), g_linear + 1e-5 * model.linear, g_factors + 1e-5 * model.factors])
     model.bias = float(bias[0])
+    del index, values, stats, doc, bucket, value
+    K.release()
     return model
 
 

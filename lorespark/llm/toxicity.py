@@ -163,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
         own, _, _, bounds = token_features(d, o)
         features.append(own)
         words.append(np.diff(bounds))
-    del data
+    del data, offsets
     features = np.concatenate(features)
+    K.release()
     bounds = np.concatenate([[0], np.cumsum(np.concatenate(words))])
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(bounds))
     for_tags = np.arange(len(rows)) % 3 != 2
@@ -193,11 +194,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
             for k in range(own.shape[1]):
                 grad += np.bincount(own[:, k], weights=d_emission, minlength=1 << BITS)
         adam.step([(-grad + 0.02 * (model.weights - low)).astype(np.float32), -d_trans / total * rare + 0.01 * model.trans])
-    del x, owner, keep, within
-    p = marginals(model.weights[features].sum(axis=1), bounds, model.trans)
+    del x, owner, keep, within, gold
+    emission = np.concatenate([model.weights[features[a:a + 100_000]].sum(axis=1) for a in range(0, len(features), 100_000)] or [np.zeros(0, np.float32)])
+    del features
+    p = marginals(emission, bounds, model.trans)
     made = _document_features(p, bounds)
     rest = ~for_tags
     model.beta = logistic(made[rest], toxic[rest].astype(float), rows["weight"].to_numpy()[rest], ridge=0.1)
+    del emission, p, made, doc
+    K.release()
     return model
 
 
