@@ -114,6 +114,17 @@ def _gradient(emission: np.ndarray, gold: np.ndarray, mask: np.ndarray, trans: n
     return d_emission, d_trans
 
 
+def _features_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of all tokens of these texts, and each text's bounds among them."""
+    data, offsets = K.column_bytes(column)
+    parts, words = [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(1, np.int64)]
+    for _, _, d, o in K.slices(data, offsets):
+        own, _, _, bounds = token_features(d, o)
+        parts.append(own)
+        words.append(np.diff(bounds))
+    return np.concatenate(parts), np.cumsum(np.concatenate(words))
+
+
 def _weak_tokens(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Token labels from document labels: in a toxic document, the tokens with a feature that toxic documents have far more often."""
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
@@ -157,21 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
         model.weights -= 10
         model.fitted = False
         return model
-    data, offsets = K.column_bytes(pa.array(rows.pop("text")))
-    features, words = [], []
-    for _, _, d, o in K.slices(data, offsets):
-        own, _, _, bounds = token_features(d, o)
-        features.append(own)
-        words.append(np.diff(bounds))
-    del data, offsets
-    features = np.concatenate(features)
-    K.release()
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate(words))])
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(bounds))
+    held = pa.array(rows.pop("text"))
     for_tags = np.arange(len(rows)) % 3 != 2
-    keep = for_tags[doc]
-    x, owner = features[keep], doc[keep]
-    gold = _weak_tokens(x, np.searchsorted(np.flatnonzero(for_tags), owner).astype(np.int32), toxic[for_tags])
+    rest = ~for_tags
+    x, bounds = _features_of(held.filter(pa.array(for_tags)))
+    held = held.filter(pa.array(rest))
+    K.release()
+    owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+    gold = _weak_tokens(x, owner, toxic[for_tags])
     within = (np.arange(len(owner)) - np.searchsorted(owner, owner)) % SEGMENT
     starts = np.append(np.flatnonzero(within == 0), len(owner))
     total = max(1, len(owner))
@@ -194,14 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
             for k in range(own.shape[1]):
                 grad += np.bincount(own[:, k], weights=d_emission, minlength=1 << BITS)
         adam.step([(-grad + 0.02 * (model.weights - low)).astype(np.float32), -d_trans / total * rare + 0.01 * model.trans])
-    del x, owner, keep, within, gold
-    emission = np.concatenate([model.weights[features[a:a + 100_000]].sum(axis=1) for a in range(0, len(features), 100_000)] or [np.zeros(0, np.float32)])
-    del features
-    p = marginals(emission, bounds, model.trans)
-    made = _document_features(p, bounds)
-    rest = ~for_tags
-    model.beta = logistic(made[rest], toxic[rest].astype(float), rows["weight"].to_numpy()[rest], ridge=0.1)
-    del emission, p, made, doc
+    del x, owner, within, gold
+    K.release()
+    x, bounds = _features_of(held)
+    emission = np.concatenate([model.weights[x[a:a + 100_000]].sum(axis=1) for a in range(0, len(x), 100_000)] or [np.zeros(0, np.float32)])
+    made = _document_features(marginals(emission, bounds, model.trans), bounds)
+    model.beta = logistic(made, toxic[rest].astype(float), rows["weight"].to_numpy()[rest], ridge=0.1)
+    del x, held, emission, made
     K.release()
     return model
 
