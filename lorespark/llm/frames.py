@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.session import cut, table
 
-__all__ = ["cut", "held_out", "small_batches", "table", "texts", "unused"]
+__all__ = ["cut", "drop_finished", "held_out", "small_batches", "table", "texts", "unused"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -36,6 +36,15 @@ def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
+def drop_finished(df: DataFrame) -> None:
+    """Lets Spark drop the shuffles and broadcasts of steps that are done.
+
+    Its cleaner does so when the driver's JVM collects garbage, which by itself comes
+    every 30 minutes or when the heap is full.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only the id (as long) and the text, under fixed names: other columns can't clash."""
     return small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))

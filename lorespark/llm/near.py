@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import cut, texts, unused
+from lorespark.llm.frames import cut, drop_finished, texts, unused
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -149,7 +149,11 @@ def similarity(elements_a: bytes, times_a: bytes, elements_b: bytes, times_b: by
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The pairs (a, b) whose texts are similar enough.
+
+    The sets are as large as the texts: by their compressed size Spark would take some
+    of them for small, and send them through the driver; so both joins are sorted ones.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("times").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("times").alias("tb"))
 
@@ -159,7 +163,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             good = [similarity(*(c[k][i].as_py() for k in ("ea", "ta", "eb", "tb"))) >= threshold for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "ta", "eb", "tb").mapInArrow(judge, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ea", "ta", "eb", "tb").mapInArrow(judge, "a long, b long")
 
 
 def _compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -260,7 +264,7 @@ def _open_pairs(cells: DataFrame, labels: DataFrame | None, sets: DataFrame, thr
     each_other = F.transform(upto("rests"), lambda o: met(1, F.least(own, o), F.greatest(own, o), F.when(o == own, -1).otherwise((own > o).cast("int"))))
     dealt = F.when(is_main, of_main).when(F.col("classes") > 2, F.concat(of_rest, each_other)).otherwise(of_rest)
     rows = left.select("cell", "node", "class", F.explode(dealt).alias("to")).select("cell", "node", "class", "to.*")
-    rows = rows.join(marks, "node").repartition("cell", "kind", "i", "j").sortWithinPartitions("cell", "kind", "i", "j", "side")
+    rows = rows.join(marks.hint("merge"), "node").repartition("cell", "kind", "i", "j").sortWithinPartitions("cell", "kind", "i", "j", "side")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -360,6 +364,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
         links = _compact(found if links is None else links.union(found))
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
+        drop_finished(docs)
     pairs = _open_pairs(cells, labels, sets, threshold, block)
     pairs = _compact(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
     if pairs.limit(1).count():
