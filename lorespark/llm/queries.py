@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, near, pack, ppm, quality, shard, substring, toxicity, urls, webp
+from lorespark.llm import cluster, decontaminate, language, near, pack, ppm, quality, runs, shard, substring, toxicity, urls, webp
 from lorespark.llm.frames import table
 
 SHARDS = 8
@@ -60,8 +60,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.clustered_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_shard, op2_url_filter, op3_toxicity, op4_media, op5_substring_dedup, op6_near_dedup, op7_lm_score, op8_pack, op9_decontaminate, op10_quality)
+    made = (op1_shard, op2_url_filter, op3_toxicity, op4_media, op5_substring_dedup, op6_near_dedup, op7_lm_score, op8_pack, op9_decontaminate, op10_quality, op11_cluster, op12_language, op13_runs)
     return {f.__name__: f for f in made}
 
 
@@ -117,5 +129,45 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {ruled} WHEN purity >=
 FROM pg JOIN tt USING (host, segments) JOIN pu USING (host, template)"""
 
 
+def cluster_sql(rounds: int = cluster.ROUNDS) -> str:
+    """All rounds, one after the other; every centroid is tried for every vector."""
+    near = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    floor = "list_transform(range(1, 65), lambda i: ((s[i] - ((s[i] % n) + n) % n) // n)::BIGINT)"
+    sums = ", ".join(f"sum(v[{i}])::BIGINT" for i in range(1, 65))
+    parts = [
+        """kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{cluster.SEED}:' || vec_id), v) - 1 AS k, v AS c FROM kept QUALIFY k < {cluster.CENTROIDS})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, k AS cluster, {near} AS distance FROM kept, c{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) = 1)")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT cluster, count(*) AS n, [{sums}] AS s FROM a{r} GROUP BY cluster)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT k, CASE WHEN n IS NULL THEN c ELSE {floor} END AS c FROM c{r} LEFT JOIN s{r} ON k = cluster)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON k = cluster"""
+
+
+# A run is a longest stretch of places with w[i] = w[i + q], and q more words; the checksum is made bit by bit.
+RUNS_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS o, doc_id::VARCHAR AS name FROM documents),
+h AS (SELECT doc_id, o, len(o) AS n, xor(4294967295::BIGINT, list_reduce(list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT), xor(c, b)), 4294967295::BIGINT)) AS h FROM t),
+g AS (SELECT *, (h // 10) AS g FROM h), a AS (SELECT *, g % greatest(n, 1) AS a FROM g), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE o END AS w FROM p),
+f AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM d),
+e AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM f l JOIN f r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY doc_id, q, island),
+u AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS q FROM m WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min({'s': start, 'm': length, 'q': q}, {'l': -length, 's': start, 'q': q}) AS top, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM u GROUP BY doc_id),
+x AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + q, start + length)) AS i FROM u) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.m::BIGINT AS length, top.q::BIGINT AS period, (1000 * top.m // top.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda y, j: NOT list_contains(gone, j - 1)) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_sql(), "op5_substring_dedup": SUBSTRING_SQL}
+    return {"op2_url_filter": url_sql(), "op5_substring_dedup": SUBSTRING_SQL, "op11_cluster": cluster_sql(), "op13_runs": RUNS_SQL}
