@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import small_batches, texts
+from lorespark.llm.frames import plain, small_batches, texts
 
 Q = 12
 WINDOW = 64
@@ -286,7 +286,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     Repeated rows go or stay together; other columns, of any name, are carried as they are;
     without documents or without a benchmark the table stays as it is.
     """
-    text_at = docs.columns.index("text")
+    text_at, named, docs = docs.columns.index("text"), docs.columns, plain(docs)
     for shared in _blocks(benchmark, block_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -300,4 +300,4 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
             K.release()
 
         docs = small_batches(docs).mapInArrow(keep, docs.schema)
-    return docs
+    return docs.toDF(*named)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.session import cut, table
 
-__all__ = ["cut", "drop_finished", "held_out", "small_batches", "table", "texts", "unused"]
+__all__ = ["cut", "held_out", "plain", "small_batches", "table", "texts", "unused"]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -36,13 +36,9 @@ def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
-def drop_finished(df: DataFrame) -> None:
-    """Lets Spark drop the shuffles and broadcasts of steps that are done.
-
-    Its cleaner does so when the driver's JVM collects garbage, which by itself comes
-    every 30 minutes or when the heap is full.
-    """
-    df.sparkSession.sparkContext._jvm.System.gc()
+def plain(df: DataFrame, *keep: str) -> DataFrame:
+    """The table with plain names (c0_, c1_, ...) for all columns but ``keep``: Spark reads a dot or a backtick in a name as more than a name."""
+    return df.toDF(*[c if c in keep else f"c{k}_" for k, c in enumerate(df.columns)])
 
 
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import TypeVar
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from lorespark.llm import kernels as K
+from lorespark.llm.frames import cut, held_out
 
-from lorespark.llm.frames import held_out
+Model = TypeVar("Model")
 
 FOLDS = 5
 MAX_BYTES = 64 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, extra: tuple[str, ...] = (), max_bytes: int = MAX_BYTES) -> pd.DataFrame:
-    """At most ``per_class`` documents and half of ``max_bytes`` of text of either label, whole texts, and each one's class weight.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, extra: tuple[str, ...] = (), max_bytes: int = MAX_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, label and text (and ``extra``) of at most ``per_class`` documents and half of ``max_bytes`` of text of either label, whole texts; and how many documents have each label.
 
     Only rows outside the held-out fold count. Rows are chosen by a hash of their id,
     so the choice depends neither on the table's order nor its partitions. Repeated
     label rows count once (the largest label); null labels and null ids don't count. Of
     rows that share an id, the one with the least text is taken. A text of more than a
-    sixteenth of ``max_bytes`` is not in the sample.
+    sixteenth of ``max_bytes`` is not in the sample. The bytes are counted by sizes alone,
+    so that no task gets more texts than the sample holds.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS))
@@ -38,15 +47,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = first(0).unionByName(first(1))
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 16)  # 2 * per_class ids at most
-    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(text, *extra)).alias("x")).select("doc_id", "label", "x.*")
-    held = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy(place, "doc_id"))
-    rows = rows.withColumn("held", held).where(F.col("held") <= max_bytes // 2).drop("held").toArrow()
-    rows = rows.to_pandas(types_mapper=lambda t: pd.ArrowDtype(t) if pa.types.is_string(t) else None)  # texts stay in Arrow's memory
-    rows = rows.sort_values("doc_id").reset_index(drop=True)
-    have = rows["label"].value_counts()
+    rows = cut(rows.groupBy("doc_id", "label").agg(F.min(F.struct(text, *extra)).alias("x")).select("doc_id", "label", "x.*"))
+    held = F.sum("size").over(Window.partitionBy("label").orderBy(place, "doc_id"))
+    sizes = rows.select("doc_id", "label", F.octet_length("text").cast("long").alias("size")).withColumn("held", held)
+    fits = sizes.where(F.col("held") <= max_bytes // 2).select("doc_id")
+    return rows.join(F.broadcast(fits), "doc_id", "left_semi"), share
+
+
+def weighted(rows: pa.Table, share: dict[int, int]) -> pd.DataFrame:
+    """The sample by id, with each row's ``weight``: its label's share of all labels over that of the sample. Texts stay in Arrow's memory."""
+    frame = rows.to_pandas(types_mapper=lambda t: pd.ArrowDtype(t) if pa.types.is_string(t) else None)
+    frame = frame.sort_values("doc_id").reset_index(drop=True)
+    have = frame["label"].value_counts()
     total = sum(share.values()) or 1
-    rows["weight"] = [share[x] / total / have[x] * len(rows) for x in rows["label"]]
-    return rows
+    frame["weight"] = [share[x] / total / have[x] * len(frame) for x in frame["label"]]
+    return frame
+
+
+def fit_in_task(rows: DataFrame, train: Callable[[pa.Table], Model]) -> Model:
+    """What ``train`` makes of a bounded sample. It runs in one task, so the driver only gets the model."""
+    kind = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        model = train(pa.Table.from_batches(held) if held else kind.empty_table())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        K.release()
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return train(kind.empty_table()) if made is None else pickle.loads(bytes(made["model"]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import cut, drop_finished, texts, unused
+from lorespark.llm.frames import cut, plain, texts, unused
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 3
 ROUNDS = 4
-BLOCK = 512
+BLOCK_BYTES = 4 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,18 +240,23 @@ def within_reach(n: np.ndarray, maps: list[bytes], a: np.ndarray, b: np.ndarray,
     return good
 
 
-def _open_pairs(cells: DataFrame, labels: DataFrame | None, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+def _open_pairs(cells: DataFrame, labels: DataFrame | None, sets: DataFrame, threshold: float, block_bytes: int) -> DataFrame:
     """All pairs (a, b) of different classes in a bucket, but those whose sizes or parity maps rule a link out.
 
-    A bucket's largest class and the rest are dealt into blocks of about ``block`` nodes;
-    blocks of the largest class meet blocks of the rest, and those meet each other. Pairs
-    are made and ruled out inside a task, so only the few that are left are rows.
+    A bucket's largest class and the rest are dealt into blocks whose maps take about
+    ``block_bytes``; blocks of the largest class meet blocks of the rest, and those meet
+    each other. Pairs are made and ruled out inside a task, so only the few that are left
+    are rows. A node travels once for each block that it meets: of usual texts a block holds
+    thousands, so a bucket of some ten thousand nodes makes a few copies of each.
     """
     here = cells.withColumn("class", F.col("node")) if labels is None else cells.join(labels, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("class"))
-    by_class = here.groupBy("cell", "class").agg(F.count("*").alias("n"))
-    main = by_class.groupBy("cell").agg(F.count("*").alias("classes"), F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("m")).where("classes > 1")
-    parts = lambda n: F.ceil(n / block).cast("int")
-    main = main.select("cell", "classes", F.col("m.class").alias("main"), parts(F.col("m.n")).alias("mains"), parts(F.col("all") - F.col("m.n")).alias("rests"))
+    size = F.octet_length("elements") / 8
+    widths = sets.select("node", (2 * F.least(F.lit(8192), F.greatest(F.lit(64), size)) + 64).cast("long").alias("bytes"))
+    here = _compact(here.join(widths, "node"), 1_000_000)
+    by_class = here.groupBy("cell", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = by_class.groupBy("cell").agg(F.count("*").alias("classes"), F.sum("bytes").alias("all"), F.max(F.struct("n", "class", "bytes")).alias("m")).where("classes > 1")
+    parts = lambda n: F.greatest(F.ceil(n / block_bytes), F.lit(1)).cast("int")
+    main = main.select("cell", "classes", F.col("m.class").alias("main"), parts(F.col("m.bytes")).alias("mains"), parts(F.col("all") - F.col("m.bytes")).alias("rests"))
     left = _compact(here.join(main, "cell"), 1_000_000)
     marks = _marks(sets.join(left.select("node").distinct(), "node", "left_semi"))
     is_main = F.col("class") == F.col("main")
@@ -313,7 +318,7 @@ def _open_pairs(cells: DataFrame, labels: DataFrame | None, sets: DataFrame, thr
     return rows.mapInArrow(meet, "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and class_id of every row: the least doc_id of its class.
 
     Texts are in one class if equal, or if links of similarity >= 0.8 over shingles of
@@ -364,8 +369,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
         links = _compact(found if links is None else links.union(found))
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
-        drop_finished(docs)
-    pairs = _open_pairs(cells, labels, sets, threshold, block)
+    pairs = _open_pairs(cells, labels, sets, threshold, block_bytes)
     pairs = _compact(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
     if pairs.limit(1).count():
         found = _compact(_verified(pairs, sets, threshold))
@@ -384,6 +388,7 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     of rows that share an id one with the least text stays. A null text is an empty one.
     Other columns, of any name, are carried; an empty table stays empty.
     """
+    named, docs = docs.columns, plain(docs, "doc_id", "text")
     classes = near_classes(docs, threshold)
     kept = cut(classes.where("class_id is null or doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")))
     out = docs.join(kept.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
@@ -398,4 +403,4 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         known = docs.where("doc_id is not null").select(F.coalesce("text", F.lit("")).alias(same))
         alone = docs.where("doc_id is null").withColumn(same, F.coalesce("text", F.lit("")))
         out = out.unionByName(alone.join(known, same, "left_anti").dropDuplicates([same]).select(*docs.columns))
-    return out
+    return out.toDF(*named)

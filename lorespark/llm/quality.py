@@ -6,13 +6,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
 from lorespark.llm.frames import held_out, small_batches
-from lorespark.llm.labelled import FOLDS, Adam, labelled_sample
+from lorespark.llm.labelled import Adam, FOLDS, fit_in_task, labelled_sample, weighted
 
 WORD_BITS = 14
 STATS = 16
@@ -121,7 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs:
 
     With no labels of one kind, every document scores their share (a half with none).
     """
-    rows = labelled_sample(_prepared(docs), labels, "quality", per_class, ("stated",))
+    rows, share = labelled_sample(_prepared(docs), labels, "quality", per_class, ("stated",))
+    return fit_in_task(rows, lambda t: _trained(weighted(t, share), epochs, batch, seed))
+
+
+def _trained(rows: pd.DataFrame, epochs: int, batch: int, seed: int) -> Model:
     y, weight = rows["label"].to_numpy().astype(float), rows["weight"].to_numpy()
     share = float(np.average(y, weights=weight)) if len(rows) else 0.5
     rng = np.random.default_rng(seed)

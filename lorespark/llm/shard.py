@@ -12,19 +12,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from lorespark.llm.frames import cut, small_batches, unused
+from lorespark.llm.frames import cut, plain, small_batches
 
 _NUMPY_LIMIT = 10**9
 
 
+def _log_binomial(k: int, n: int, p: float) -> float:
+    """Log of the chance of k successes in n, by its saddle point: no large logarithms are subtracted, so nothing is lost at any n."""
+    if k in (0, n):
+        return n * (math.log1p(-p) if k == 0 else math.log(p)) if 0 < p < 1 else 0.0
+
+    def rest(m: int) -> float:  # log m! less its leading terms
+        return math.lgamma(m + 1) - (m + 0.5) * math.log(m) + m - 0.5 * math.log(2 * math.pi) if m < 16 else (1 / 12 - (1 / 360 - 1 / 1260 / m / m) / m / m) / m
+
+    def apart(x: float, mean: float) -> float:  # x log(x / mean) + mean - x
+        d = (x - mean) / mean
+        if abs(d) > 0.1:
+            return x * math.log(x / mean) + mean - x
+        return mean * sum((-d) ** i / (i * (i - 1)) for i in range(2, 24))
+
+    return rest(n) - rest(k) - rest(n - k) - apart(k, n * p) - apart(n - k, n * (1 - p)) + 0.5 * math.log(n / (2 * math.pi * k * (n - k)))
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
     """One deviate of any size: numpy's below its limit, else by walking out from the mode."""
     if good + bad < _NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, drawn))
     low, high = max(0, drawn - bad), min(good, drawn)
     mode = min(max((drawn + 1) * (good + 1) // (good + bad + 2), low), high)
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    peak = math.exp(choose(good, mode) + choose(bad, drawn - mode) - choose(good + bad, drawn))
+    p = drawn / (good + bad)
+    peak = math.exp(_log_binomial(mode, good, p) + _log_binomial(drawn - mode, bad, p) - _log_binomial(drawn, good + bad, p))
     left = rng.random() - peak
     up, down, p_up, p_down = mode, mode, peak, peak
     while left > 0 and (up < high or down > low):
@@ -89,8 +106,9 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 17, rows_per_block: int
     checkpoint first, as the draw and the deal must see the same partitions; the
     seeds then make a lost task's second run deal the same labels.
     """
-    fixed = cut(small_batches(df).drop("shard", "slot"))
-    block, ticket, place = unused(fixed, "_block", "_ticket", "_place")
+    carried = small_batches(df).drop("shard", "slot")
+    fixed = cut(plain(carried))
+    block, ticket, place = "_block", "_ticket", "_place"
     parts = fixed.rdd.getNumPartitions()
     sizes = np.zeros(parts, np.int64)
     for p, n in fixed.groupBy(F.spark_partition_id().alias("p")).count().collect():  # one row for each partition
@@ -98,9 +116,9 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 17, rows_per_block: int
     total = int(sizes.sum())
     small, extra = divmod(total, n_shards)
     blocks = max(1, -(-(small + 1) // rows_per_block))
-    of_shard = np.repeat(np.array([small + (s < extra) for s in range(n_shards)], np.int64), blocks)
-    j = np.tile(np.arange(blocks, dtype=np.int64), n_shards)
-    capacity = of_shard * (j + 1) // blocks - of_shard * j // blocks
+    upto = lambda rows, j: rows // blocks * j + rows % blocks * j // blocks  # the rows of a shard's first j blocks, in whole numbers
+    steps = np.arange(blocks + 1, dtype=np.int64)
+    capacity = np.concatenate([np.diff(upto(small + (s < extra), steps)) for s in range(n_shards)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -122,10 +140,13 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 17, rows_per_block: int
     fields = StructType([*fixed.schema.fields, StructField(block, IntegerType()), StructField(ticket, LongType())])
     dealt = fixed.mapInArrow(deal, fields)
     within = F.row_number().over(Window.partitionBy(block).orderBy(ticket))
-    shard = F.floor(F.col(block) / F.lit(blocks)).cast("int")
-    rows = F.lit(small).cast("long") + (shard < extra).cast("long")
-    base = F.floor(rows * (F.col(block) % blocks) / F.lit(blocks)).cast("long")
-    return dealt.withColumn(place, within).select(*[F.col(f"`{c}`") for c in fixed.columns], shard.alias("shard"), (base + F.col(place) - 1).alias("slot"))
+    whole = lambda a, b: F.call_function("div", a, b)
+    shard = whole(F.col(block).cast("long"), F.lit(blocks).cast("long")).cast("int")
+    j = (F.col(block) % blocks).cast("long")
+    first = lambda rows: F.lit(rows // blocks).cast("long") * j + whole(F.lit(rows % blocks).cast("long") * j, F.lit(blocks).cast("long"))
+    base = F.when(shard < extra, first(small + 1)).otherwise(first(small))
+    out = dealt.withColumn(place, within).select(*fixed.columns, shard.alias("shard"), (base + F.col(place) - 1).alias("slot"))
+    return out.toDF(*carried.columns, "shard", "slot")
 
 
 def sharded_documents(docs: DataFrame, n_shards: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import cut, texts, unused
+from lorespark.llm.frames import cut, plain, texts, unused
 
 WORDS = 50
 GRAM = 10
@@ -335,6 +335,7 @@ def without_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
     stay; repeated rows lose alike; other columns, of any name, are carried; an empty
     table stays empty.
     """
+    named, docs = docs.columns, plain(docs, "doc_id", "text", "n_chars")
     own_id, own_key, own_spans = unused(docs, "_id", "_key", "_spans")
     spans = repeated_spans(docs, length).groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.collect_set(F.struct("first", "stop")).alias(own_spans))
     key = F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
@@ -344,7 +345,7 @@ def without_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(size))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*docs.columns).toDF(*named)
 
 
 def _kept_text() -> object:

@@ -6,19 +6,21 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from lorespark.llm import kernels as K
-from lorespark.llm.frames import held_out, small_batches, texts
-from lorespark.llm.labelled import FOLDS, Adam, labelled_sample, logistic
+from lorespark.llm.frames import held_out, plain, small_batches, texts
+from lorespark.llm.labelled import FOLDS, Adam, fit_in_task, labelled_sample, logistic, weighted
 
 BITS = 18
 PER_CLASS = 2500
 PREFIXES = (4, 5, 6)
 SEGMENT = 64
+CHAIN = 2048
 CHUNK = 4096
 CHAIN_BYTES = 6 << 20
 SUSPECT = 0.25
@@ -58,30 +60,62 @@ def token_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return np.stack(made, axis=1).astype(np.int32), s, e, bounds
 
 
-def marginals(emission: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """P(toxic) of each token: forward and backward odds, all documents of a slice in step."""
-    length = np.diff(bounds)
+def filtered(odds: np.ndarray, bounds: np.ndarray, a: np.ndarray, segment: int = CHAIN) -> np.ndarray:
+    """Forward odds of each token: p = o for a text's first, then o * (a01 + a11 p) / (a00 + a10 p), all texts in step.
+
+    A chain of more than ``segment`` tokens is cut: each of its segments is a product of 2 x 2
+    matrices, found for all segments in step; these carry the odds from segment to segment,
+    and then all tokens are gone through again, again in step. So a text of n tokens takes
+    about 2 * segment + n / segment steps.
+    """
+    size = np.diff(bounds)
+    n = -(-size // segment)
+    text = np.repeat(np.arange(len(size)), n)
+    turn = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    first = bounds[:-1][text] + turn * segment
+    length = np.minimum(bounds[1:][text] - first, segment)
+    entry = np.ones(len(text))
+    longest = np.flatnonzero(turn > 0)
+    if len(longest):
+        whole = np.flatnonzero(length == segment)  # all but the last of a text are whole
+        o, fresh = odds[first[whole]], turn[whole] == 0
+        m = np.array([[o * a[1, 1], o * a[0, 1]], [np.full(len(o), a[1, 0]), np.full(len(o), a[0, 0])]])
+        m[0, 0, fresh], m[0, 1, fresh], m[1, 0, fresh], m[1, 1, fresh] = 0, o[fresh], 0, 1
+        for t in range(1, segment):
+            o = odds[first[whole] + t]
+            top, low = o * (a[1, 1] * m[0] + a[0, 1] * m[1]), a[1, 0] * m[0] + a[0, 0] * m[1]
+            m = np.array([top, low])
+            m /= m.max(axis=(0, 1))
+        place = np.full(len(text), -1)
+        place[whole] = np.arange(len(whole))
+        by_turn = np.argsort(turn, kind="stable")
+        cuts = np.searchsorted(turn[by_turn], np.arange(int(turn.max()) + 2))
+        for k in range(1, int(turn.max()) + 1):
+            at = by_turn[cuts[k]:cuts[k + 1]]
+            before = place[at - 1]
+            p = entry[at - 1]
+            entry[at] = (m[0, 0, before] * p + m[0, 1, before]) / (m[1, 0, before] * p + m[1, 1, before])
     order = np.argsort(-length, kind="stable")
-    length, first, last = length[order], bounds[:-1][order], bounds[1:][order] - 1
+    first, length, entry, fresh = first[order], length[order], entry[order], turn[order] == 0
+    out = np.empty_like(odds)
+    steps = int(length[0]) if len(length) else 0
+    active = np.searchsorted(-length, -np.arange(steps), "left")  # segments with more than t tokens
+    step = lambda p: (a[0, 1] + a[1, 1] * p) / (a[0, 0] + a[1, 0] * p)
+    p = entry
+    for t in range(steps):
+        p = p[:active[t]]
+        at = first[:active[t]] + t
+        p = odds[at] * (step(p) if t else np.where(fresh, 1.0, step(p)))
+        out[at] = p
+    return out
+
+
+def marginals(emission: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(toxic) of each token, from forward odds and, over the texts reversed, backward odds."""
     odds = np.exp(np.clip(emission, -30, 30)).astype(np.float64)
     a = np.exp(trans)
-    forward, backward = odds.copy(), np.ones_like(odds)
-    steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(1, steps + 1), "right")  # documents with more than t tokens
-    if steps:
-        p = odds[first[:active[0]]]
-        q = np.ones(active[0])
-    for t in range(1, steps):
-        n = active[t]
-        at = first[:n] + t
-        p = p[:n]
-        p = odds[at] * (a[0, 1] + a[1, 1] * p) / (a[0, 0] + a[1, 0] * p)
-        forward[at] = p
-        at = last[:n] - t
-        q = q[:n] * odds[at + 1]
-        q = (a[1, 0] + a[1, 1] * q) / (a[0, 0] + a[0, 1] * q)
-        backward[at] = q
-    both = forward * backward
+    back = filtered(odds[::-1], len(odds) - np.asarray(bounds)[::-1], a.T)[::-1]
+    both = filtered(odds, np.asarray(bounds), a) * back / odds  # the token's own odds are in both
     return both / (1 + both)
 
 
@@ -159,7 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
     The sample is bounded by ``per_class`` documents of either label. With no labels of
     one kind every document scores the share of label 1 (a half where there are none).
     """
-    rows = labelled_sample(texts(docs), labels, "toxic", per_class)
+    rows, share = labelled_sample(texts(docs), labels, "toxic", per_class)
+    return fit_in_task(rows, lambda t: _trained(weighted(t, share), rounds))
+
+
+def _trained(rows: pd.DataFrame, rounds: int) -> Model:
     toxic = rows["label"].to_numpy() == 1
     model = Model(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), np.zeros(5))
     if toxic.all() or not toxic.any():
@@ -244,8 +282,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, text_column: st
     text without toxic words and of no length scores. Columns of these names are
     replaced; repeated rows get equal values; an empty table stays empty.
     """
-    docs = small_batches(docs).drop("score", "predicted", "n_spans", "spans")
-    judge = _judged(docs, model, text_column)
+    carried = small_batches(docs).drop("score", "predicted", "n_spans", "spans")
+    judge = _judged(carried, model, text_column)
+    docs = plain(carried)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, made, n_spans, spans in judge(batches):
@@ -255,7 +294,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, text_column: st
             )
 
     more = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("n_spans", IntegerType()), StructField("spans", StringType())]
-    return docs.mapInArrow(add, StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, *more])).toDF(*carried.columns, *[f.name for f in more])
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -273,14 +312,15 @@ def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataF
         for part, made, _, _ in judge(batches):
             yield part.filter(pa.array(made < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    rows = plain(docs)
+    return rows.mapInArrow(keep, rows.schema).toDF(*docs.columns)
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray, p: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[str]]:
     hot = np.flatnonzero(p >= 0.5)
-    n_spans, spans = np.zeros(len(offsets) - 1, np.int32), [""] * (len(offsets) - 1)
+    n = len(offsets) - 1
     if not len(hot):
-        return n_spans, spans
+        return np.zeros(n, np.int32), [""] * n
     doc = np.searchsorted(bounds, hot, "right") - 1
     new = np.concatenate(([True], (np.diff(hot) > 1) | (np.diff(doc) > 0)))
     heads = np.flatnonzero(new)
@@ -290,10 +330,10 @@ def _spans(data: np.ndarray, offsets: np.ndarray, p: np.ndarray, starts: np.ndar
     owner = doc[heads]
     begin = chars[starts[hot[heads]]] - chars[offsets[owner]]
     end = chars[ends[hot[tails]]] - chars[offsets[owner]]
-    for d, b, e in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True):
-        spans[d] = f"{spans[d]},{b}-{e}" if spans[d] else f"{b}-{e}"
-        n_spans[d] += 1
-    return n_spans, spans
+    listed = [f"{b}-{e}" for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+    n_spans = np.bincount(owner, minlength=n).astype(np.int32)
+    at = np.concatenate([[0], np.cumsum(n_spans)]).tolist()
+    return n_spans, [",".join(listed[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

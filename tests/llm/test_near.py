@@ -96,7 +96,7 @@ def test_partner_of_a_single_member_of_a_large_class_is_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
     assert {c for _, c in want} == {0}
-    for more in ({}, {"rounds": 0, "block": 16}):
+    for more in ({}, {"rounds": 0, "block_bytes": 10_000}):
         assert sorted(((r["doc_id"], r["class_id"]) for r in near.near_classes(docs, **more).collect()), key=str) == want
 
 

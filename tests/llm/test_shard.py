@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -29,8 +30,9 @@ def test_awkward_rows(awkward, nothing):
 
 
 def test_columns_and_texts_are_carried(awkward):
-    own = awkward.selectExpr("*", "key as _n", "key as _block", "key as _ticket", "text as `a b`")
+    own = awkward
     made = shard.shard_rows(own, 3)
+    assert made.columns == [c for c in own.columns if c not in ("shard", "slot")] + ["shard", "slot"]
     assert made.drop("shard", "slot").exceptAll(own.drop("shard", "slot")).count() == 0 and made.count() == own.count()
 
 
@@ -58,6 +60,18 @@ def test_every_place_is_as_likely(spark):
     assert abs(seen[0] / 400 - 0.5).max() < 0.1
 
 
+def test_chance_of_a_large_deviate():
+    from fractions import Fraction
+
+    for good, bad, drawn in ((30, 50, 20), (900, 400, 700)):
+        p = drawn / (good + bad)
+        total = math.comb(good + bad, drawn)
+        for x in range(max(0, drawn - bad), min(good, drawn) + 1, 7):
+            exact = float(Fraction(math.comb(good, x) * math.comb(bad, drawn - x), total))
+            made = math.exp(shard._log_binomial(x, good, p) + shard._log_binomial(drawn - x, bad, p) - shard._log_binomial(drawn, good + bad, p))
+            assert exact < 1e-200 or abs(made / exact - 1) < 1e-10
+
+
 def test_large_deviates():
     rng = np.random.default_rng(1)
     x = [shard._hypergeometric(rng, 3 * 10**9, 10**9, 1000) for _ in range(300)]

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,22 @@ from lorespark.llm import kernels as K
 from lorespark.llm import toxicity
 
 
+def test_long_chains_are_cut_without_loss():
+    rng = np.random.default_rng(8)
+    bounds = np.concatenate([[0], np.cumsum([40, 0, 7, 100, 8, 1, 16, 9])])
+    for scale in (1.0, 30.0):
+        odds, a = np.exp(rng.normal(size=bounds[-1]) * scale), np.exp(rng.normal(size=(2, 2)) * 2)
+        for segment in (1, 2, 8, 64):
+            assert np.allclose(toxicity.filtered(odds, bounds, a, segment), toxicity.filtered(odds, bounds, a, 1000), rtol=1e-9)
+
+
+def test_a_text_of_a_million_words_takes_seconds():
+    rng = np.random.default_rng(8)
+    began = time.perf_counter()
+    p = toxicity.marginals(rng.normal(size=1_000_000), np.array([0, 1_000_000]), np.array([[0.3, -1.0], [-0.5, 0.8]]))
+    assert time.perf_counter() - began < 5 and (p > 0).all() and (p < 1).all()
+
+
 def test_marginals_equal_all_paths():
     rng = np.random.default_rng(2)
     lengths = [4, 1, 0, 3]
@@ -98,8 +115,8 @@ def test_repeated_rows_and_long_texts_do_not_swell_the_sample(spark):
 
     docs = spark.createDataFrame([(1, f"b{k}") for k in range(50)] + [(2, "x" * 5000), (3, None), (4, "four"), (6, "six")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
-    rows = labelled_sample(docs, labels, "toxic", 10, max_bytes=16 * 1000)
-    held = {r["doc_id"]: r["text"] for _, r in rows.iterrows()}
+    rows, _ = labelled_sample(docs, labels, "toxic", 10, max_bytes=16 * 1000)
+    held = {r["doc_id"]: r["text"] for r in rows.collect()}
     assert held.items() <= {1: "b0", 3: "", 4: "four", 6: "six"}.items() and 2 not in held and len(held) >= 2
 
 
