@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from lorespark.functions.text import tokens
 from lorespark.functions.vectors import cosine
 from lorespark.operators import orchestrate as O
 from lorespark.operators import retrieval as R
+from lorespark.operators.index import StoredIndex, fingerprint
 from lorespark.queries.base import query, sql_tokens
 from lorespark.queries.text import embed_sql
-from lorespark.session import table
+from lorespark.session import checkpoint_folder, table
 from lorespark.sources import adapters as A
 
 QUESTIONS = (
@@ -41,9 +44,36 @@ kw AS (SELECT query_id, id, title, left(body, 80) AS snippet, round(raw * confid
 
 @query(f"WITH {BM25}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id) AS rank FROM kw) SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 20")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = R.keyword_hits(A.documents(spark, sf_dir), questions(spark))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "id"))
-    return hits.withColumn("rank", place).where("rank <= 20").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    """From the stored index of the table, which the first call of a session makes."""
+    found = _index(spark, sf_dir).search(questions(spark), 20)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.documents(spark, sf_dir).select("id", F.col("doc_type").alias("source"), "title", "body", "confidence")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    return StoredIndex.of(spark, fingerprint(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), _indexed(spark, sf_dir))
+
+
+_RENEWED_DOCS = "docs AS (SELECT * REPLACE (CASE WHEN doc_type = 'src3' THEN title ELSE body END AS body) FROM docs0 WHERE doc_id % 20 <> 0)"
+
+
+@query(
+    f"WITH {BM25.replace(A.DOCUMENTS_SQL, A.DOCUMENTS_SQL.replace('docs AS', 'docs0 AS', 1) + ', ' + _RENEWED_DOCS)}"
+    ", r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id) AS rank FROM kw) SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 20"
+)
+def bm25_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents of which one source is replaced by its documents' titles and every twentieth document is removed, then compacted."""
+    docs = _indexed(spark, sf_dir)
+    index = StoredIndex.create(docs, f"{checkpoint_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    index.replace(docs.where("source = 'src3'").withColumn("body", F.col("title")))
+    index.remove(A.documents(spark, sf_dir).where("doc_id % 20 = 0").select("id"))
+    before = index.search(questions(spark), 20)
+    index.compact()
+    after = index.search(questions(spark), 20)
+    return before.intersect(after).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH t AS (SELECT doc_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM documents) SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term")
