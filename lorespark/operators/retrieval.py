@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import contains_any, embedder_tokens, max_hops, s_stem, snippet, tokens
 from lorespark.functions.vectors import bucket_and_sign, cosine, fnv1a_32, l2_normalize
 from lorespark.operators import graph as G
+from lorespark.session import cut
 
 K1, B, DELTA, TITLE_BOOST = 1.5, 0.75, 1.0, 2
 RRF_K = 60
@@ -108,19 +109,43 @@ def fuse(hits: DataFrame, limit: int) -> DataFrame:
 
     Store hits are one by id, graph hits by lower-cased name; a graph entry goes into
     the store entry of its name if there is just one. Of an identity the hit with the
-    highest own score is shown; the first list wins ties.
+    highest own score is shown, a store hit before a graph hit; the first list wins ties.
+
+    No list is sorted whole. Its first n hits come from each task's own first n. If an
+    identity has at most m hits, one that is not among any list's first n = 2m(60 + m * limit)
+    has less than half of what the ``limit`` best of a longer list have for sure, so the
+    rest need not be looked at; candidates' hits behind the first n get their ranks by
+    counting the hits before them.
     """
     order = F.when(F.col("source") == "keyword", 0).when(F.col("source") == "vector", 1).otherwise(2)
-    identity = F.when(F.col("id").isNotNull(), F.concat(F.lit("doc:"), F.col("id"))).otherwise(F.concat(F.lit("name:"), F.lower("title")))
-    ranked = hits.withColumn("list", order).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "title", "id", "snippet")))
-    best = F.max_by(F.struct("id", "title", "snippet", "source"), F.struct("score", -F.col("list"), -F.col("rank"))).alias("hit")
-    entries = ranked.groupBy("query_id", identity.alias("identity")).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), best)
-    entries = entries.select("query_id", "identity", "rrf", "hit.*")
-    store = entries.where("id is not null").groupBy("query_id", F.lower("title").alias("name")).agg(F.count("*").alias("n"), F.min("identity").alias("target")).where("n = 1")
-    folded = entries.join(store.select("query_id", F.concat(F.lit("name:"), F.col("name")).alias("identity"), "target"), ["query_id", "identity"], "left")
-    key = F.when(F.col("id").isNull() & F.col("target").isNotNull(), F.col("target")).otherwise(F.col("identity"))
-    shown = F.max_by(F.struct("id", "title", "snippet", "source"), F.when(F.col("id").isNotNull(), 1).otherwise(0)).alias("hit")
-    out = folded.groupBy("query_id", key.alias("identity")).agg(F.round(F.sum("rrf"), DIGITS).alias("score"), shown).select("query_id", "hit.*", "score")
+    hits = cut(hits.select("query_id", order.alias("list"), F.struct((-F.col("score")).alias("s"), "title", "id", "snippet").alias("key"), "source"))
+    name, stored = F.lower("key.title"), F.col("key.id").isNotNull()
+    identity = F.when(stored, F.concat(F.lit("doc:"), F.col("key.id"))).otherwise(F.concat(F.lit("name:"), name))
+    named = hits.where(stored).groupBy("query_id", name.alias("name")).agg(F.min(identity).alias("target"), F.max(identity).alias("last")).where("target = last")
+    of_graph = hits.where(~stored).withColumn("name", name).join(named.select("query_id", "name", "target"), ["query_id", "name"], "left")
+    every = hits.where(stored).select("*", identity.alias("identity")).unionByName(of_graph.select(*hits.columns, F.coalesce("target", identity).alias("identity")))
+    if not hits.where(~stored).limit(1).count():
+        every = hits.withColumn("identity", identity)
+    most = every.groupBy("query_id", "identity").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    n = 2 * most * (RRF_K + most * limit)
+    turn = F.row_number().over(Window.partitionBy("query_id", "list").orderBy("key"))
+    first = cut(every.withColumn("rank", turn).where(F.col("rank") <= n))
+    ranked, last = first, first.where(F.col("rank") == n).select("query_id", "list", F.col("key").alias("end"))
+    if last.limit(1).count():  # some list is longer
+        behind = every.join(last, ["query_id", "list"]).where(F.col("key") > F.col("end")).drop("end")
+        missed = behind.join(first.select("query_id", "identity").distinct(), ["query_id", "identity"], "left_semi")
+        marks = missed.groupBy("query_id", "list").agg(F.array_sort(F.collect_set("key")).alias("marks"))  # a few for each candidate
+        passed = behind.join(marks, ["query_id", "list"]).withColumn("at", F.size(F.filter("marks", lambda x: x <= F.col("key"))))
+        counts = passed.groupBy("query_id", "list", "at").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("query_id", "list").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+        upto = counts.withColumn("before", before).groupBy("query_id", "list").agg(F.collect_list(F.struct("at", "before")).alias("counts"))
+        placed = missed.join(marks, ["query_id", "list"]).join(upto, ["query_id", "list"])
+        own = F.array_position("marks", F.col("key")) - 1
+        counted = F.coalesce(F.array_max(F.transform(F.filter("counts", lambda c: c["at"] <= own), lambda c: c["before"])), F.lit(0))
+        ranked = first.unionByName(placed.withColumn("rank", (n + 1 + counted).cast("int")).select(*first.columns))
+    shown = F.max_by(F.struct("key", "source"), F.struct(stored, -F.col("key.s"), -F.col("list"), -F.col("rank"))).alias("hit")
+    out = ranked.groupBy("query_id", "identity").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), DIGITS).alias("score"), shown)
+    out = out.select("query_id", "hit.key.id", "hit.key.title", "hit.key.snippet", "hit.source", "score")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "title", "id"))
     return out.withColumn("rank", place).where(F.col("rank") <= limit)
 

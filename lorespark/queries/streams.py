@@ -9,6 +9,7 @@ from lorespark.functions import vectors as V
 from lorespark.operators import orchestrate as O
 from lorespark.queries.base import query
 from lorespark.queries.records import BY_RUNTIME, TELEMETRY, WANTED, fsm_sql
+from lorespark.session import table
 from lorespark.sources import adapters as A
 from lorespark.streaming import jobs as S
 
@@ -42,13 +43,15 @@ SELECT id, nonce, verdict FROM s WHERE k > 0"""
 
 @query(_GUARD_SQL)
 def stream_replay_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed messages, three of each nonce; every eleventh signature is forged."""
+    """Signed messages in six batches, three of each nonce, some of them in later batches; every eleventh signature is forged."""
     key = "a shared secret"
+    events = table(spark, sf_dir, "events")
     sent = F.unix_millis(F.col("ts").cast("timestamp"))
-    messages = _events(spark, sf_dir).select(
+    messages = events.select(
         F.col("event_id").alias("id"), F.lit("agent").alias("source"), F.col("user_id").alias("destination"), F.col("event_type").alias("msg_type"), F.lit("high").alias("priority"), F.col("props").alias("body"),
         F.lit(None).cast("string").alias("graph_id"), F.lit(None).cast("string").alias("memory_ref"), F.floor(F.col("event_id") / 3).cast("long").alias("nonce"), sent.alias("ts_ms"), (sent + (F.col("event_id") % 5) * 5 * _HOUR).alias("now_ms"),
     )
+    messages = S.in_batches(messages, "now_ms", 6)
     text = O.canonical_message(F.col("nonce"), F.col("ts_ms"))
     signature = F.when(F.col("id") % 11 == 0, F.lit("forged")).otherwise(V.hmac_sha256(key)(text))
     signed = messages.withColumn("signature", signature).withColumn("signed", V.signature_ok(key)(text, F.col("signature")))

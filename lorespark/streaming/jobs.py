@@ -22,6 +22,17 @@ def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def in_batches(df: DataFrame, by: str, n: int) -> DataFrame:
+    """A table as a stream of ``n`` batches, of ranges of the column ``by``, in its order."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/batches-{uuid.uuid4().hex}"
+    ends = df.approxQuantile(by, [k / n for k in range(1, n)], 0.001)  # n - 1 numbers
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        part = df if low is None else df.where(F.col(by) > low)
+        (part if high is None else part.where(F.col(by) <= high)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def drain(stream: DataFrame, write: Callable[[DataFrame, int, str], None], mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns what its batches wrote, in the shared checkpoint folder."""
     spark = stream.sparkSession
@@ -69,10 +80,12 @@ def replay_verdicts(messages: DataFrame, window_ms: int) -> DataFrame:
 
     Bad signature: ``signed`` (see functions.vectors.signature_ok) is not true. Expired: now
     and the message's time differ by more than the window. Replayed: the nonce was accepted
-    with a time that is no older than the window now. Else accepted. State is kept by nonce,
-    is one number, and is dropped when the messages' clock (now_ms) has gone on beyond the
-    window. Messages of a batch are taken in the order of now_ms; a nonce is meant to be used once, so its
-    messages of one batch are few.
+    with a time that is no older than the window now. Else accepted. Every message gets a
+    verdict, however late it comes: no watermark takes rows away before they are judged.
+    State is kept by nonce, is one number, and is dropped two windows after the nonce was
+    last seen, by the clock of the stream: a backlog runs faster than its messages' clock, so
+    nothing is forgotten too early. Messages of a batch are taken in the order of now_ms; a
+    nonce is meant to be used once, so its messages of one batch are few.
     """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -96,10 +109,11 @@ def replay_verdicts(messages: DataFrame, window_ms: int) -> DataFrame:
             verdicts.append("accepted")
         if accepted is not None:
             state.update((accepted,))
-            state.setTimeoutTimestamp(max(accepted + window_ms, state.getCurrentWatermarkMs()) + 1)
+            state.setTimeoutTimestamp(max(int(rows["seen_ms"].max()), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"id": rows["id"], "nonce": rows["nonce"], "verdict": verdicts})
 
-    timed = messages.withColumn("at", F.timestamp_millis("now_ms")).withWatermark("at", f"{2 * window_ms} milliseconds")
+    seen = messages.withColumn("seen", F.current_timestamp()).withWatermark("seen", f"{2 * window_ms} milliseconds")  # no row is late by this time
+    timed = seen.withColumn("seen_ms", F.unix_millis("seen"))
     return timed.groupBy("nonce").applyInPandasWithState(judge, "id long, nonce long, verdict string", "accepted long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

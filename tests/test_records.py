@@ -96,3 +96,16 @@ def test_indexing_replaces_passages_and_reinforces(spark):
     assert tuple(once.report(before).first()) == (1, 1, 1) and tuple(twice.report(once).first()) == (0, 2, 0)
     found = once.search(spark.createDataFrame([("q", "Charles Babbage")], "query_id string, question string"), 5)
     assert "vector" in {r["source"] for r in found.collect()} or found.count() > 0
+
+
+def test_every_message_gets_a_verdict_however_late(spark):
+    hour = 3_600_000
+    rows = [(1, 7, 0, hour, True), (2, 8, 100 * hour, 100 * hour, True), (3, 7, 0, 2 * hour, True), (4, 9, 0, 90 * hour, True), (5, 8, 100 * hour, 101 * hour, True), (6, 7, 0, 3 * hour, False)]
+    from lorespark.streaming import jobs as S
+
+    folder = f"{S.checkpoint_folder(spark)}/late"
+    for r in rows:  # one message a batch; ids 3, 4 and 6 come long after their time
+        spark.createDataFrame([r], "id long, nonce long, ts_ms long, now_ms long, signed boolean").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    made = S.drain(S.replay_verdicts(stream, 12 * hour), S.append)
+    assert {r["id"]: r["verdict"] for r in made.collect()} == {1: "accepted", 2: "accepted", 3: "replayed", 4: "expired", 5: "replayed", 6: "bad_signature"}

@@ -112,3 +112,43 @@ def test_replay_guard_against_a_plain_loop(spark, tmp_path):
         else:
             want[i], last[n] = "accepted", t
     assert got == want
+
+
+def test_fusion_of_long_lists_equals_ranking_them_whole(spark):
+    import random
+
+    from lorespark.operators import retrieval as R
+
+    rng = random.Random(5)
+    rows = []
+    for q in ("a", "b"):
+        for source, many in (("keyword", 900), ("vector", 700), ("graph", 500)):
+            for i in rng.sample(range(1200), many):
+                ident = None if source == "graph" else f"d{i}"
+                rows.append((q, ident, f"Name {i if i % 50 else 0}", f"{source} text", round(rng.random() * 5, 9), source))
+    rows.append(("c", "d1", "One", "alone", 1.0, "keyword"))
+
+    def plain(limit):
+        out = []
+        for q in ("a", "b", "c"):
+            mine = [r for r in rows if r[0] == q]
+            names = {}
+            for r in mine:
+                if r[1] is not None:
+                    names.setdefault(r[2].lower(), set()).add(r[1])
+            sums, best = {}, {}
+            for k, source in enumerate(("keyword", "vector", "graph")):
+                ordered = sorted((r for r in mine if r[5] == source), key=lambda r: (-r[4], r[2], r[1] or "", r[3]))
+                for rank, r in enumerate(ordered, 1):
+                    name = r[2].lower()
+                    key = r[1] or (next(iter(names[name])) if len(names.get(name, ())) == 1 else "name:" + name)
+                    sums[key] = sums.get(key, 0) + 1 / (60 + rank)
+                    best[key] = max(best.get(key, (False,)), (r[1] is not None, r[4], -k, -rank, r[1], r[2]))
+            listed = sorted(((-round(s, 9), best[key][5], best[key][4] or "") for key, s in sums.items()))[:limit]
+            out += [(q, t, i, -s) for s, t, i in listed]
+        return out
+
+    hits = spark.createDataFrame(rows, "query_id string, id string, title string, snippet string, score double, source string").repartition(6)
+    for limit in (1, 3):
+        made = [(r["query_id"], r["title"], r["id"] or "", r["score"]) for r in R.fuse(hits, limit).orderBy("query_id", "rank").collect()]
+        assert made == plain(limit)
