@@ -70,9 +70,10 @@ def fit_in_task(rows: DataFrame, train: Callable[[pa.Table], Model]) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
-        model = train(pa.Table.from_batches(held) if held else kind.empty_table())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        made = pickle.dumps(train(pa.Table.from_batches(held) if held else kind.empty_table()))
+        del held
         K.release()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
     made = rows.repartition(1).mapInArrow(run, "model binary").first()
     return train(kind.empty_table()) if made is None else pickle.loads(bytes(made["model"]))
