@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from lorespark.functions import vectors as V
 from lorespark.operators import orchestrate as O
 from lorespark.queries.base import query
 from lorespark.queries.records import BY_RUNTIME, TELEMETRY, WANTED, fsm_sql
-from lorespark.session import table
+from lorespark.session import checkpoint_folder, table
 from lorespark.sources import adapters as A
+from lorespark.streaming import feed
 from lorespark.streaming import jobs as S
 
 
@@ -66,3 +69,20 @@ def stream_task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).select(F.col("user_id").cast("long").alias("task"), F.col("event_id").cast("long").alias("seq"), wanted.alias("wanted"))
     out = S.drain(S.state_changes(events), S.append)
     return out.groupBy("task").agg(F.max_by(F.struct("state", "attempts", "rejected"), "seq").alias("s")).select("task", "s.*")
+
+
+@query(f"""WITH {A.NODES_SQL}, {A.EDGES_SQL}, ends AS (SELECT DISTINCT unnest([src, dst]) AS node FROM edges WHERE dst LIKE 'region-%')
+SELECT CASE WHEN kind = 'nation' THEN replace(id, 'nation-', 'atlas-') ELSE 'node:' || id END AS id, id AS node, label AS title, confidence,
+  (CASE WHEN id IN (SELECT node FROM ends) THEN 3 WHEN confidence // 2 <> confidence THEN 2 ELSE 1 END)::BIGINT AS version FROM nodes WHERE kind <> 'region'""")
+def stream_graph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of the whole graph as a feed: all nodes and edges, then other confidences, then no regions; nations have documents already."""
+    nodes, edges = A.nodes(spark, sf_dir), A.edges(spark, sf_dir)
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    first = nodes.withColumn("confidence", F.floor(F.col("confidence") / 2).cast("int"))
+    last = nodes.where("kind <> 'region'"), edges.where("dst not like 'region-%'")
+    none = nodes.where("false"), edges.where("false")
+    feed.publish(feed.node_changes(none[0], first).unionByName(feed.edge_changes(none[1], edges)), folder, 1)
+    feed.publish(feed.node_changes(first, nodes), folder, 2)
+    feed.publish(feed.node_changes(nodes, last[0]).unionByName(feed.edge_changes(edges, last[1])), folder, 3)
+    known = nodes.where("kind = 'nation'").select(F.regexp_replace("id", "^nation-", "atlas-").alias("id"), F.col("id").alias("node"))
+    return feed.follow_to(feed.follow(spark, folder, 3), known)
