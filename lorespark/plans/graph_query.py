@@ -66,14 +66,16 @@ class GraphQuery:
         targets = nodes if self.related == "*" else nodes.where(F.lower("kind") == self.related.lower())
         return self._bounds(targets).join(reached, "id", "left_semi")
 
-    def _ordered(self, df: DataFrame) -> DataFrame:
+    def _first(self, df: DataFrame, sort: bool) -> DataFrame:
+        """The first rows, where there is a limit; else all, in order only if that is asked for: a union of sections keeps none."""
         first = F.asc("confidence") if self.ascending else F.desc("confidence")
-        df = df.orderBy(first, "label", "id")
-        return df if self.limit is None else df.limit(self.limit)
+        if self.limit is not None:
+            return df.orderBy(first, "label", "id").limit(self.limit)
+        return df.orderBy(first, "label", "id") if sort else df
 
-    def run(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        """section ("primary" or "related"), id, label, kind, confidence, date, provenance."""
-        shape = lambda df, section: self._ordered(df).select(F.lit(section).alias("section"), "id", *MATCH)
+    def run(self, nodes: DataFrame, edges: DataFrame | None = None, sort: bool = True) -> DataFrame:
+        """section ("primary" or "related"), id, label, kind, confidence, date, provenance; in order, if there is one section."""
+        shape = lambda df, section: self._first(df, sort and self.related is None).select(F.lit(section).alias("section"), "id", *MATCH)
         out = shape(self.primary(nodes), "primary")
         if self.related is not None:
             out = out.union(shape(self.neighbours(nodes, edges), "related"))
@@ -81,7 +83,7 @@ class GraphQuery:
 
     def edges_among(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         """The edges between any two nodes of the result."""
-        ids = self.run(nodes, edges).select("id").distinct()
+        ids = self.run(nodes, edges, sort=False).select("id").distinct()
         return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "kind")
 
 

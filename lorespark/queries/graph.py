@@ -76,7 +76,7 @@ def kql_return_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {A.NODES_SQL}, {A.EDGES_SQL}, p AS (SELECT id FROM nodes WHERE kind = 'supplier' AND confidence > 70), r AS (SELECT id FROM nodes WHERE kind = 'nation' AND confidence > 70 AND id IN (SELECT dst FROM edges JOIN p ON src = id)), "
-    "a AS (SELECT id FROM p UNION SELECT id FROM r) SELECT src, dst, kind FROM edges WHERE src IN (SELECT id FROM a) AND dst IN (SELECT id FROM a)"
+    "a AS MATERIALIZED (SELECT id FROM p UNION SELECT id FROM r) SELECT src, dst, kind FROM edges SEMI JOIN (SELECT id AS src FROM a) USING (src) SEMI JOIN (SELECT id AS dst FROM a) USING (dst)"
 )
 def kql_return_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = GraphQuery(kind="supplier", related="nation", where=lambda c: c > 70)

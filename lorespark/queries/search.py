@@ -146,19 +146,22 @@ def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.expansion_terms(docs, feedback, qs, 5).select("query_id", "term", F.round("weight", 6).alias("weight"), "place")
 
 
-_WISHES = (("s1", "scheduler priorities"), ("s2", "delete the task queries"), ("s3", "graphs and nodes"), ("s4", "idle words"))
+_WORDS = sorted({w for g in R.SYNONYMS for w in g})
 _SYN = "sy(term, synonym) AS (VALUES " + ", ".join(f"('{w}', '{s}')" for g in R.SYNONYMS for w in g for s in g if w != s) + ")"
 
 
 @query(
-    f"""WITH w(query_id, question) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _WISHES)}), {_SYN}, tk AS (SELECT query_id, {sql_tokens('question')} AS t FROM w), e AS (SELECT query_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS pos FROM tk),
+    f"""WITH w AS (SELECT conv_id || '-' || turn AS query_id, text || ' ' || {_WORDS}[1 + (conv_id * 7 + turn) % {len(_WORDS)}] AS question FROM conversations), {_SYN}, tk AS (SELECT query_id, {sql_tokens('question')} AS t FROM w), e AS (SELECT query_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS pos FROM tk),
 s AS (SELECT term, synonym FROM sy), stems AS (SELECT DISTINCT ({sql_tokens('term')})[1] AS stem, synonym, ({sql_tokens('synonym')})[1] AS other FROM s),
 f AS (SELECT query_id, other, min(struct_pack(a := pos, s := synonym)) AS m FROM e JOIN stems ON tok = stem WHERE (query_id, other) NOT IN (SELECT (query_id, tok) FROM e) GROUP BY ALL)
 SELECT query_id, m.s AS term, row_number() OVER (PARTITION BY query_id ORDER BY m.a, m.s)::INTEGER AS place FROM f QUALIFY place <= 10"""
 )
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wishes = spark.createDataFrame(list(_WISHES), "query_id string, question string")
-    return R.synonym_terms(wishes, R.synonym_table(spark), 10)
+    """Every turn of the conversations as a question, each with a word that has synonyms behind it."""
+    turns = table(spark, sf_dir, "conversations")
+    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (1 + (F.col("conv_id") * 7 + F.col("turn")) % len(_WORDS)).cast("int"))
+    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.concat_ws(" ", "text", word).alias("question"))
+    return R.synonym_terms(asked, R.synonym_table(spark), 10)
 
 
 @query()
