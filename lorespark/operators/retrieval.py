@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import contains_any, embedder_tokens, max_hops, s_stem, snippet, tokens
-from lorespark.functions.vectors import bucket_and_sign, cosine, fnv1a_32, l2_normalize
+from lorespark.functions.vectors import bucket_and_sign, fnv1a_32, l2_normalize
 from lorespark.operators import graph as G
+from lorespark.operators.scan import compare
 from lorespark.session import cut
 
 K1, B, DELTA, TITLE_BOOST = 1.5, 0.75, 1.0, 2
@@ -71,9 +72,8 @@ def keyword_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def vector_hits(vectors: DataFrame, query_vectors: DataFrame, docs: DataFrame | None = None, threshold: float = VECTOR_THRESHOLD) -> DataFrame:
-    """Exact cosine hits of ``vectors`` (id, embedding) for a stated batch of query vectors, in full."""
-    pairs = vectors.crossJoin(query_vectors.select("query_id", F.col("embedding").alias("q")))
-    near = pairs.withColumn("sim", cosine(F.col("q"), F.col("embedding"))).where(F.col("sim") >= threshold).select("query_id", "id", "sim")
+    """Exact cosine hits of ``vectors`` (id, embedding) for a stated batch of query vectors, in full, by blocks (see operators.scan)."""
+    near = compare(vectors, query_vectors, threshold=threshold)
     if docs is None:
         return near
     out = near.join(docs.select("id", "title", "confidence", snippet(F.col("body")).alias("snippet")), "id")

@@ -12,6 +12,7 @@ from lorespark.functions.vectors import cosine
 from lorespark.operators import orchestrate as O
 from lorespark.operators import retrieval as R
 from lorespark.operators.index import StoredIndex, fingerprint
+from lorespark.operators.scan import nearest
 from lorespark.queries.base import query, sql_tokens
 from lorespark.queries.text import embed_sql
 from lorespark.session import checkpoint_folder, table
@@ -85,14 +86,12 @@ def bm25_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-@query(f"WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id < 5), s AS (SELECT q, vec_id, round({_COS.format(a='e', b='embedding')}, 9) AS sim FROM embeddings, q WHERE vec_id <> q) SELECT q AS query_id, vec_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10")
+@query(f"WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, vec_id, round({_COS.format(a='e', b='embedding')}, 9) AS sim FROM embeddings, q WHERE vec_id <> q) SELECT q AS query_id, vec_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact top-k: the query vectors go to all tasks, and each task passes on its own best."""
+    """The ten nearest others of every vector whose id is divisible by 20, among all."""
     v = A.vectors(spark, sf_dir)
-    near = R.vector_hits(v.select(F.col("vec_id").alias("id"), "embedding"), v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), threshold=-2.0).where("id <> query_id")
-    sim = near.withColumn("sim", F.round("sim", 9))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
-    return sim.withColumn("rank", place).where("rank <= 10").select("query_id", F.col("id").alias("vec_id"), F.round("sim", 6).alias("sim"), "rank")
+    near = nearest(v.select(F.col("vec_id").alias("id"), "embedding"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, apart=True)
+    return near.select("query_id", F.col("id").alias("vec_id"), F.round("sim", 6).alias("sim"), "rank")
 
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS.format(a='a.embedding', b='b.embedding')}, 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -170,16 +169,15 @@ def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mmr(pool.select("query_id", "id", "title", "snippet", "score", "rank"), 0.7, 10)
 
 
-_RUNS = f"q AS (SELECT vec_id AS q, embedding AS e, label AS l FROM embeddings WHERE vec_id < 20), s AS (SELECT q, l, vec_id, label, round({_COS.format(a='e', b='embedding')}, 9) AS sim FROM embeddings, q WHERE vec_id <> q), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank, (label = l)::INTEGER AS rel FROM s), t AS (SELECT q, count(*) AS n FROM s WHERE label = l GROUP BY q), k AS (SELECT *, sum(rel) OVER (PARTITION BY q ORDER BY rank) AS so_far FROM r WHERE rank <= 50)"
+_RUNS = f"q AS (SELECT vec_id AS q, embedding AS e, label AS l FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, l, vec_id, label, round({_COS.format(a='e', b='embedding')}, 9) AS sim FROM embeddings, q WHERE vec_id <> q), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank, (label = l)::INTEGER AS rel FROM s), t AS (SELECT q, count(*) AS n FROM s WHERE label = l GROUP BY q), k AS (SELECT *, sum(rel) OVER (PARTITION BY q ORDER BY rank) AS so_far FROM r WHERE rank <= 50)"
 _METRICS = "m AS (SELECT q AS query_id, sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) / 10.0::DOUBLE AS precision, sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) / any_value(n)::DOUBLE AS recall, coalesce(max(CASE WHEN rel = 1 THEN 1.0::DOUBLE / rank END), 0) AS rr, sum(CASE WHEN rank <= 10 AND rel = 1 THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1)))) AS ndcg, sum(CASE WHEN rel = 1 THEN so_far / rank::DOUBLE ELSE 0 END) / any_value(n) AS ap FROM k JOIN t USING (q) GROUP BY q)"
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = A.vectors(spark, sf_dir)
-    qs = v.where("vec_id < 20")
-    near = R.vector_hits(v.select(F.col("vec_id").alias("id"), "embedding"), qs.select(F.col("vec_id").alias("query_id"), "embedding"), threshold=-2.0).where("id <> query_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "id"))
-    runs = near.withColumn("rank", place).where("rank <= 50").select("query_id", "rank", F.col("id").alias("item"))
+    qs = v.where("vec_id % 20 = 0")
+    near = nearest(v.select(F.col("vec_id").alias("id"), "embedding"), qs.select(F.col("vec_id").alias("query_id"), "embedding"), 50, apart=True)
+    runs = near.select("query_id", "rank", F.col("id").alias("item"))
     truth = qs.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("item"), "label"), "label").where("item <> query_id")
     return R.ranking_metrics(runs, truth.select("query_id", "item"), 10)
 
