@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from lorespark.functions import vectors as V
 from lorespark.operators import corpus as C
 from lorespark.operators import retrieval as R
 from lorespark.queries.base import NOT_ALNUM, query, sql_stem, sql_tokens, sql_trim
-from lorespark.session import table
+from lorespark.session import checkpoint_folder, table
 from lorespark.sources import adapters as A
+from lorespark.sources import docfiles
 
 WITH_DOCS = f"WITH {A.DOCUMENTS_SQL}"
 
@@ -236,3 +239,18 @@ def form_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     q = F.when(F.contains(F.col("url"), F.lit("?")), F.regexp_extract("url", r"\?([^#]*)", 1))
     return table(spark, sf_dir, "pages").select("page_id", F.nullif(form_fields(q)["ref"], F.lit("")).alias("ref"))
+
+
+@query("""WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT 'doc-' || d.doc_id AS id, coalesce(source, 'note') AS doc_type, coalesce(left(split_part(text, chr(10), 1), 40), '') AS title, sha256(coalesce(text, '')) AS body_sha256, lang AS language, coalesce(quality * 100, 50)::INTEGER AS confidence
+FROM documents d LEFT JOIN l USING (doc_id)""")
+def document_file_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, written as files and read back; a third of them is deleted between and written again."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    docs = A.documents(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    docfiles.save(docs, folder)
+    third = docs.where(F.crc32(F.col("id").cast("binary")) % 3 == 0)
+    docfiles.delete(third, folder)
+    docfiles.save(third, folder)
+    got, _ = docfiles.load(spark, folder)
+    return got.select("id", "doc_type", "title", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"), F.col("metadata")["lang"].alias("language"), "confidence")

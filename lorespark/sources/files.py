@@ -11,15 +11,20 @@ from lorespark.session import cut
 
 
 def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Documents of a folder of ``<id>.doc`` files; and the paths that are no UTF-8 and were passed over.
+    """Documents of a folder of ``<id>.doc`` files; and the paths that are no UTF-8 and were passed over."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.doc").load(folder)
+    raw = raw.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+    good, bad = raw.where("content is not null"), raw.where("content is null").select("path")
+    return parse_documents(good.select(F.regexp_extract("path", r"([^/]+)\.doc$", 1).alias("id"), "content")), bad
+
+
+def parse_documents(contents: DataFrame) -> DataFrame:
+    """Documents of files' contents (id, content).
 
     A file is header lines "key: value" up to the first blank line, then the body as it
     stands. Of lines with one key the last counts. Keys that start with "meta." make the metadata. A malformed embedding is
     null as a whole; a missing confidence is 0.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.doc").load(folder)
-    raw = raw.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
-    good, bad = raw.where("content is not null"), raw.where("content is null").select("path")
     at = F.instr("content", "\n\n")
     head = F.when(at > 0, F.substring("content", F.lit(1), at - 1)).otherwise(F.rtrim(F.col("content")))
     body = F.when(at > 0, F.substring("content", at + 2, F.length("content"))).otherwise(F.lit(""))
@@ -27,7 +32,7 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     pair = lambda x: F.struct(unescape(F.substring_index(x, ":", 1)).alias("key"), unescape(F.regexp_replace(x, "^[^:]*: ?", "")).alias("value"))
     pairs = F.transform(lines, pair)
     fields = F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"])))
-    df = good.select(F.regexp_extract("path", r"([^/]+)\.doc$", 1).alias("id"), fields.alias("f"), body.alias("body"))
+    df = contents.select("id", fields.alias("f"), body.alias("body"))
     numbers = F.transform(F.split(F.col("f")["embedding"], "[, ]+"), lambda x: x.try_cast("float"))
     embedding = F.when(F.exists(numbers, lambda x: x.isNull()), F.lit(None)).otherwise(numbers)
     return df.select(
@@ -39,7 +44,7 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
         F.transform_keys(F.map_filter("f", lambda k, _: F.startswith(k, F.lit("meta."))), lambda k, _: F.regexp_replace(k, r"^meta\.", "")).alias("metadata"),
         embedding.alias("embedding"),
         F.coalesce(F.col("f")["confidence"].try_cast("int"), F.lit(0)).alias("confidence"),
-    ), bad
+    )
 
 
 def escape(value: Column, key: bool = False) -> Column:
@@ -56,12 +61,12 @@ def unescape(value: Column) -> Column:
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """id and the content of each document's file."""
+    """id and the content of each document's file; a null body is an empty one."""
     line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), escape(c.cast("string"))))
     entries = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(F.lit("meta."), escape(e["key"], key=True), F.lit(": "), escape(e["value"])))
     vector = F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string")))
     head = [line("type", F.col("doc_type")), line("title", F.col("title")), line("author", F.col("author")), line("confidence", F.col("confidence")), F.when(F.col("embedding").isNotNull(), F.concat(F.lit("embedding: "), vector))]
-    return docs.select("id", F.concat(F.concat_ws("\n", *head, F.concat_ws("\n", entries)), F.lit("\n\n"), "body").alias("content"))
+    return docs.select("id", F.concat(F.concat_ws("\n", *head, entries), F.lit("\n\n"), F.coalesce("body", F.lit(""))).alias("content"))
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +78,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     some = lambda c: F.when(c != "", c)
     at = lambda i: F.try_element_at("p", F.lit(i))
     nodes = parts.where((at(1) == "N") & (F.size("p") >= 7)).select(
-        at(2).alias("id"), F.lower(F.trim(at(3))).alias("kind"), F.concat_ws("\t", F.slice("p", 7, 1000)).alias("label"),
+        at(2).alias("id"), F.lower(F.trim(at(3))).alias("kind"), F.concat_ws("\t", F.slice("p", F.lit(7), F.size("p"))).alias("label"),
         F.least(F.coalesce(at(4).try_cast("int"), F.lit(0)), F.lit(100)).alias("confidence"), some(at(5)).alias("date"), some(at(6)).alias("provenance"),
     )
     return nodes, parts.where((at(1) == "E") & (F.size("p") >= 4)).select(at(2).alias("src"), at(3).alias("dst"), at(4).alias("kind"))
