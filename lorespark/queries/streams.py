@@ -13,6 +13,7 @@ from lorespark.queries.base import query
 from lorespark.queries.records import BY_RUNTIME, TELEMETRY, WANTED, fsm_sql
 from lorespark.session import checkpoint_folder, table
 from lorespark.sources import adapters as A
+from lorespark.streaming import events as E
 from lorespark.streaming import feed, sessions
 from lorespark.streaming import jobs as S
 
@@ -111,3 +112,47 @@ def stream_session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         notes = came.where("role <> 'assistant'").select("session", "at", "task", F.col("text").alias("hint"), (size % 101).alias("score"))
         log = sessions.record(sessions.executions(runs).unionByName(sessions.reflections(notes)), f"{folder}/session", known)
     return log.select("id", "session", "seq", "doc_type", "title", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"), "confidence")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a time zone's timestamps and their milliseconds."""
+    own = table(spark, sf_dir, "events").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    return own.select("event_id", "user_id", "event_type", "value", "ts", F.unix_millis("ts").alias("at"))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t_us, value, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS k FROM e),
+m AS (SELECT user_id, min(t_us) AS first_us, max(t_us) + 21600000000 AS until_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k)
+SELECT * FROM m WHERE until_us <= ((SELECT max(epoch_us(ts)) // 1000 FROM events) - 3600000) * 1000""")
+def stream_user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' sessions, parted by six hours without an event, over eight batches; those that the watermark has closed."""
+    came = S.in_batches(_timed(spark, sf_dir), "at", 8)
+    out = S.drain(E.user_sessions(came, "6 hours", "1 hour"), S.append)
+    return out.select("user_id", F.unix_micros("first").alias("first_us"), F.unix_micros("until").alias("until_us"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT p.user_id, p.event_id AS purchase, c.event_id AS click, epoch_us(p.ts) - epoch_us(c.ts) AS after_us FROM events p JOIN events c USING (user_id)
+WHERE p.event_type = 'purchase' AND c.event_type = 'click' AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 DAY""")
+def stream_clicks_before_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams in six batches each: every purchase with its user's clicks of the day before it."""
+    events = _timed(spark, sf_dir)
+    ends = events.approxQuantile("at", [k / 6 for k in range(1, 6)], 0.01)  # the same for both
+    bought = S.in_batches(events.where("event_type = 'purchase'"), "at", 6, ends).select("user_id", F.col("event_id").alias("effect_id"), F.col("ts").alias("effect_ts"))
+    clicked = S.in_batches(events.where("event_type = 'click'"), "at", 6, ends).select("user_id", F.col("event_id").alias("cause_id"), F.col("ts").alias("cause_ts"))
+    out = S.drain(E.within(clicked, bought, 86_400), S.append)
+    return out.select("user_id", F.col("effect_id").alias("purchase"), F.col("cause_id").alias("click"), (F.unix_micros("effect_ts") - F.unix_micros("cause_ts")).alias("after_us"))
+
+
+@query(f"""WITH e AS (SELECT *, epoch_us(ts) // 1000 AS t_ms, epoch_us(ts) // 1000 + CASE WHEN event_id % 7 = 0 THEN {30 * _HOUR} ELSE 0 END AS came FROM events WHERE ts IS NOT NULL),
+b AS (SELECT min(came) AS low, max(came) - min(came) AS width FROM e), p AS (SELECT e.*, (SELECT count(*) FROM range(1, 9) r(k) WHERE came > low + (width * k) // 9) AS part FROM e, b),
+m AS (SELECT part, max(max(t_ms)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM p GROUP BY part)
+SELECT event_type, epoch_ms(date_trunc('hour', ts)) AS hour_ms, coalesce(t_ms < mark - {2 * _HOUR}, false) AS late, count(*) AS n, round(sum(value), 4) AS total FROM p JOIN m USING (part) GROUP BY ALL""")
+def stream_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts by type and lateness, of nine batches; every seventh event comes thirty hours late, and is counted as late where its batch makes it so."""
+    events = _timed(spark, sf_dir).withColumn("came", F.col("at") + F.when(F.col("event_id") % 7 == 0, 30 * _HOUR).otherwise(0))
+    low, high = events.agg(F.min("came"), F.max("came")).first()
+    ends = [low + (high - low) * k // 9 for k in range(1, 9)] if low is not None else None
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/lateness-{uuid.uuid4().hex}"
+    judged = E.with_lateness(S.in_batches(events, "came", 9, ends), folder, 2 * _HOUR)
+    counts = [S.windowed_events(judged.where(F.col("late") == late)).withColumn("late", F.lit(late)) for late in (False, True)]
+    return counts[0].unionByName(counts[1]).select("event_type", F.unix_millis("window.start").alias("hour_ms"), "late", "n", F.round("total", 4).alias("total"))

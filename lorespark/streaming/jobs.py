@@ -22,11 +22,11 @@ def read_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def in_batches(df: DataFrame, by: str, n: int) -> DataFrame:
-    """A table as a stream of ``n`` batches, of ranges of the column ``by``, in its order."""
+def in_batches(df: DataFrame, by: str, n: int, ends: list | None = None) -> DataFrame:
+    """A table as a stream of ``n`` batches, of ranges of the column ``by`` (up to the given ``ends``, else alike in size), in its order."""
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark).rstrip('/')}/batches-{uuid.uuid4().hex}"
-    ends = df.approxQuantile(by, [k / n for k in range(1, n)], 0.001)  # n - 1 numbers
+    ends = ends or df.approxQuantile(by, [k / n for k in range(1, n)], 0.001)  # n - 1 numbers
     for low, high in zip([None, *ends], [*ends, None], strict=True):
         part = df if low is None else df.where(F.col(by) > low)
         (part if high is None else part.where(F.col(by) <= high)).coalesce(1).write.mode("append").parquet(folder)
@@ -57,7 +57,7 @@ def running_telemetry(telemetry: DataFrame) -> DataFrame:
 
 
 def windowed_events(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Extension: counts by event type and tumbling window; what comes later than ``late`` is passed over."""
+    """Extension: counts by event type and tumbling window; what comes to a stream later than ``late`` is passed over (streaming.events keeps it)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
