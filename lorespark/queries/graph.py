@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.operators import graph as G
 from lorespark.plans.graph_query import GraphQuery
 from lorespark.queries.base import query
+from lorespark.session import table
 from lorespark.sources import adapters as A
 
 MATCH = "id, label, kind, confidence, date, provenance"
@@ -225,3 +226,17 @@ def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorespark.sources.files import dot_lines
 
     return dot_lines(A.nodes(spark, sf_dir), A.edges(spark, sf_dir))
+
+
+_JSON = """replace(replace(replace(replace(replace({c}, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"""
+_JSON_TEXT = f"""coalesce('"' || {_JSON} || '"', 'null')"""
+
+
+@query(f"""WITH {A.NODES_SQL} SELECT '{{{{"id":' || {_JSON_TEXT.format(c='id')} || ',"kind":' || {_JSON_TEXT.format(c='kind')} || ',"label":' || {_JSON_TEXT.format(c='label')} || ',"confidence":' || coalesce(confidence::VARCHAR, 'null') || ',"date":' || {_JSON_TEXT.format(c='date')} || '}}}}' AS value FROM nodes
+UNION ALL SELECT '{{{{"event_id":' || coalesce(event_id::VARCHAR, 'null') || ',"of":{{{{"type":' || {_JSON_TEXT.format(c='event_type')} || ',"value":' || coalesce(CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END, 'null') || '}}}},"props":[' || {_JSON_TEXT.format(c='props')} || ']}}}}' FROM events""".replace("{{", "{").replace("}}", "}"))
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes and all events as JSON lines, the events with an object and a list inside."""
+    from lorespark.sources.files import json_lines as lines
+
+    events = table(spark, sf_dir, "events").select("event_id", F.struct(F.col("event_type").alias("type"), "value").alias("of"), F.array("props").alias("props"))
+    return lines(A.nodes(spark, sf_dir).select("id", "kind", "label", "confidence", "date")).unionByName(lines(events))

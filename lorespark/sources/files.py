@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions.json_text import json_text, quoted
 from lorespark.session import cut
 
 
@@ -100,6 +101,18 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     cut(graph_lines(nodes, edges)).write.mode("overwrite").text(folder)
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """value: each row as a JSON object of one line (see functions.json_text). Of columns of one name all are there, in their order."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # names may hold dots or clash
+    fields = [F.concat(F.lit("," if k else ""), quoted(F.lit(f.name)), F.lit(":"), json_text(F.col(f"c{k}"), f.dataType)) for k, f in enumerate(df.schema.fields)]
+    return plain.select(F.concat(F.lit("{"), *fields, F.lit("}")).alias("value"))
+
+
+def write_json(df: DataFrame, folder: str) -> None:
+    """Part files of JSON lines, in the row order of ``df``'s partitions."""
+    json_lines(df).write.mode("overwrite").text(folder)
+
+
 def dot_lines(nodes: DataFrame, edges: DataFrame, name: str = "knowledge") -> DataFrame:
     """The body lines of a DOT graph."""
     quote = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
