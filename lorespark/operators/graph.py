@@ -87,24 +87,42 @@ def bfs(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int | No
     return seen.where("hops > 0").join(nodes.select("id"), "id", "left_semi")
 
 
-def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str], damping: float, iterations: int) -> DataFrame:
+LINKS_PER_CELL = 100_000
+
+
+def in_cells(links: DataFrame, per_cell: int = LINKS_PER_CELL) -> DataFrame:
+    """Links (src, dst, n) with ``cell`` and the number of ``cells`` of their source: a hub's links are dealt by target into cells of about ``per_cell``.
+
+    Only the sources of more than ``per_cell`` links travel for that. A source of up to
+    ``per_cell`` links has one cell, 0, so its share is sent once.
+    """
+    degree = links.groupBy("src").agg(F.count("*").alias("d")).where(F.col("d") > per_cell)
+    cells = F.coalesce(F.ceil(F.col("d") / per_cell), F.lit(1)).cast("int")
+    known = links.join(degree, "src", "left").withColumn("cells", cells).drop("d")
+    return known.withColumn("cell", F.pmod(F.xxhash64("dst"), F.col("cells")).cast("int"))
+
+
+def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str], damping: float, iterations: int, per_cell: int = LINKS_PER_CELL) -> DataFrame:
     """The power iteration of both kinds of PageRank, for every query (``by``) at once.
 
     Links to missing nodes are left out first, so all mass stays in the graph; that of
     nodes without links goes to the teleport. Parallel edges carry a share each. The
-    links keep one partitioning by source through all rounds (kept copies that are lost
+    links keep one partitioning by source and cell (see ``in_cells``: a hub's share goes to
+    each of its cells, so no task gets all links of a hub) through all rounds (kept copies that are lost
     are read again from their checkpoint), and each round is cut off by a checkpoint,
     which keeps the plan's size constant.
     """
     damping = min(max(damping, 0.0), 1.0)
     live = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = cut(live.groupBy("src", "dst").agg(F.count("*").alias("n"))).repartition(parts, "src").persist()
-    out = links.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("out"))
-    state = cut(teleport.join(out, "id", "left").select(*by, "id", "tp", "out", F.col("tp").alias("rank")))
+    dealt = cut(in_cells(cut(live.groupBy("src", "dst").agg(F.count("*").alias("n"))), per_cell))
+    links = dealt.drop("cells").repartition(parts, "src", "cell").persist()
+    out = cut(dealt.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("out"), F.max("cells").alias("cells")))
+    state = cut(teleport.join(out, "id", "left").select(*by, "id", "tp", "out", "cells", F.col("tp").alias("rank")))
     own = state.select(*by, "id", "tp")  # rows of a rank or a teleport above 0 are kept, no others
     for _ in range(iterations):
-        sent = links.join(state.where("out is not null and rank > 0").select(*by, F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share")), "src")
+        shares = state.where("out is not null and rank > 0").select(*by, F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+        sent = links.join(shares, ["src", "cell"])
         got = sent.groupBy(*by, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("n")).alias("got"))
         # one number for each query: the mass that stands on nodes without links
         lost = state.groupBy(*by).agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
@@ -112,7 +130,7 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str]
         new = both.groupBy(*by, "id").agg(F.sum("got").alias("got"), F.sum("tp").alias("tp")).join(out, "id", "left")
         new = new.join(F.broadcast(lost), by) if by else new.crossJoin(F.broadcast(lost))
         rank = (1 - damping) * F.col("tp") + damping * (F.col("got") + F.col("lost") * F.col("tp"))
-        state = cut(new.select(*by, "id", "tp", "out", rank.alias("rank")))
+        state = cut(new.select(*by, "id", "tp", "out", "cells", rank.alias("rank")))
     links.unpersist()
     return state.select(*by, "id", "rank")
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lorespark.operators import graph as G
 from lorespark.plans.graph_query import GraphQuery, edge_kind
@@ -102,3 +103,21 @@ def test_bounds_order_and_limit(demo):
     assert labels(GraphQuery(ascending=True, limit=1).run(n)) == ["RNN"]
     assert labels(GraphQuery(where=lambda c: (c > 50) & (c < 92)).run(n)) == ["Vaswani", "RNN"]
     assert labels(GraphQuery(limit=0).run(n)) == []
+
+
+def test_a_hub_is_dealt_to_cells_and_ranks_stay(spark):
+    """One node has half of all edges, out and in."""
+    hub = [("h", f"n{i}", "k") for i in range(2000)] + [(f"n{i}", "h", "k") for i in range(0, 2000, 2)]
+    rest = [(f"n{i}", f"n{(i * 7 + j) % 2000}", "k") for i in range(0, 2000, 4) for j in (1, 2)]
+    edges = spark.createDataFrame(hub + rest, "src string, dst string, kind string")
+    nodes = spark.createDataFrame([("h",)] + [(f"n{i}",) for i in range(2000)], "id string")
+    links = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    dealt = G.in_cells(links, 50)
+    assert dealt.count() == links.count() and dealt.where("src <> 'h'").agg(F.max("cells")).first()[0] == 1
+    sizes = sorted(r["count"] for r in dealt.repartition(4, "src", "cell").groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[1]
+    seeds = nodes.where("id in ('h', 'n8')").select(F.lit("q").alias("query_id"), "id")
+    for by, tp in (([], nodes.select("id", F.lit(1.0 / 2001).alias("tp"))), (["query_id"], seeds.withColumn("tp", F.lit(0.5)))):
+        one, many = ({r["id"]: r["rank"] for r in G._rank(nodes, edges, tp, by, 0.85, 4, per_cell).collect()} for per_cell in (10**6, 50))
+        assert one.keys() == many.keys() and max(abs(one[k] - many[k]) for k in one) < 1e-12
+        assert abs(sum(many.values()) - 1) < 1e-9
