@@ -52,8 +52,8 @@ def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
 
 
 def trim(text: Column) -> Column:
-    """Takes white space of any kind off both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Takes white space of any kind off both ends; long runs of it inside are looked at once."""
+    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def s_stem(word: Column) -> Column:
@@ -80,7 +80,7 @@ def embedder_tokens(text: Column) -> Column:
 
 
 def trim_token(word: Column) -> Column:
-    return F.regexp_replace(word, f"^{NOT_ALNUM}+|{NOT_ALNUM}+$", "")
+    return F.regexp_replace(word, f"^{NOT_ALNUM}+|(?<!{NOT_ALNUM}){NOT_ALNUM}+$", "")
 
 
 def sentences(text: Column) -> Column:
@@ -88,6 +88,39 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?\n;]"), trim), lambda s: s != "")
 
 
+def entity_runs(sentence: Column, leading_stop_words: frozenset[str]) -> Column:
+    """(entity, gap) of a sentence: its runs of capitalised words, and the lower-cased words since the one before.
+
+    Words that name nothing are dropped from the head of a run; a run of such words alone
+    is no entity and no gap. Words hold no white space, so kinds of white space mark the
+    pieces: a line end opens a run, a tab closes it, a carriage return is in front of a
+    word that names nothing, and a form feed ends each other word.
+    """
+
+    def marked(word: Column) -> Column:
+        capital = (F.char_length(word) > 1) & word.rlike(r"^\p{IsUppercase}")
+        head = F.when(word.isin(*sorted(leading_stop_words)), F.lit("\n\r")).otherwise(F.lit("\n"))
+        return F.when(capital, F.concat(head, word, F.lit("\t"))).otherwise(F.concat(word, F.lit("\f")))
+
+    def pieces(line: Column) -> Column:
+        """Of each run, what is before it and the run; what follows the last run has no line end."""
+        runs = F.filter(F.split(line, "\t"), lambda p: F.contains(p, F.lit("\n")))
+        return F.transform(runs, lambda p: F.struct(F.substring_index(p, "\n", 1).alias("before"), F.substring_index(p, "\n", -1).alias("run")))
+
+    def named(piece: Column) -> Column:
+        return F.struct(piece["before"].alias("before"), F.regexp_extract(piece["run"], r"(?s)(?:^| )([^\r ].*)$", 1).alias("run"))
+
+    words = F.transform(F.split(sentence, r"(?U)\s+"), trim_token)
+    line = F.replace(F.array_join(F.transform(words, marked), ""), F.lit("\t\n"), F.lit(" "))
+    # pieces without a name are joined with the next one's, by writing the line anew
+    whole = F.transform(F.transform(pieces(line), named), lambda p: F.concat(p["before"], F.when(p["run"] != "", F.concat(F.lit("\n"), p["run"], F.lit("\t"))).otherwise(F.lit(""))))
+    gap = lambda before: F.lower(F.array_join(F.filter(F.split(before, "\f"), lambda w: w != ""), " "))
+    return F.transform(
+        pieces(F.array_join(whole, "")),
+        lambda p, i: F.struct(F.translate(p["run"], "\r", "").alias("entity"), F.when(i == 0, F.lit("")).otherwise(gap(p["before"])).alias("gap")),
+    )
+
+
 def chunk_sentences(text: Column) -> Column:
     """Sentences for chunking: the terminator stays; line ends don't part."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?。]*[.!?。]|[^.!?。]+$"), F.lit(0)), trim), lambda s: s != "")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import FORBIDDEN, classify_label, keyword_words, relation_for, summarize, trim
+from lorespark.functions.text import FORBIDDEN, classify_label, entity_runs, keyword_words, relation_for, summarize, trim
+from lorespark.functions.text import sentences as split_sentences
 from lorespark.functions.vectors import embedding_broken
 
 # Words at the head of a capitalised run that name nothing.
@@ -19,6 +20,8 @@ LEADING_STOP_WORDS = frozenset((
     "Some", "Any", "All", "No", "Not", "For", "As", "At", "By", "In", "On", "To", "Of", "Its",
 ))
 
+PAIR_BLOCK = 256  # entities of a sentence that are paired in one list
+
 
 # -- chunking -----------------------------------------------------------------
 
@@ -111,41 +114,13 @@ def replace_passages(store: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def entity_mentions(docs: DataFrame) -> DataFrame:
-    """id, sentence, at, entity, gap: runs of capitalised words, and the lower-cased words since the one before."""
-
-    def strip(word: str) -> str:
-        a, b = 0, len(word)
-        while a < b and not word[a].isalnum():
-            a += 1
-        while b > a and not word[b - 1].isalnum():
-            b -= 1
-        return word[a:b]
-
-    def mentions(sentence: str) -> Iterator[tuple[str, str]]:
-        run: list[str] = []
-        gap: list[str] = []
-        started = False
-        for word in [*map(strip, sentence.split()), None]:
-            if word is not None and len(word) > 1 and word[0].isupper():
-                run.append(word)
-                continue
-            while run and run[0] in LEADING_STOP_WORDS:
-                run.pop(0)
-            if run:
-                yield " ".join(run), " ".join(gap) if started else ""
-                run, gap, started = [], [], True
-            if word and started:
-                gap.append(word.lower())
+    """id, sentence, at, entity, gap: runs of capitalised words, and the lower-cased words since the one before.
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for id_, text in zip(rows["id"], rows["body"], strict=True):
-                sentences = [s for s in (x.strip() for x in re.split(r"[.!?\n;]", text or "")) if s]
-                out += [(id_, k, at, e, gap) for k, s in enumerate(sentences) for at, (e, gap) in enumerate(mentions(s))]
-            yield pd.DataFrame(out, columns=["id", "sentence", "at", "entity", "gap"])
-
-    return docs.select("id", "body").mapInPandas(emit, "id string, sentence int, at int, entity string, gap string")
+    A null body has none; sentences and places count from 0.
+    """
+    sentences = docs.select("id", F.posexplode(split_sentences(F.coalesce("body", F.lit("")))).alias("sentence", "words"))
+    found = sentences.select("id", "sentence", F.posexplode(entity_runs(F.col("words"), LEADING_STOP_WORDS)).alias("at", "found"))
+    return found.select("id", "sentence", "at", "found.entity", "found.gap")
 
 
 def extracted_nodes(mentions: DataFrame) -> DataFrame:
@@ -165,19 +140,27 @@ def extracted_edges(mentions: DataFrame, known: DataFrame | None = None) -> Data
 
     Within a sentence, neighbours get the relation that the words between them tell;
     other pairs, the earlier entity first, are related_to. Of several, the first by
-    document, sentence and place counts; pairs of ``known`` (src, dst) get none.
+    document, sentence and place counts; pairs of ``known`` (src, dst) get none. A
+    sentence of many entities is paired by blocks, so no row or task holds all of it.
     """
     m = mentions.withColumn("name", F.lower("entity"))
     ahead = Window.partitionBy("id", "sentence").orderBy("at")
     typed = m.withColumn("dst", F.lead("name").over(ahead)).withColumn("between", F.lead("gap").over(ahead)).where("dst is not null and name <> dst")
-    typed = typed.select("id", "sentence", F.lit(0).alias("phase"), F.col("at").alias("i"), F.lit(0).alias("j"), F.col("name").alias("src"), "dst", relation_for(F.col("between")).alias("kind"))
-    # a sentence's entities, each at its first place: the list of one sentence
-    first = m.groupBy("id", "sentence", "name").agg(F.min("at").alias("at"))
-    lists = first.groupBy("id", "sentence").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))
+    typed = typed.select("id", "sentence", F.lit(0).alias("phase"), F.col("at").alias("i"), F.col("name").alias("src"), "dst", relation_for(F.col("between")).alias("kind"))
+    first = m.groupBy("id", "sentence", "name").agg(F.min("at").alias("at")).withColumn("block", F.floor(F.col("at") / PAIR_BLOCK).cast("int"))
+    # within a block of a sentence: the list of its entities, each at its first place
+    lists = first.groupBy("id", "sentence", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))
     heads = lists.select("id", "sentence", "names", F.posexplode("names").alias("i", "src"))
-    pairs = heads.select("id", "sentence", F.lit(1).alias("phase"), "i", "src", F.posexplode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("j", "dst"))
+    pairs = heads.select("id", "sentence", "src", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("dst"))
+    # across the blocks of a long sentence: a join for each pair of blocks
+    long_ = first.where("block > 0").groupBy("id", "sentence").agg(F.max("block").alias("last"))
+    spread = first.join(long_, ["id", "sentence"])
+    ahead_of = spread.where("block < last").select("id", "sentence", F.col("name").alias("src"), F.col("block").alias("a"), F.explode(F.sequence(F.col("block") + 1, F.col("last"))).alias("b"))
+    behind = spread.where("block > 0").select("id", "sentence", F.col("name").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("a"), F.col("block").alias("b"))
+    pairs = pairs.unionByName(ahead_of.join(behind, ["id", "sentence", "a", "b"]).select("id", "sentence", "src", "dst"))
+    pairs = pairs.select("id", "sentence", F.lit(1).alias("phase"), F.lit(0).alias("i"), "src", "dst")
     all_ = typed.unionByName(pairs.withColumn("kind", F.lit("related_to")))
-    out = all_.groupBy("src", "dst").agg(F.min_by("kind", F.struct("id", "sentence", "phase", "i", "j")).alias("kind"))
+    out = all_.groupBy("src", "dst").agg(F.min_by("kind", F.struct("id", "sentence", "phase", "i")).alias("kind"))
     return out if known is None else out.join(known.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
@@ -278,21 +261,40 @@ def check_forbidden(text: Column, patterns: tuple[str, ...] = FORBIDDEN) -> Colu
     return _verdict(F.when(found.isNull(), F.lit("pass")).otherwise(F.lit("fail")), F.concat(F.lit("forbidden content: "), found))
 
 
-def json_balance(text: str) -> tuple[str, str | None]:
-    """Whether brackets close in order, outside of strings; text that starts with none is passed over."""
-    text = text.strip()
-    if text[:1] not in ("{", "["):
-        return "skip", None
-    bare = re.sub(r'"(?:[^"\\]|\\.)*(?:"|$)', "", text, flags=re.DOTALL)
-    waiting: list[str] = []
-    for c in re.findall(r"[\[\]{}]", bare):
-        if c in "[{":
-            waiting.append("]" if c == "[" else "}")
-        elif not waiting:
-            return "fail", "unbalanced closing delimiter"
-        elif waiting.pop() != c:
-            return "fail", "mismatched closing delimiter"
-    return ("fail", "unbalanced delimiters") if waiting else ("pass", None)
+STACK_PART = 1024  # brackets in one string of a stack
+
+
+def check_json(text: Column) -> Column:
+    """Whether brackets close in order, outside of strings; text that starts with none is passed over.
+
+    The brackets that wait for their ends are a string of at most ``STACK_PART`` and a
+    list of full ones, so deep nesting costs no copy of the whole stack at each step.
+    A string without an end reaches to the end of the text.
+    """
+    whole = trim(text)
+    bare = F.regexp_replace(whole, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)', "")
+    brackets = F.filter(F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), ""), lambda c: c != "")
+    none = F.lit(None).cast("string")
+    state = lambda full, top, bad: F.struct(full.alias("full"), top.alias("top"), bad.alias("bad"))
+
+    def step(s: Column, c: Column) -> Column:
+        full, top = s["full"], s["top"]
+        end = F.when(c == "[", F.lit("]")).otherwise(F.lit("}"))
+        pushed = F.when(F.octet_length(top) == STACK_PART, state(F.array_append(full, top), end, none)).otherwise(state(full, F.concat(top, end), none))
+        left = F.left(top, F.octet_length(top) - 1)
+        emptied = (F.octet_length(top) == 1) & (F.size(full) > 0)
+        popped = F.when(emptied, state(F.slice(full, F.lit(1), F.size(full) - 1), F.element_at(full, -1), none)).otherwise(state(full, left, none))
+        return (
+            F.when(s["bad"].isNotNull(), s)
+            .when(c.isin("[", "{"), pushed)
+            .when(top == "", state(full, top, F.lit("unbalanced closing delimiter")))
+            .when(F.right(top, F.lit(1)) != c, state(full, top, F.lit("mismatched closing delimiter")))
+            .otherwise(popped)
+        )
+
+    reason = F.aggregate(brackets, state(F.array().cast("array<string>"), F.lit(""), none), step, lambda s: F.coalesce(s["bad"], F.when(s["top"] != "", F.lit("unbalanced delimiters"))))
+    judged = F.transform(F.array(reason), lambda r: _verdict(F.when(r.isNull(), F.lit("pass")).otherwise(F.lit("fail")), r))[0]
+    return F.when(F.left(whole, F.lit(1)).isin("[", "{"), judged).otherwise(_verdict(F.lit("skip"), none))
 
 
 _EQUATION = re.compile(
@@ -322,20 +324,14 @@ def arithmetic(text: str) -> tuple[str, str | None]:
     return ("pass" if found else "skip"), None
 
 
-def _python_check(check) -> object:
-    @F.pandas_udf("status string, reason string")
-    def run(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([check(t or "") for t in text], columns=["status", "reason"])
-
-    return run
-
-
-def check_json(text: Column) -> Column:
-    return _python_check(json_balance)(text)
+def check_arithmetic(text: Column) -> Column:
+    """In Python, as the numbers go up to 127 bits."""
 
+    @F.pandas_udf("status string, reason string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([arithmetic(t or "") for t in texts], columns=["status", "reason"])
 
-def check_arithmetic(text: Column) -> Column:
-    return _python_check(arithmetic)(text)
+    return run(text)
 
 
 SUITE = (

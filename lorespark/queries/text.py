@@ -11,8 +11,8 @@ from lorespark.functions import text as T
 from lorespark.functions import vectors as V
 from lorespark.operators import corpus as C
 from lorespark.operators import retrieval as R
-from lorespark.queries.base import NOT_ALNUM, query, sql_stem, sql_tokens, sql_trim
-from lorespark.session import checkpoint_folder, table
+from lorespark.queries.base import NOT_ALNUM, mentions_sql, query, sql_any, sql_stem, sql_tokens, sql_trim
+from lorespark.session import checkpoint_folder, cut, table
 from lorespark.sources import adapters as A
 from lorespark.sources import docfiles
 
@@ -174,12 +174,21 @@ def verify_forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.check_forbidden(F.col("text"))["reason"].alias("reason"))
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT event_id, {sql_trim('props')} AS t FROM events), b AS (SELECT event_id, t, regexp_replace(regexp_replace(t, '"(?:[^"\\]|\\.)*(?:"|\\?$)', '', 'gs'), '[^\[\]{{}}]', '', 'g') AS b FROM t),
+p AS (SELECT event_id, b, unnest(range(1, length(b) + 1)) AS i FROM b WHERE left(t, 1) IN ('{{', '[')), c AS (SELECT event_id, i, substr(b, i::INTEGER, 1) AS c FROM p),
+d AS (SELECT *, sum(CASE WHEN c IN ('{{', '[') THEN 1 ELSE -1 END) OVER (PARTITION BY event_id ORDER BY i) AS depth FROM c),
+o AS (SELECT *, lag(c) OVER (PARTITION BY event_id, depth + CASE WHEN c IN ('{{', '[') THEN 0 ELSE 1 END ORDER BY i) AS opener FROM d),
+e AS (SELECT event_id, first(CASE WHEN depth < 0 THEN 'unbalanced closing delimiter' ELSE 'mismatched closing delimiter' END ORDER BY i) AS reason FROM o WHERE c IN (']', '}}') AND (depth < 0 OR opener <> CASE c WHEN ']' THEN '[' ELSE '{{' END) GROUP BY event_id),
+l AS (SELECT event_id, first(depth ORDER BY i DESC) AS depth FROM d GROUP BY event_id),
+r AS (SELECT event_id, t, coalesce(reason, CASE WHEN depth > 0 THEN 'unbalanced delimiters' END) AS reason FROM t LEFT JOIN e USING (event_id) LEFT JOIN l USING (event_id))
+SELECT event_id, CASE WHEN left(t, 1) NOT IN ('{{', '[') OR t IS NULL THEN 'skip' WHEN reason IS NULL THEN 'pass' ELSE 'fail' END AS status, reason FROM r"""
+)
 def verify_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", C.check_json(F.col("props")).alias("v")).select("event_id", "v.status", "v.reason")
 
 
-@query()
+@query("SELECT CASE WHEN l_orderkey % 7 = 0 THEN 'fail' ELSE 'pass' END AS status, count(*) AS n FROM lineitem GROUP BY ALL")
 def verify_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     claim = F.concat(F.col("quantity").cast("string"), F.lit(" * 2 = "), (F.col("quantity") * 2 + F.when(F.col("key") % 7 == 0, 1).otherwise(0)).cast("string"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("quantity"))
@@ -191,14 +200,35 @@ def verify_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.run_checks(A.documents(spark, sf_dir)).groupBy("check", "status").agg(F.count("*").alias("n"))
 
 
-@query()
+_MENTIONS = f"{WITH_DOCS}, {mentions_sql('docs', C.LEADING_STOP_WORDS)}"
+_ORGANISATIONS = ", ".join(f"'{w}'" for w in T.ORGANISATION_WORDS)
+_RELATION = "CASE " + " ".join(f"WHEN {sql_any('gap', parts)} THEN '{kind}'" for kind, parts in T.RELATION_PARTS) + " ELSE 'related_to' END"
+
+
+def kind_sql(label: str) -> str:
+    return rf"CASE WHEN lower(regexp_replace(regexp_extract({label}, '[^\s]+$'), '^{NOT_ALNUM}+|{NOT_ALNUM}+$', '', 'g')) IN ({_ORGANISATIONS}) THEN 'organization' ELSE 'concept' END"
+
+
+@query(
+    f"{_MENTIONS}, per AS (SELECT id, lower(entity) AS name, count(*) AS n, first(entity ORDER BY sentence, place) AS label FROM mentions GROUP BY ALL), "
+    "best AS (SELECT name, first(label ORDER BY id) AS label, max(least(45 + (n - 1) * 15, 100))::INTEGER AS confidence FROM per GROUP BY name) "
+    f"SELECT name, label, {kind_sql('label')} AS kind, confidence FROM best"
+)
 def extract_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.extracted_nodes(C.entity_mentions(A.documents(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"{_MENTIONS}, m AS (SELECT id, sentence, place, lower(entity) AS name, gap FROM mentions), "
+    "near AS (SELECT id, sentence, place, name AS src, lead(name) OVER w AS dst, lead(gap) OVER w AS gap FROM m WINDOW w AS (PARTITION BY id, sentence ORDER BY place)), "
+    "f AS (SELECT id, sentence, name, min(place) AS place FROM m GROUP BY ALL), "
+    f"everything AS (SELECT id, sentence, 0 AS phase, place, src, dst, {_RELATION} AS kind FROM near WHERE dst IS NOT NULL AND src <> dst "
+    "UNION ALL SELECT a.id, a.sentence, 1, 0, a.name, b.name, 'related_to' FROM f a JOIN f b ON a.id = b.id AND a.sentence = b.sentence AND a.place < b.place) "
+    "SELECT src, dst, first(kind ORDER BY id, sentence, phase, place) AS kind FROM everything GROUP BY src, dst"
+)
 def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.extracted_edges(C.entity_mentions(A.documents(spark, sf_dir)))
+    """The mentions are written once, as the edges read them several times."""
+    return C.extracted_edges(cut(C.entity_mentions(A.documents(spark, sf_dir))))
 
 
 @query()

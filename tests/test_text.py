@@ -1,3 +1,6 @@
+import random
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,9 +58,34 @@ def test_classifiers(spark):
     assert value(spark, T.permits(F.lit("graph.*"), F.lit("graph.read"))) and not value(spark, T.permits(F.lit("a_b"), F.lit("axb")))
 
 
-@pytest.mark.parametrize(("text", "status"), [('{"a": [1]}', "pass"), ("[{]}", "fail"), ("plain", "skip"), ('{"a": "}"}', "pass"), ("}", "skip"), ("[1", "fail"), ('["open]', "fail"), ("", "skip")])
-def test_json_balance(text, status):
-    assert C.json_balance(text)[0] == status
+def balance(text):
+    """Bracket balance, a character at a time."""
+    text = text.strip()
+    if text[:1] not in ("{", "["):
+        return "skip", None
+    waiting, quoted, escaped = [], False, False
+    for c in text:
+        if quoted:
+            escaped, quoted = c == "\\" and not escaped, escaped or c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            waiting.append("]" if c == "[" else "}")
+        elif c in "]}":
+            if not waiting:
+                return "fail", "unbalanced closing delimiter"
+            if waiting.pop() != c:
+                return "fail", "mismatched closing delimiter"
+    return ("fail", "unbalanced delimiters") if waiting else ("pass", None)
+
+
+def test_json_balance(spark):
+    deep = "[{" * 3000
+    texts = ['{"a": [1]}', "[{]}", "plain", '{"a": "}"}', "}", "[1", '["open]', "", '[]"]\\', '["\\\\"]', '["\\""]', "{}]", "[" * 2048 + "]" * 2048, deep + "}]" * 3000, deep + "]", deep, '["' + '\\"' * 50000 + '"]']
+    draw = random.Random(5)
+    texts += ["[" + "".join(draw.choice('[]{}"\\x ') for _ in range(draw.randrange(12))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string").select("i", C.check_json(F.col("t")).alias("v")).collect()
+    assert {r["i"]: (r["v"]["status"], r["v"]["reason"]) for r in rows} == dict(enumerate([balance(t) for t in texts] + [("skip", None)]))
 
 
 @pytest.mark.parametrize(("text", "status"), [("2 + 2 = 5", "fail"), ("2 + 2 = 4", "pass"), ("-5 + 3 = -2", "skip"), ("1 + 2 * 3 = 7", "skip"), ("2 + 2 = 5 - 1", "skip"), ("1,000 + 1 = 1001", "skip"), ("2 + 2 = 4.5", "skip"), ("7 / 2 = 3", "skip"), ("8 / 2 = 4", "pass"), ("", "skip")])
@@ -89,6 +117,52 @@ def test_extraction(spark):
     assert C.extracted_edges(m, known).count() == 1
 
 
+def runs(sentence):
+    """Entities and gaps, a word at a time."""
+    out, run, gap = [], [], []
+    for word in [*sentence.split(), None]:
+        word = None if word is None else word.strip(string.punctuation)
+        if word is not None and len(word) > 1 and word[0].isupper():
+            run.append(word)
+            continue
+        while run and run[0] in C.LEADING_STOP_WORDS:
+            run.pop(0)
+        if run:
+            out.append((" ".join(run), " ".join(gap) if out else ""))
+            run, gap = [], []
+        if word and out:
+            gap.append(word.lower())
+    return out
+
+
+def test_entity_runs(spark):
+    draw = random.Random(7)
+    words = ["The", "A", "An", "Kernel", "(API)", "uses", "--", "É-Net,", "x", "B", "iOS", "Acme's", "It"]
+    texts = ["", "The The", "The", "Kernel The", "-- Kernel", "Kernel The -- uses The API The", *[" ".join(draw.choice(words) for _ in range(draw.randrange(1, 14))) for _ in range(400)], "The " * 30000 + "Kernel", "Kernel " * 30000, "a" + "-" * 200000 + "b Kernel"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("null", None)], "id string, body string")
+    found = {}
+    for r in C.entity_mentions(docs).orderBy("id", "sentence", "at").collect():
+        found.setdefault(r["id"], []).append((r["entity"], r["gap"]))
+    assert found == {str(i): runs(t) for i, t in enumerate(texts) if runs(t)}
+
+
+def test_edges_of_a_sentence_in_blocks(spark, monkeypatch):
+    text = " uses ".join(f"E{(i * 7) % 23}x" for i in range(40))
+    docs = spark.createDataFrame([("1", text), ("2", "Ab, Cd. Ab uses Cd")], "id string, body string")
+    m = C.entity_mentions(docs).cache()
+    whole = {tuple(r) for r in C.extracted_edges(m).collect()}
+    monkeypatch.setattr(C, "PAIR_BLOCK", 3)
+    assert {tuple(r) for r in C.extracted_edges(m).collect()} == whole
+    assert len([e for e in whole if e[0] != "ab cd"]) == len({(a, b) for a, b, _ in whole}) >= 23 * 22 // 2
+
+
+def test_extraction_and_json_stay_in_the_jvm(spark, sf_dir):
+    from lorespark.queries import QUERIES
+
+    for name in ("extract_nodes", "extract_edges", "verify_json"):
+        assert "Python" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_garbage(spark):
     rows = [("a", "note", "t", "b", 10, {}, [1.0]), ("b", "note", "t", "b", 100, {}, [1.0]), ("c", "note", "x", "y", 90, {"expires": "2024-01-01"}, None), ("d", "note", "z", "y", 90, {"expires": "2099-01-01"}, [0.0]), ("e", "note", "q", "q", 1, {}, None)]
     docs = spark.createDataFrame(rows, "id string, doc_type string, title string, body string, confidence int, metadata map<string,string>, embedding array<double>")
