@@ -135,13 +135,14 @@ def extracted_nodes(mentions: DataFrame) -> DataFrame:
     return out.select("name", "label", classify_label(F.col("label")).alias("kind"), "confidence")
 
 
-def extracted_edges(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def extracted_edges(mentions: DataFrame, known: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """src, dst (names) and kind, one edge for each ordered pair.
 
     Within a sentence, neighbours get the relation that the words between them tell;
     other pairs, the earlier entity first, are related_to. Of several, the first by
     document, sentence and place counts; pairs of ``known`` (src, dst) get none. A
     sentence of many entities is paired by blocks, so no row or task holds all of it.
+    ``within`` names a field of the ids: each of its values has edges of its own.
     """
     m = mentions.withColumn("name", F.lower("entity"))
     ahead = Window.partitionBy("id", "sentence").orderBy("at")
@@ -160,8 +161,11 @@ def extracted_edges(mentions: DataFrame, known: DataFrame | None = None) -> Data
     pairs = pairs.unionByName(ahead_of.join(behind, ["id", "sentence", "a", "b"]).select("id", "sentence", "src", "dst"))
     pairs = pairs.select("id", "sentence", F.lit(1).alias("phase"), F.lit(0).alias("i"), "src", "dst")
     all_ = typed.unionByName(pairs.withColumn("kind", F.lit("related_to")))
-    out = all_.groupBy("src", "dst").agg(F.min_by("kind", F.struct("id", "sentence", "phase", "i")).alias("kind"))
-    return out if known is None else out.join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+    keys = ["src", "dst"]
+    if within is not None:
+        keys, all_ = [within, *keys], all_.withColumn(within, F.col("id")[within])
+    out = all_.groupBy(*keys).agg(F.min_by("kind", F.struct("id", "sentence", "phase", "i")).alias("kind"))
+    return out if known is None else out.join(known.select(*keys), keys, "left_anti")
 
 
 # -- upkeep -------------------------------------------------------------------

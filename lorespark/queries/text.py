@@ -11,6 +11,7 @@ from lorespark.functions import text as T
 from lorespark.functions import vectors as V
 from lorespark.operators import corpus as C
 from lorespark.operators import retrieval as R
+from lorespark.operators.session_graph import session_graph
 from lorespark.queries.base import NOT_ALNUM, mentions_sql, query, sql_any, sql_stem, sql_tokens, sql_trim
 from lorespark.session import checkpoint_folder, cut, table
 from lorespark.sources import adapters as A
@@ -231,6 +232,38 @@ def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.extracted_edges(cut(C.entity_mentions(A.documents(spark, sf_dir))))
 
 
+_SESSIONS = f"""WITH runs AS (SELECT conv_id, turn, role, text, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS call, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last FROM conversations),
+parts AS (SELECT {{'s': conv_id, 'c': call, 't': turn}} AS id, text AS body FROM runs UNION ALL SELECT {{'s': conv_id, 'c': last + 1, 't': turn}}, role || '. ' || text FROM runs),
+{mentions_sql('parts', C.LEADING_STOP_WORDS)}"""
+_NAMED = f"{_SESSIONS}, per AS (SELECT id.s AS conv_id, id.c AS call, lower(entity) AS name, count(*) AS n, first(entity ORDER BY id.t, sentence, place) AS label FROM mentions GROUP BY ALL)"
+
+
+@query(
+    f"{_NAMED}, best AS (SELECT conv_id, name, min(call) AS call, first(label ORDER BY call) AS label, max(least(45 + (n - 1) * 15, 100))::INTEGER AS confidence, count(*) AS n_calls FROM per GROUP BY ALL) "
+    f"SELECT b.conv_id, name, label, {kind_sql('label')} AS kind, confidence, n_calls, CASE WHEN b.call > l.last THEN 'session documents' ELSE 'run:' || coalesce(u.text, '') END AS provenance "
+    "FROM best b JOIN (SELECT DISTINCT conv_id, last FROM runs) l ON b.conv_id = l.conv_id LEFT JOIN runs u ON u.conv_id = b.conv_id AND u.call = b.call AND u.role = 'user'"
+)
+def session_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_graph(A.turns(spark, sf_dir)).nodes.withColumnRenamed("session", "conv_id")
+
+
+@query(
+    f"{_SESSIONS}, m AS (SELECT id, sentence, place, lower(entity) AS name, gap FROM mentions), "
+    "near AS (SELECT id, sentence, place, name AS src, lead(name) OVER w AS dst, lead(gap) OVER w AS gap FROM m WINDOW w AS (PARTITION BY id, sentence ORDER BY place)), "
+    "f AS (SELECT id, sentence, name, min(place) AS place FROM m GROUP BY ALL), "
+    f"everything AS (SELECT id, sentence, 0 AS phase, place, src, dst, {_RELATION} AS kind FROM near WHERE dst IS NOT NULL AND src <> dst "
+    "UNION ALL SELECT a.id, a.sentence, 1, 0, a.name, b.name, 'related_to' FROM f a JOIN f b ON a.id = b.id AND a.sentence = b.sentence AND a.place < b.place) "
+    "SELECT id.s AS conv_id, src, dst, first(kind ORDER BY id.c, id.t, sentence, phase, place) AS kind FROM everything GROUP BY ALL"
+)
+def session_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_graph(A.turns(spark, sf_dir)).edges.withColumnRenamed("session", "conv_id")
+
+
+@query(f"{_NAMED}, k AS (SELECT conv_id, call, call = min(call) OVER (PARTITION BY conv_id, name) AS fresh FROM per) SELECT conv_id, call, count(*) FILTER (fresh) AS added, count(*) FILTER (NOT fresh) AS reinforced FROM k GROUP BY ALL")
+def session_graph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_graph(A.turns(spark, sf_dir)).report().withColumnRenamed("session", "conv_id")
+
+
 @query()
 def index_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexes all documents over a store that holds coarser passages of them: its passages with vectors, and the graph's nodes with what became of them."""
