@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ class Workspace:
     edges: DataFrame
     vectors: DataFrame | None = None
     telemetry: DataFrame | None = None
+    embed: Callable[[DataFrame], DataFrame] = R.embed  # of (id, text): id, embedding; R.embedder makes one of a function
     changes: DataFrame | None = None  # after ``index``: the nodes with what became of them
 
     @staticmethod
@@ -43,7 +45,7 @@ class Workspace:
             queries = R.expand_queries(queries, R.expansion_terms(self.documents, hits, queries, 5))
         pool = limit if diversity is None else 4 * limit
         if self.vectors is not None and query_vectors is None:
-            query_vectors = R.embed(queries.select(F.col("query_id").alias("id"), F.col("question").alias("text"))).withColumnRenamed("id", "query_id")
+            query_vectors = self.embed(queries.select(F.col("query_id").alias("id"), F.col("question").alias("text"))).withColumnRenamed("id", "query_id")
         found = R.search(self.documents, queries, pool, self.nodes, self.edges, self.vectors, query_vectors)
         return found if diversity is None else R.mmr(found, diversity, limit)
 
@@ -64,7 +66,7 @@ class Workspace:
         """
         texts = self.documents.where("doc_type <> 'chunk'")
         chunks = cut(C.passages(texts, size, overlap))
-        vectors = R.embed(chunks.select("id", F.col("body").alias("text")))
+        vectors = self.embed(chunks.select("id", F.col("body").alias("text")))
         if self.vectors is not None:
             stale = self.documents.where("doc_type = 'chunk'").join(chunks.select(F.col("metadata")["source"].alias("s")).distinct(), F.col("metadata")["source"] == F.col("s"), "left_semi").select("id")
             vectors = self.vectors.select("id", "embedding").join(stale, "id", "left_anti").join(chunks.select("id"), "id", "left_anti").unionByName(vectors)

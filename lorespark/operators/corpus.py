@@ -77,17 +77,26 @@ def recursive_chunks(text: str, size: int) -> list[str]:
     return [c.strip() for c in _packed(units, size, " ", 1) if c.strip()]
 
 
+def paragraph_chunks(text: str, size: int) -> list[str]:
+    """Paragraphs, of whatever size."""
+    return _paragraphs(text)
+
+
+CHUNKINGS = {"adaptive": adaptive_chunks, "recursive": recursive_chunks, "paragraph": paragraph_chunks}
+
+
+def chunked(text: str | None, how: str, size: int, overlap: int = 0) -> list[str]:
+    """A text's chunks, with the end of the chunk before in front; a null text has none."""
+    chunks = CHUNKINGS[how](text or "", size)
+    return [f"{chunks[i - 1][-overlap:]} {c}" if overlap and i else c for i, c in enumerate(chunks)]
+
+
 def chunk_rows(docs: DataFrame, how: str, size: int, overlap: int = 0) -> DataFrame:
-    """id, at, chunk, by "adaptive" or "recursive" chunking, with the end of the chunk before in front."""
-    cut_up = {"adaptive": adaptive_chunks, "recursive": recursive_chunks}[how]
+    """id, at, chunk, by one of ``CHUNKINGS``, with the end of the chunk before in front."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for id_, text in zip(rows["id"], rows["body"], strict=True):
-                chunks = cut_up(text or "", size)
-                for i, c in enumerate(chunks):
-                    out.append((id_, i, f"{chunks[i - 1][-overlap:]} {c}" if overlap and i else c))
+            out = [(id_, i, c) for id_, text in zip(rows["id"], rows["body"], strict=True) for i, c in enumerate(chunked(text, how, size, overlap))]
             yield pd.DataFrame(out, columns=["id", "at", "chunk"])
 
     return docs.select("id", "body").mapInPandas(emit, "id string, at int, chunk string")
@@ -307,9 +316,8 @@ _EQUATION = re.compile(
 )
 
 
-def arithmetic(text: str) -> tuple[str, str | None]:
-    """The first false "A op B = C" of whole numbers; parts of longer terms, grouped or decimal numbers don't count."""
-    found = False
+def equations(text: str) -> Iterator[tuple[str, bool]]:
+    """Every "A op B = C" of whole numbers, and whether it holds; parts of longer terms, grouped or decimal numbers don't count."""
     for m in _EQUATION.finditer(text):
         at = m.start()
         while at and text[at - 1] in " \t":
@@ -320,11 +328,17 @@ def arithmetic(text: str) -> tuple[str, str | None]:
         if op == "/" and (b == 0 or a % b):
             continue
         want = a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else a // b
-        if max(a, b, abs(c), abs(want)) >= 2**127:
-            continue
+        if max(a, b, abs(c), abs(want)) < 2**127:
+            yield f"{a} {op} {b} = {c}", want == c
+
+
+def arithmetic(text: str) -> tuple[str, str | None]:
+    """The first equation that doesn't hold."""
+    found = False
+    for equation, holds in equations(text):
         found = True
-        if want != c:
-            return "fail", f"incorrect arithmetic: {a} {op} {b} = {c}"
+        if not holds:
+            return "fail", f"incorrect arithmetic: {equation}"
     return ("pass" if found else "skip"), None
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lorespark.functions.text import contains_any, embedder_tokens, max_hops, s_stem, snippet, tokens
 from lorespark.functions.vectors import bucket_and_sign, fnv1a_32, l2_normalize
@@ -205,6 +207,28 @@ def embed(rows: DataFrame, dim: int = 64) -> DataFrame:
     return rows.select("id").distinct().join(held, "id", "left").withColumn("v", vector).select("id", l2_normalize(F.col("v")).alias("embedding"))
 
 
+def embedder(function: Callable[[list[str]], Sequence[Sequence[float]]], dim: int) -> Callable[[DataFrame], DataFrame]:
+    """Another embedder in place of ``embed``: ``function`` gives the vectors of a batch of texts, each of ``dim`` numbers.
+
+    Vectors are brought to length 1; a null text is empty, and a vector of another size is
+    an error that names it.
+    """
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [[float(x) for x in v] for v in function(rows["text"].fillna("").tolist())] if len(rows) else []
+            wrong = next((len(v) for v in made if len(v) != dim), None)
+            if len(made) != len(rows) or wrong is not None:
+                raise ValueError(f"{len(rows)} vectors of {dim} numbers are due, not {len(made)}" if wrong is None else f"a vector has {wrong} numbers, not {dim}")
+            yield pd.DataFrame({"id": rows["id"], "v": made})
+
+    def run(rows: DataFrame) -> DataFrame:
+        schema = StructType([rows.schema["id"], StructField("v", ArrayType(DoubleType()))])
+        return rows.select("id", "text").dropDuplicates(["id"]).mapInPandas(vectors, schema).select("id", l2_normalize(F.col("v")).alias("embedding"))
+
+    return run
+
+
 def expand_queries(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """Questions with their expansion terms behind them; unchanged where there are none."""
     more = terms.groupBy("query_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"])).alias("more"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions import tables
 from lorespark.functions import text as T
 from lorespark.functions import vectors as V
 from lorespark.operators import corpus as C
@@ -114,6 +115,34 @@ def chunk_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_rows(A.documents(spark, sf_dir), "adaptive", 800)
 
 
+@query()
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``chunk_recursive``, by a table function in SQL."""
+    tables.register(spark)
+    docs = A.documents(spark, sf_dir)
+    return spark.sql("SELECT d.id, c.at, c.chunk FROM {docs} d, LATERAL text_chunks(d.body, how => 'recursive', size => 800, overlap => 80) c", docs=docs)
+
+
+@query(f"WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {sql_trim('x')}), lambda x: x <> '') AS c FROM documents), u AS (SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS place FROM c) SELECT doc_id, place::INTEGER AS place, sha256(chunk) AS digest, length(chunk)::INTEGER AS n_chars FROM u")
+def sql_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql("SELECT d.doc_id, c.at AS place, sha2(c.chunk, 256) AS digest, char_length(c.chunk) AS n_chars FROM {docs} d, LATERAL text_chunks(d.text, how => 'paragraph') c", docs=docs)
+
+
+@query(
+    "SELECT l_orderkey AS key, l_linenumber AS line, 0 AS place, l_quantity::BIGINT || ' * 2 = ' || l_quantity::BIGINT * 2 AS equation, true AS holds FROM lineitem "
+    "UNION ALL SELECT l_orderkey, l_linenumber, 1, l_linenumber || ' + ' || l_suppkey || ' = ' || l_linenumber + l_suppkey + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END, l_partkey % 5 <> 0 FROM lineitem"
+)
+def sql_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both equations that are written for each line."""
+    tables.register(spark)
+    quantity, line, supplier = F.col("l_quantity").cast("long"), F.col("l_linenumber"), F.col("l_suppkey")
+    total = line + supplier + F.when(F.col("l_partkey") % 5 == 0, 1).otherwise(0)
+    claims = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%d * 2 = %d; %d + %d = %d", quantity, quantity * 2, line, supplier, total).alias("claim"))
+    return spark.sql("SELECT l_orderkey AS key, l_linenumber AS line, e.at AS place, e.equation, e.holds FROM {claims}, LATERAL text_equations(claim) e", claims=claims)
+
+
 @query(f"{WITH_DOCS}, k AS (SELECT id, row_number() OVER (PARTITION BY doc_type, title, body ORDER BY confidence DESC, id) AS n FROM docs WHERE confidence >= 20) SELECT id, 'low_confidence' AS reason FROM docs WHERE confidence < 20 UNION ALL SELECT id, 'duplicate' FROM k WHERE n > 1")
 def gc_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.garbage(A.documents(spark, sf_dir), min_confidence=20)
