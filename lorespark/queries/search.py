@@ -178,8 +178,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs = v.where("vec_id % 20 = 0")
     near = nearest(v.select(F.col("vec_id").alias("id"), "embedding"), qs.select(F.col("vec_id").alias("query_id"), "embedding"), 50, apart=True)
     runs = near.select("query_id", "rank", F.col("id").alias("item"))
-    truth = qs.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("item"), "label"), "label").where("item <> query_id")
-    return R.ranking_metrics(runs, truth.select("query_id", "item"), 10)
+    return R.class_metrics(runs, qs.select(F.col("vec_id").alias("query_id"), "label"), v.select(F.col("vec_id").alias("item"), "label"), 10)
 
 
 @query(f"WITH {_RUNS}, {_METRICS} SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, round(ap, 6) AS ap FROM m")
