@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,23 @@ def fnv1a_32(text: Column) -> Column:
     return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)) % F.lit(4294967296))
 
 
+def fnv1a_32_of(words: pa.Array) -> np.ndarray:
+    """``fnv1a_32`` of the strings of an Arrow array: all of them a byte further at each step, the longest first."""
+    raw = [w.encode() for w in words.to_pylist()]
+    order = sorted(range(len(raw)), key=lambda i: -len(raw[i]))
+    sizes = np.array([len(raw[i]) for i in order], np.int64)
+    data, starts = np.frombuffer(b"".join(raw[i] for i in order), np.uint8), np.cumsum(sizes) - sizes
+    hashes = np.full(len(raw), 2166136261, np.uint64)
+    n = len(raw)
+    for place in range(int(sizes.max(initial=0))):
+        while sizes[n - 1] <= place:
+            n -= 1
+        hashes[:n] = ((hashes[:n] ^ data[starts[:n] + place]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    out = np.empty(len(raw), np.uint64)
+    out[order] = hashes
+    return out
+
+
 def fnv1a_64(text: Column) -> Column:
     """FNV-1a, 64 bits, as 16 hexadecimal digits."""
 

@@ -24,3 +24,24 @@ def test_metrics_by_label_equal_those_of_written_pairs(spark):
     made = R.class_metrics(runs, queries, items, 10)
     assert {r["query_id"]: tuple(r) for r in made.collect()} == want and len(want) == 7
     assert "Generate" not in plan_of(made)
+
+
+def test_embedding_moves_sums_not_tokens(spark):
+    texts = [("a", "Alpha beta alpha ñandú 東京 x"), ("b", None), ("c", ""), ("a", "beta"), (None, "gamma"), ("d", "w" * 300 + " beta")]
+    rows = spark.createDataFrame(texts, "id string, text string")
+    made = R.embed(rows)
+    assert plan_of(made).count("Exchange") == 1
+    words = spark.createDataFrame([(w,) for w in "alpha beta ñandú 東京 gamma".split() + ["w" * 300]], "w string")
+    hashes = {r["w"]: r["h"] for r in words.select("w", V.fnv1a_32(F.col("w")).alias("h")).collect()}
+
+    def plain(tokens):
+        v = [0.0] * 64
+        for t in tokens:
+            v[hashes[t] % 64] += -1 if hashes[t] >= 2**31 else 1
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n if n else x for x in v]
+
+    want = {"a": plain("alpha beta alpha ñandú 東京 beta".split()), "b": plain([]), "c": plain([]), None: plain([]), "d": plain(["w" * 300, "beta"])}
+    got = {r["id"]: r["embedding"] for r in made.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k], strict=True))
