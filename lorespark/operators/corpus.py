@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import FORBIDDEN, classify_label, entity_runs, keyword_words, relation_for, summarize, trim
 from lorespark.functions.text import sentences as split_sentences
 from lorespark.functions.vectors import embedding_broken
+from lorespark.session import small_batches
 
 # Words at the head of a capitalised run that name nothing.
 LEADING_STOP_WORDS = frozenset((
@@ -20,6 +22,7 @@ LEADING_STOP_WORDS = frozenset((
     "Some", "Any", "All", "No", "Not", "For", "As", "At", "By", "In", "On", "To", "Of", "Its",
 ))
 
+CHUNK_ROWS, CHUNK_BYTES = 500, 4 << 20  # texts that a chunking task gets at a time; characters of chunks that it holds
 PAIR_BLOCK = 256  # entities of a sentence that are paired in one list
 
 
@@ -92,14 +95,32 @@ def chunked(text: str | None, how: str, size: int, overlap: int = 0) -> list[str
 
 
 def chunk_rows(docs: DataFrame, how: str, size: int, overlap: int = 0) -> DataFrame:
-    """id, at, chunk, by one of ``CHUNKINGS``, with the end of the chunk before in front."""
+    """id, at, chunk, by one of ``CHUNKINGS``, with the end of the chunk before in front.
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [(id_, i, c) for id_, text in zip(rows["id"], rows["body"], strict=True) for i, c in enumerate(chunked(text, how, size, overlap))]
-            yield pd.DataFrame(out, columns=["id", "at", "chunk"])
-
-    return docs.select("id", "body").mapInPandas(emit, "id string, at int, chunk string")
+    Texts are taken one at a time from small batches, and what is made of them leaves
+    whenever it comes to ``CHUNK_BYTES``, so a task holds no more of the chunks than that and one text's.
+    """
+    id_type = docs.schema["id"].dataType
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, at, chunks, held = [], [], [], 0
+            for i, text in enumerate(batch.column("body")):
+                for k, chunk in enumerate(chunked(text.as_py(), how, size, overlap)):
+                    of.append(i)
+                    at.append(k)
+                    chunks.append(chunk)
+                    held += len(chunk)
+                if held >= CHUNK_BYTES:
+                    yield rows(batch, of, at, chunks)
+                    of, at, chunks, held = [], [], [], 0
+            if of:
+                yield rows(batch, of, at, chunks)
+
+    def rows(batch: pa.RecordBatch, of: list[int], at: list[int], chunks: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), pa.array(at, pa.int32()), pa.array(chunks, pa.string())], ["id", "at", "chunk"])
+
+    return small_batches(docs, CHUNK_ROWS).select("id", "body").mapInArrow(emit, f"id {id_type.simpleString()}, at int, chunk string")
 
 
 def passages(docs: DataFrame, size: int = 800, overlap: int = 80) -> DataFrame:

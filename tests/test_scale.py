@@ -45,3 +45,12 @@ def test_embedding_moves_sums_not_tokens(spark):
     got = {r["id"]: r["embedding"] for r in made.collect()}
     assert got.keys() == want.keys()
     assert all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_chunks_leave_a_task_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK_BYTES", 40)
+    text = " ".join(f"Sentence number {i} is here." for i in range(30))
+    docs = spark.createDataFrame([(i, None if i == 3 else text) for i in range(9)], "id long, body string").coalesce(1)
+    want = sorted((i, k, c) for i in range(9) if i != 3 for k, c in enumerate(C.chunked(text, "recursive", 60, 8)))
+    assert sorted(tuple(r) for r in C.chunk_rows(docs, "recursive", 60, 8).collect()) == want
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= C.CHUNK_ROWS
