@@ -3,20 +3,23 @@
     register(spark)
     spark.sql("SELECT d.doc_id, c.* FROM documents d, LATERAL text_chunks(d.text, how => 'adaptive', size => 400) c")
 
-They run row by row in Python workers, with rows sent as Arrow batches; a null text has no rows.
+They run row by row in Python workers, with rows sent as Arrow batches; a null text has no rows. For very many
+short texts there is ``equations_in``, a function of a column that takes whole batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
-from pyspark.sql.types import BooleanType, DataType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.functions import arrow_udf, udtf
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lorespark.operators.corpus import CHUNKINGS, chunked, equations
 
+EQUATION = StructType([StructField("at", IntegerType(), False), StructField("equation", StringType(), False), StructField("holds", BooleanType(), False)])
 LIMITS = {"size": 1, "overlap": 0}  # the smallest values
 
 
@@ -59,14 +62,29 @@ class TextEquations:
     @staticmethod
     def analyze(text: AnalyzeArgument) -> AnalyzeResult:
         _is_text("text", text)
-        return AnalyzeResult(StructType([StructField("at", IntegerType(), False), StructField("equation", StringType(), False), StructField("holds", BooleanType(), False)]))
+        return AnalyzeResult(EQUATION)
 
     def eval(self, text: str | None) -> Iterator[tuple[int, str, bool]]:
         for at, (equation, holds) in enumerate(equations(text or "")):
             yield at, equation, holds
 
 
+@arrow_udf(ArrayType(EQUATION))
+def equations_in(texts: pa.Array) -> pa.Array:
+    """equations_in(text): the rows of text_equations as a list, made a batch at a time; a null text has an empty one."""
+    ends, at, found, holds = [0], [], [], []
+    for text in texts.to_pylist():
+        for k, (equation, right) in enumerate(equations(text or "")):
+            at.append(k)
+            found.append(equation)
+            holds.append(right)
+        ends.append(len(at))
+    rows = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(found, pa.string()), pa.array(holds, pa.bool_())], ["at", "equation", "holds"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def register(spark: SparkSession) -> None:
     """Makes the functions known to the session's SQL."""
+    spark.udf.register("equations_in", equations_in)
     for name, function in (("text_chunks", TextChunks), ("text_equations", TextEquations)):
         spark.udtf.register(name, udtf(function, useArrow=True))

@@ -140,7 +140,11 @@ def sql_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity, line, supplier = F.col("l_quantity").cast("long"), F.col("l_linenumber"), F.col("l_suppkey")
     total = line + supplier + F.when(F.col("l_partkey") % 5 == 0, 1).otherwise(0)
     claims = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%d * 2 = %d; %d + %d = %d", quantity, quantity * 2, line, supplier, total).alias("claim"))
-    return spark.sql("SELECT l_orderkey AS key, l_linenumber AS line, e.at AS place, e.equation, e.holds FROM {claims}, LATERAL text_equations(claim) e", claims=claims)
+    return spark.sql(
+        "SELECT l_orderkey AS key, l_linenumber AS line, e.place, e.equation, e.holds FROM (SELECT l_orderkey, l_linenumber, equations_in(claim) AS found FROM {claims}) "
+        "LATERAL VIEW OUTER inline(found) e AS place, equation, holds WHERE e.place IS NOT NULL",
+        claims=claims,
+    )
 
 
 @query(f"{WITH_DOCS}, k AS (SELECT id, row_number() OVER (PARTITION BY doc_type, title, body ORDER BY confidence DESC, id) AS n FROM docs WHERE confidence >= 20) SELECT id, 'low_confidence' AS reason FROM docs WHERE confidence < 20 UNION ALL SELECT id, 'duplicate' FROM k WHERE n > 1")

@@ -54,3 +54,13 @@ def test_chunks_leave_a_task_as_they_come(spark, monkeypatch):
     want = sorted((i, k, c) for i in range(9) if i != 3 for k, c in enumerate(C.chunked(text, "recursive", 60, 8)))
     assert sorted(tuple(r) for r in C.chunk_rows(docs, "recursive", 60, 8).collect()) == want
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= C.CHUNK_ROWS
+
+
+def test_equations_by_the_batch_equal_those_by_the_row(spark):
+    from lorespark.functions import tables
+
+    tables.register(spark)
+    texts = spark.createDataFrame([(1, "2 + 2 = 4; 3 * 3 = 8"), (2, None), (3, "no sums"), (4, "7 - 9 = -2")], "id long, t string")
+    rows = spark.sql("SELECT id, e.at, e.equation, e.holds FROM {x}, LATERAL text_equations(t) e", x=texts)
+    made = spark.sql("SELECT id, inline(equations_in(t)) FROM {x}", x=texts)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.collect())) == [(1, 0, "2 + 2 = 4", True), (1, 1, "3 * 3 = 8", False), (4, 0, "7 - 9 = -2", True)]
