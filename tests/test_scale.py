@@ -64,3 +64,18 @@ def test_equations_by_the_batch_equal_those_by_the_row(spark):
     rows = spark.sql("SELECT id, e.at, e.equation, e.holds FROM {x}, LATERAL text_equations(t) e", x=texts)
     made = spark.sql("SELECT id, inline(equations_in(t)) FROM {x}", x=texts)
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.collect())) == [(1, 0, "2 + 2 = 4", True), (1, 1, "3 * 3 = 8", False), (4, 0, "7 - 9 = -2", True)]
+
+
+def test_nonces_that_are_judged_together_stay_apart(spark, tmp_path):
+    from lorespark.streaming import jobs as S
+
+    rng = random.Random(8)
+    rows = [(i, None if i % 50 == 0 else rng.randrange(40), 100 * i, 100 * i + rng.choice((0, 300, 1200)), i % 9 > 0) for i in range(400)]
+    messages = spark.createDataFrame(rows, "id long, nonce long, ts_ms long, now_ms long, signed boolean")
+    made = S.drain(S.replay_verdicts(S.in_batches(messages, "now_ms", 2), 1000, groups=3), S.append)
+    last, want = {}, {}
+    for i, n, t, now, signed in sorted(rows, key=lambda r: (r[3], r[0])):
+        want[i] = "bad_signature" if not signed else "expired" if now - t > 1000 else "replayed" if n in last and now - last[n] <= 1000 else "accepted"
+        if want[i] == "accepted":
+            last[n] = t
+    assert {r["id"]: r["verdict"] for r in made.collect()} == want
