@@ -79,3 +79,18 @@ def test_nonces_that_are_judged_together_stay_apart(spark, tmp_path):
         if want[i] == "accepted":
             last[n] = t
     assert {r["id"]: r["verdict"] for r in made.collect()} == want
+
+
+def test_postings_are_cut_into_blocks_by_shares_of_the_documents(spark, tmp_path, monkeypatch):
+    from lorespark.operators import index as I
+
+    monkeypatch.setattr(I, "DOCS_PER_CELL", 4)
+    rows = [(f"d{i}", "s", "usual title" if i % 2 else "usual usual", " ".join(["usual"] * (i % 3) + ["rare"] * (i == 5)), 50) for i in range(12)] + [("none", "s", "", "", 50)]
+    docs = spark.createDataFrame(rows, "id string, source string, title string, body string, confidence int").coalesce(1)
+    I.StoredIndex.create(docs, str(tmp_path), buckets=2)
+    blocks = spark.read.parquet(f"{tmp_path}/postings")
+    keys = blocks.select("term", "level", "block")
+    assert keys.distinct().count() == keys.count() and blocks.where("term = 'usual'").select((F.col("block") % 4).alias("share")).distinct().count() > 1
+    got = {(r["term"], r["id"], r["tf"], r["dl"]) for r in blocks.select("term", F.inline("entries")).collect()}
+    want = {(r["term"], r["id"], r["tf"]) for r in R.postings(docs).collect()}
+    assert {x[:3] for x in got} == want and len(got) == len(want)
