@@ -133,11 +133,15 @@ def passages(docs: DataFrame, size: int = 800, overlap: int = 80) -> DataFrame:
 
 
 def replace_passages(store: DataFrame, new: DataFrame) -> DataFrame:
-    """The store with these passages in place of all that it had of their sources."""
+    """The store with these passages in place of all that it had of their sources.
+
+    Only passages that name a source are joined: other rows have no key, so a join
+    would send all of them, with their texts, to the task of the null key.
+    """
     sources = new.select(F.col("metadata")["source"].alias("_source")).distinct()
-    held = F.when(F.col("doc_type") == "chunk", F.col("metadata")["source"])
-    kept = store.withColumn("_source", held).join(sources, "_source", "left_anti").drop("_source")
-    return kept.unionByName(new, allowMissingColumns=True)
+    passage = F.coalesce((F.col("doc_type") == "chunk") & F.col("metadata")["source"].isNotNull(), F.lit(False))
+    held = store.where(passage).withColumn("_source", F.col("metadata")["source"]).join(sources, "_source", "left_anti").select(*store.columns)
+    return store.where(~passage).unionByName(held).unionByName(new, allowMissingColumns=True)
 
 
 # -- extraction ---------------------------------------------------------------

@@ -94,3 +94,21 @@ def test_postings_are_cut_into_blocks_by_shares_of_the_documents(spark, tmp_path
     got = {(r["term"], r["id"], r["tf"], r["dl"]) for r in blocks.select("term", F.inline("entries")).collect()}
     want = {(r["term"], r["id"], r["tf"]) for r in R.postings(docs).collect()}
     assert {x[:3] for x in got} == want and len(got) == len(want)
+
+
+def test_replaced_passages_leave_other_documents_where_they_are(spark):
+    rows = [(f"d{i}", "chunk" if i % 10 == 0 else None if i == 1 else "note", "b", {"source": f"s{i // 20}"} if i % 30 else None) for i in range(400)]
+    store = spark.createDataFrame(rows, "id string, doc_type string, body string, metadata map<string,string>").repartition(8)
+    new = spark.createDataFrame([("s1#0", "chunk", "n", {"source": "s1"})], store.schema)
+    kept, names = {}, ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    for name, value in zip(names, ("false", "-1"), strict=True):
+        kept[name] = spark.conf.get(name)
+        spark.conf.set(name, value)
+    try:
+        got = C.replace_passages(store, new).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name in names:
+            spark.conf.set(name, kept[name])
+    gone = {i for i, t, _, m in rows if t == "chunk" and m and m["source"] == "s1"}
+    assert sorted(r["id"] for r in got) == sorted({r[0] for r in rows} - gone | {"s1#0"}) and gone
+    assert len({r["task"] for r in got if r["doc_type"] != "chunk"}) > 4  # one, when a join took them by their missing source
