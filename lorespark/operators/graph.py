@@ -106,33 +106,60 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str]
     """The power iteration of both kinds of PageRank, for every query (``by``) at once.
 
     Links to missing nodes are left out first, so all mass stays in the graph; that of
-    nodes without links goes to the teleport. Parallel edges carry a share each. The
-    links keep one partitioning by source and cell (see ``in_cells``: a hub's share goes to
-    each of its cells, so no task gets all links of a hub) through all rounds (kept copies that are lost
-    are read again from their checkpoint), and each round is cut off by a checkpoint,
-    which keeps the plan's size constant.
+    nodes without links goes to the teleport. Parallel edges carry a share each.
+
+    A node that no link leads to has the rank c * tp in each round, with one number c for
+    the query, so all links of such nodes are summed once (``s`` of their targets) and
+    count c * s after that. Nodes that only such links lead to have the rank
+    c * tp + damping * before * s, with the c of the round before; of those without links,
+    two sums for the query give the mass. The rounds go over the rest alone: the links of
+    nodes that have links to them, and both their ends. These keep one partitioning by source and
+    cell (see ``in_cells``: a hub's share goes to each of its cells, so no task gets all
+    links of a hub; kept copies that are lost are read again from their checkpoint), or are
+    broadcast if they are at most ``per_cell``; each round is cut off by a checkpoint, which keeps the plan's size constant.
     """
     damping = min(max(damping, 0.0), 1.0)
     live = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(in_cells(cut(live.groupBy("src", "dst").agg(F.count("*").alias("n"))), per_cell))
-    links = dealt.drop("cells").repartition(parts, "src", "cell").persist()
-    out = cut(dealt.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("out"), F.max("cells").alias("cells")))
-    state = cut(teleport.join(out, "id", "left").select(*by, "id", "tp", "out", "cells", F.col("tp").alias("rank")))
-    own = state.select(*by, "id", "tp")  # rows of a rank or a teleport above 0 are kept, no others
+    every = cut(live.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    sums = every.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("out"))
+    out = cut(sums.join(every.select(F.col("dst").alias("id"), F.lit(True).alias("led")).distinct(), "id", "left"))
+    led = out.where("led").select(F.col("id").alias("src"))
+    few = led.count() <= per_cell
+    dealt = cut(in_cells(every.join(F.broadcast(led) if few else led, "src", "left_semi"), per_cell))
+    small = dealt.count() <= per_cell
+    links = F.broadcast(dealt.drop("cells")) if small else dealt.drop("cells").repartition(parts, "src", "cell").persist()
+    inner = cut(dealt.select(F.col("src").alias("id")).unionByName(dealt.select(F.col("dst").alias("id"))).distinct())
+    first = teleport.join(out.where("led is null"), "id").select(*by, F.col("id").alias("src"), (F.col("tp") / F.col("out")).alias("share"))
+    once = every.join(first, "src").groupBy(*by, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("n")).alias("s"))
+    zero = F.lit(0.0)
+    base = cut(teleport.select(*by, "id", "tp", zero.alias("s")).unionByName(once.select(*by, "id", zero.alias("tp"), "s")).groupBy(*by, "id").agg(F.sum("tp").alias("tp"), F.sum("s").alias("s")))
+    outer, own = base.join(inner, "id", "left_anti"), cut(base.join(inner, "id", "left_semi"))
+    loose = outer.join(out.select("id"), "id", "left_anti").select(*by, "tp", "s")
+    asked = base.select(*by).distinct().select(*by, zero.alias("tp"), zero.alias("s")) if by else base.limit(0).select("tp", "s")
+    held = loose.unionByName(asked).groupBy(*by).agg(F.coalesce(F.sum("tp"), zero).alias("tps"), F.coalesce(F.sum("s"), zero).alias("ss"))
+    terms = cut(held.select(*by, "tps", "ss", F.lit(1.0).alias("c"), zero.alias("before")))  # one row for each query
+    ends = cut(inner.join(out.select("id", "out"), "id", "left").join(dealt.groupBy(F.col("src").alias("id")).agg(F.max("cells").alias("cells")), "id", "left"))
+    state = cut(own.join(ends, "id").select(*by, "id", "out", "cells", F.col("tp").alias("rank")))  # rows of a rank or a teleport above 0 are kept, no others
     for _ in range(iterations):
-        shares = state.where("out is not null and rank > 0").select(*by, F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-        sent = links.join(shares, ["src", "cell"])
-        got = sent.groupBy(*by, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("n")).alias("got"))
         # one number for each query: the mass that stands on nodes without links
         lost = state.groupBy(*by).agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
-        both = got.withColumn("tp", F.lit(0.0)).unionByName(own.withColumn("got", F.lit(0.0)))
-        new = both.groupBy(*by, "id").agg(F.sum("got").alias("got"), F.sum("tp").alias("tp")).join(out, "id", "left")
-        new = new.join(F.broadcast(lost), by) if by else new.crossJoin(F.broadcast(lost))
-        rank = (1 - damping) * F.col("tp") + damping * (F.col("got") + F.col("lost") * F.col("tp"))
-        state = cut(new.select(*by, "id", "tp", "out", "cells", rank.alias("rank")))
-    links.unpersist()
-    return state.select(*by, "id", "rank")
+        mass = F.coalesce("lost", zero) + F.col("c") * F.col("tps") + damping * F.col("before") * F.col("ss")
+        now = terms.join(lost, by, "left") if by else terms.crossJoin(lost)
+        terms = cut(now.select(*by, "tps", "ss", ((1 - damping) + damping * mass).alias("c"), F.col("c").alias("before")))
+        shares = state.where("out is not null and rank > 0").select(*by, F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+        sent = shares.join(links, ["src", "cell"])
+        got = sent.groupBy(*by, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("n")).alias("got"))
+        both = got.select(*by, "id", "got", zero.alias("tp"), zero.alias("s")).unionByName(own.select(*by, "id", zero.alias("got"), "tp", "s"))
+        new = both.groupBy(*by, "id").agg(F.sum("got").alias("got"), F.sum("tp").alias("tp"), F.sum("s").alias("s")).join(ends, "id")
+        new = new.join(F.broadcast(terms), by) if by else new.crossJoin(F.broadcast(terms))
+        rank = F.col("c") * F.col("tp") + damping * (F.col("got") + F.col("before") * F.col("s"))
+        state = cut(new.select(*by, "id", "out", "cells", rank.alias("rank")))
+    if not small:
+        links.unpersist()
+    rest = outer.join(F.broadcast(terms), by) if by else outer.crossJoin(F.broadcast(terms))
+    rank = F.col("c") * F.col("tp") + damping * F.col("before") * F.col("s")
+    return state.select(*by, "id", "rank").unionByName(rest.select(*by, "id", rank.alias("rank")))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,39 @@ def test_a_hub_is_dealt_to_cells_and_ranks_stay(spark):
         one, many = ({r["id"]: r["rank"] for r in G._rank(nodes, edges, tp, by, 0.85, 4, per_cell).collect()} for per_cell in (10**6, 50))
         assert one.keys() == many.keys() and max(abs(one[k] - many[k]) for k in one) < 1e-12
         assert abs(sum(many.values()) - 1) < 1e-9
+
+
+def test_rounds_go_over_nodes_that_links_lead_to(spark, monkeypatch):
+    """Ranks equal a plain power iteration; the links of nodes without any to them are summed once, and no round reads them."""
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(60)]
+    pairs = [(f"n{i}", f"n{rng.randrange(30, 60)}") for i in range(30) for _ in range(6)]  # these are led to by none
+    pairs += [(f"n{rng.randrange(30, 40)}", f"n{rng.randrange(30, 50)}") for _ in range(25)] + [("n31", "n31"), ("n30", "gone"), ("gone", "n40"), ("n0", "n31"), ("n0", "n31")]
+    n, e = graph(spark, ids, pairs)
+    seeds = {"a": {"n0": 0.5, "n31": 0.5}, "b": {"n59": 1.0}, "c": {"n3": 1.0}}
+    live = [p for p in pairs if "gone" not in p]
+    outs = {i: sum(s == i for s, _ in live) for i in ids}
+
+    def plain(tp):
+        rank = dict(tp)
+        for _ in range(2):
+            lost = sum(r for i, r in rank.items() if not outs[i])
+            new = {i: (0.15 + 0.85 * lost) * tp.get(i, 0.0) for i in ids}
+            for s, d in live:
+                new[d] += 0.85 * rank.get(s, 0.0) / outs[s]
+            rank = new
+        return rank
+
+    read = []
+    whole = G.in_cells
+    monkeypatch.setattr(G, "in_cells", lambda links, per_cell: read.append(links.count()) or whole(links, per_cell))
+    for few in (10, 10**6):
+        tp = spark.createDataFrame([(q, i, v) for q, s in seeds.items() for i, v in s.items()], "query_id string, id string, tp double")
+        got = {(r["query_id"], r["id"]): r["rank"] for r in G._rank(n, e, tp, ["query_id"], 0.85, 2, few).collect()}
+        want = {(q, i): r for q, s in seeds.items() for i, r in plain(s).items()}
+        assert all(got.get(k, 0.0) == pytest.approx(r, abs=1e-12) for k, r in want.items())
+        assert all(k in want for k in got)
+    uniform = plain({i: 1 / 60 for i in ids})
+    assert ranks(G.pagerank(n, e, iterations=2)) == pytest.approx(uniform, abs=1e-12)
+    inner = {s for s, d in live if s in {d for _, d in live}}
+    assert read == [len({p for p in live if p[0] in inner})] * 3 and 0 < read[0] < 40
