@@ -17,6 +17,7 @@ from lorespark.llm.frames import cut, plain, texts, unused
 WORDS = 50
 GRAM = 10
 HOT_ROWS = 1024
+WIDTHS = (16, 4, 1)
 
 
 class Automaton:
@@ -126,35 +127,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
 
-def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row for each different run of a document, with all places (``firsts``) where it begins."""
+def _runs(keyed: DataFrame, length: int, gram: int, keys: np.ndarray | None = None) -> DataFrame:
+    """One row for each different run of a document, with all places (``firsts``) where it begins.
+
+    With ``keys``, only the runs of these shards, each with its words (as hashes).
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _, _, _, bounds, words in _words(batch.column(1)):
                 doc, least, content, first, n = _minimizer_runs(words, bounds, length, gram)
+                if keys is not None:
+                    doc, least, content, first, n = (x[np.isin(K.signed(least), keys)] for x in (doc, least, content, first, n))
                 order = np.lexsort((first, content, least, doc))
                 doc, least, content, first, n = (x[order] for x in (doc, least, content, first, n))
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (content[1:] != content[:-1]) | (least[1:] != least[:-1])
                 heads = np.flatnonzero(new)
                 firsts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(doc)).astype(np.int32)), pa.array(first.astype(np.int32)))
-                part, doc = batch.slice(lo, hi - lo), pa.array(doc[heads])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(least[heads])), pa.array(K.signed(content[heads])), part.column(0).take(doc), part.column(2).take(doc), firsts, pa.array(n[heads].astype(np.int32))],
-                    names=["key", "content_key", "doc_id", "text_key", "firsts", "n"],
-                )
+                part, at = batch.slice(lo, hi - lo), pa.array(doc[heads])
+                columns = [pa.array(K.signed(least[heads])), pa.array(K.signed(content[heads])), part.column(0).take(at), part.column(2).take(at), firsts, pa.array(n[heads].astype(np.int32))]
+                names = ["key", "content_key", "doc_id", "text_key", "firsts", "n"]
+                if keys is not None:
+                    begin = bounds[doc[heads]] + first[heads]
+                    held = [words[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n[heads] + length - 1).tolist(), strict=True)]
+                    columns, names = [*columns, pa.array(held, pa.binary())], [*names, "content"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         K.release()
 
-    return keyed.mapInArrow(emit, "key long, content_key long, doc_id long, text_key long, firsts array<int>, n int")
+    return keyed.mapInArrow(emit, _RUN if keys is None else f"{_RUN}, content binary")
+
+
+def _dealt(runs: DataFrame, hot_rows: int) -> DataFrame:
+    """The runs that another document may have words of: whether a smaller document has their very words (whole), and whether more than ``hot_rows`` different ones have their key (hot)."""
+    contents = runs.groupBy("key", "content_key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shards = contents.groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("first_low"), F.max("high").alias("last_high"))
+    shards = shards.where("first_low < last_high").select("key", "kinds")
+    followed = runs.join(contents.join(shards, "key").select("key", "content_key", "low", "kinds"), ["key", "content_key"]).where("low < doc_id or kinds > 1")
+    return followed.withColumns({"whole": F.col("low") < F.col("doc_id"), "hot": F.col("kinds") > hot_rows}).drop("content_key", "low", "kinds")
 
 
+_RUN = "key long, content_key long, doc_id long, text_key long, firsts array<int>, n int"
 _CONTENT = "key long, doc_id long, text_key long, firsts array<int>, content binary"
 _REMOVED = "doc_id long, text_key long, first int, stop int"
 
 
-def _contents(wanted: DataFrame, length: int, each_window: bool) -> DataFrame:
-    """The words (as hashes) of every wanted run; or, of every window in it, its hash as the key."""
+def _whole_spans(followed: DataFrame, length: int) -> DataFrame:
+    copies = followed.where("whole").select("doc_id", "text_key", "n", F.explode("firsts").alias("first"))
+    return copies.select("doc_id", "text_key", "first", (F.col("first") + F.col("n") + (length - 1)).cast("int").alias("stop"))
+
+
+def _contents(wanted: DataFrame, length: int) -> DataFrame:
+    """The words (as hashes) of every wanted run."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,13 +190,9 @@ def _contents(wanted: DataFrame, length: int, each_window: bool) -> DataFrame:
                 rows: list[tuple] = []
                 for i in range(hi - lo):
                     own = words[bounds[i]:bounds[i + 1]]
-                    hashes = K.run_hashes(own, length) if each_window else None
                     for run in runs[i]:
                         firsts, n = run["firsts"], run["n"]
-                        if each_window:
-                            rows += [(h, ids[i], keys[i], [f + k for f in firsts], b"") for k, h in enumerate(hashes[firsts[0]:firsts[0] + n].view(np.int64).tolist())]
-                        else:
-                            rows.append((run["key"], ids[i], keys[i], firsts, own[firsts[0]:firsts[0] + n + length - 1].tobytes()))
+                        rows.append((run["key"], ids[i], keys[i], firsts, own[firsts[0]:firsts[0] + n + length - 1].tobytes()))
                     if len(rows) > 20_000:
                         yield _batch(rows)
                         rows = []
@@ -187,6 +207,57 @@ def _contents(wanted: DataFrame, length: int, each_window: bool) -> DataFrame:
     return wanted.mapInArrow(emit, _CONTENT)
 
 
+def _parts(words: np.ndarray, length: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
+    """A run of one minimizer in parts: key, hash of all its words, first window, windows.
+
+    The minimizer's first place in a window is one of length - gram + 1. Windows of a part
+    have it in one place of the run, and in places of the window that lie in one range of
+    ``width``; the key is the hash of the words that every window of that range has around it.
+    So equal windows have equal keys, and a part of one window has all its words as its key.
+    """
+    reach, n = length - gram + 1, len(words) - length + 1
+    hashes = K.run_hashes(words, gram)
+    at, window = np.flatnonzero(hashes == hashes[:reach].min()), np.arange(n)
+    place = at[np.searchsorted(at, window)]
+    low = (place - window) // width * width
+    new = np.ones(n, bool)
+    new[1:] = (place[1:] != place[:-1]) | (low[1:] != low[:-1])
+    heads = np.flatnonzero(new)
+    place, low, n = place[heads], low[heads], np.diff(np.append(heads, n))
+    shared = K.span_hashes(words, place - low, place + gram + reach - np.minimum(low + width, reach))
+    key = K.mix(shared + K.mix((low * (length + 1) + width).astype(np.uint64)))
+    return key, K.span_hashes(words, heads, heads + n + length - 1), heads, n
+
+
+def _narrowed(hot: DataFrame, length: int, gram: int, width: int) -> DataFrame:
+    """Every different part of a run, with its places and its words."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text_key, firsts, content in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "firsts", "content")), strict=True):
+                key, own, heads, n = _parts(np.frombuffer(content, np.uint64), length, gram, width)
+                places: dict[int, list[int]] = {}
+                for i, k in enumerate(own.tolist()):
+                    places.setdefault(k, []).append(i)
+                key, own, heads, n = K.signed(key).tolist(), K.signed(own).tolist(), heads.tolist(), n.tolist()
+                for same in places.values():
+                    i = same[0]
+                    rows.append((key[i], own[i], doc_id, text_key, [f + heads[k] for f in firsts for k in same], n[i], content[8 * heads[i]:8 * (heads[i] + n[i] + length - 1)]))
+                if len(rows) > 5_000:
+                    yield made(rows)
+                    rows = []
+            if rows:
+                yield made(rows)
+        K.release()
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "content_key", "doc_id", "text_key", "firsts", "n", "content"])
+
+    return hot.select("doc_id", "text_key", "firsts", "content").mapInArrow(emit, f"{_RUN}, content binary")
+
+
 def _removed_in_group(rows: list[tuple[int, int, list[int], bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
     """(doc_id, text_key, first word, stop) of what one shard's automaton removes from the runs that were sent to it."""
     least: dict[bytes, int] = {}
@@ -262,28 +333,30 @@ def repeated_spans(docs: DataFrame, length: int = WORDS, gram: int = GRAM, hot_r
     are removed. However often a document repeats a run, the run travels once, with its
     places, so a shard has one row for each of its different runs. A shard of more than
     ``hot_rows`` of them (the edges of a passage of very many documents) is not gathered
-    in one task: its windows are dealt anew, each by its own words, and the least document
-    is found by a pre-aggregated minimum.
+    in one task: its runs are dealt anew in parts, by more of the words around the minimizer.
+    Parts whose words stand in a smaller document go whole again, those that no other document
+    shares are left alone, and only the parts that are still hot are cut up further, at last to
+    single windows with all their words as key. The driver reads the keys of the hot shards, of
+    which there are at most one for ``hot_rows`` runs.
     """
     keyed = _judged(docs)
-    runs = _runs(keyed, length, gram)
-    contents = runs.groupBy("key", "content_key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shards = contents.groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("first_low"), F.max("high").alias("last_high"))
-    shards = shards.where("first_low < last_high").select("key", "kinds")
-    followed = runs.join(contents.join(shards, "key").select("key", "content_key", "low", "kinds"), ["key", "content_key"]).where("low < doc_id or kinds > 1")
-    followed = cut(followed.select("key", "doc_id", "text_key", "firsts", "n", (F.col("low") < F.col("doc_id")).alias("whole"), (F.col("kinds") > hot_rows).alias("hot")))
-    copies = followed.where("whole").select("doc_id", "text_key", "n", F.explode("firsts").alias("first"))
-    copies = copies.select("doc_id", "text_key", "first", (F.col("first") + F.col("n") + (length - 1)).cast("int").alias("stop"))
-    own = followed.where("not whole").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "firsts", "n", "hot")).alias("all"))
-    both = keyed.join(own, ["doc_id", "text_key"])
-    cool = both.select("doc_id", "text_key", "text", F.filter("all", lambda x: ~x["hot"]).alias("runs")).where(F.size("runs") > 0)
-    hot = both.select("doc_id", "text_key", "text", F.filter("all", lambda x: x["hot"]).alias("runs")).where(F.size("runs") > 0)
-    by_shard = _match_shards(_contents(cool, length, False), length)
-    windows = _contents(hot, length, True).drop("content")
-    least = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    by_window = windows.join(least, "key").where("low < doc_id").select("doc_id", "text_key", F.explode("firsts").alias("first"))
-    by_window = by_window.select("doc_id", "text_key", "first", (F.col("first") + length).cast("int").alias("stop"))
-    return copies.union(by_shard).union(by_window)
+    followed = cut(_dealt(_runs(keyed, length, gram), hot_rows).select("key", "doc_id", "text_key", "firsts", "n", "whole", "hot"))
+    spans = _whole_spans(followed, length)
+    own = followed.where("not whole and not hot").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "firsts", "n")).alias("runs"))
+    contents = _contents(keyed.join(own, ["doc_id", "text_key"]), length)
+    hot = followed.where("not whole and hot").select("key", "doc_id", "text_key", F.col("firsts")[0].alias("at")).distinct()
+    keys = np.array([r["key"] for r in hot.select("key").distinct().collect()], np.int64)
+    if len(keys):
+        named = _runs(keyed, length, gram, keys).withColumn("at", F.col("firsts")[0])
+        hot = cut(named.join(hot, ["key", "doc_id", "text_key", "at"], "left_semi").select("doc_id", "text_key", "firsts", "content"))
+        for width in WIDTHS:
+            parts = cut(_dealt(_narrowed(hot, length, gram, width), hot_rows))
+            spans = spans.union(_whole_spans(parts, length))
+            contents = contents.union(parts.where("not whole and not hot").select("key", "doc_id", "text_key", "firsts", "content"))
+            hot = parts.where("not whole and hot")
+            if hot.limit(1).count() == 0:
+                break
+    return spans.union(_match_shards(contents, length))
 
 
 def remove_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:

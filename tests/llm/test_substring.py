@@ -85,3 +85,23 @@ def test_automaton_matches_every_window():
     for t in [*texts, [rng.randrange(4) for _ in range(50)]]:
         want = [min((i for i, o in enumerate(texts) if any(o[j:j + 5] == t[k:k + 5] for j in range(len(o) - 4))), default=2**63 - 1) for k in range(len(t) - 4)]
         assert a.first_documents(t, 5) == want
+
+
+@pytest.mark.parametrize("hot", [1, 20])
+def test_a_hot_shard_makes_few_rows(spark, hot):
+    """The edges of one passage in many documents: not a row for each of their windows."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(80)]
+    texts = [[f"u{rng.randrange(99999)}" for _ in range(40)] + passage[i % 3:] + [f"v{rng.randrange(99999)}" for _ in range(40)] for i in range(200)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, plain = [], substring._dealt
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring, "_dealt", lambda runs, n: (made.append(runs.count()), plain(runs, n))[1])
+        spans = substring.repeated_spans(docs, 50, hot_rows=hot).collect()
+    gone = {i: set() for i, _ in rows}
+    for s in spans:
+        gone[s["doc_id"]].update(range(s["first"], s["stop"]))
+    want = {i: n for i, _, n, _ in brute(rows, 50)}
+    assert {i: len(g) for i, g in gone.items()} == want
+    assert len(made) > 1 and max(made[1:]) < 2 * made[0]
