@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lorespark.llm import kernels as K
@@ -168,8 +168,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Cut off, and in partitions of about ``rows`` rows: narrow tables of few rows otherwise cost a file for every pair of tasks."""
-    made = cut(df)
-    return made.coalesce(made.count() // rows + 1)
+    return _compact_seen(df, rows)[0]
+
+
+def _compact_seen(df: DataFrame, rows: int = 100_000, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The same, with its number of rows (``n``) and these aggregates: they are counted as the rows are written, by no jobs of their own."""
+    seen = Observation()
+    made = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in more.items())))
+    return made.coalesce(seen.get["n"] // rows + 1), seen.get
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -179,7 +185,7 @@ def components(links: DataFrame) -> DataFrame:
     none changes; every round is cut off by a checkpoint.
     """
     edges = _compact(links.union(links.select("b", "a")).toDF("node", "other").distinct())
-    labels = _compact(edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    labels = edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
     turn = 0
     while True:
         turn += 1
@@ -188,10 +194,9 @@ def components(links: DataFrame) -> DataFrame:
         if turn % 2 == 0:
             jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
             new = new.join(jump, "next", "left").select("node", F.least("next", "far").alias("next"), "label")
-        new = _compact(new)
-        changed = new.where("label <> next").limit(1).count()
+        new, seen = _compact_seen(new, changed=F.count_if(F.col("label") != F.col("next")))
         labels = new.select("node", F.col("next").alias("label"))
-        if not changed:
+        if not seen["changed"]:
             return labels
 
 
@@ -362,18 +367,18 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = _compact(pairs)
-        if pairs.limit(1).count() == 0:
+        pairs, seen = _compact_seen(pairs)
+        if not seen["n"]:
             break
         found = _verified(pairs, sets, threshold)
         links = _compact(found if links is None else links.union(found))
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
     pairs = _open_pairs(cells, labels, sets, threshold, block_bytes)
-    pairs = _compact(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-    if pairs.limit(1).count():
-        found = _compact(_verified(pairs, sets, threshold))
-        if found.limit(1).count():
+    pairs, seen = _compact_seen(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    if seen["n"]:
+        found, seen = _compact_seen(_verified(pairs, sets, threshold))
+        if seen["n"]:
             labels = components(found if links is None else links.union(found))
     ids = signed.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest")
     if labels is None:

@@ -87,6 +87,15 @@ def test_components_of_a_long_chain(spark):
     assert {labels[i] for i in range(41)} == {0} and labels[101] == 100
 
 
+def test_components_count_as_they_write(spark):
+    """One execution a turn: the driver keeps the plan and the tasks of each that it starts."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long").coalesce(1)
+    known = spark._jsparkSession.sharedState().statusStore().executionsCount
+    before = known()
+    near.components(links)
+    assert 1 < known() - before <= 6
+
+
 def test_partner_of_a_single_member_of_a_large_class_is_found(spark):
     rng = random.Random(6)
     words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
