@@ -171,9 +171,15 @@ def _compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return _compact_seen(df, rows)[0]
 
 
-def _compact_seen(df: DataFrame, rows: int = 100_000, **more: Column) -> tuple[DataFrame, dict[str, int]]:
-    """The same, with its number of rows (``n``) and these aggregates: they are counted as the rows are written, by no jobs of their own."""
+def _compact_seen(df: DataFrame, rows: int = 100_000, most: int | None = None, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The same, with its number of rows (``n``) and these aggregates: they are counted as the rows are written, by no jobs of their own.
+
+    Where there can't be more than ``most`` rows, no more files are written than these need:
+    each file costs a process of the file system's.
+    """
     seen = Observation()
+    if most is not None:
+        df = df.coalesce(most // 100_000 + 1)
     made = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in more.items())))
     return made.coalesce(seen.get["n"] // rows + 1), seen.get
 
@@ -184,7 +190,7 @@ def components(links: DataFrame) -> DataFrame:
     Labels move along links, and every second round jump to their label's label, until
     none changes; every round is cut off by a checkpoint.
     """
-    edges = _compact(links.union(links.select("b", "a")).toDF("node", "other").distinct())
+    edges, all_edges = _compact_seen(links.union(links.select("b", "a")).toDF("node", "other").distinct())
     labels = edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
     turn = 0
     while True:
@@ -194,7 +200,7 @@ def components(links: DataFrame) -> DataFrame:
         if turn % 2 == 0:
             jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
             new = new.join(jump, "next", "left").select("node", F.least("next", "far").alias("next"), "label")
-        new, seen = _compact_seen(new, changed=F.count_if(F.col("label") != F.col("next")))
+        new, seen = _compact_seen(new, most=all_edges["n"], changed=F.count_if(F.col("label") != F.col("next")))
         labels = new.select("node", F.col("next").alias("label"))
         if not seen["changed"]:
             return labels
@@ -346,7 +352,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
     nodes = cut(nodes)
     cells = nodes.where("node is not null").select("node", F.explode("bands").alias("cell")).distinct()
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    cells = _compact(cells.join(shared, "cell").select("cell", "node"), 1_000_000)
+    cells, all_cells = _compact_seen(cells.join(shared, "cell").select("cell", "node"), 1_000_000)
     wanted = cells.select("node").distinct()
     sets = cut(_shingle_sets(texts(docs).where("doc_id is not null").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["node"]))
     links = tested = labels = None
@@ -354,7 +360,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
         if labels is None:
             here = cells.withColumn("class", F.col("node"))
         else:
-            here = _compact(cells.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")), 1_000_000)
+            here, _ = _compact_seen(cells.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")), 1_000_000, all_cells["n"])
         by_class = here.groupBy("cell", "class").agg(
             F.count("*").alias("n"),
             F.min_by("node", F.xxhash64("node", F.lit(2 * turn))).alias("one"),
@@ -367,7 +373,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, rounds: int = R
         pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs, seen = _compact_seen(pairs)
+        pairs, seen = _compact_seen(pairs, most=2 * all_cells["n"])
         if not seen["n"]:
             break
         found = _verified(pairs, sets, threshold)

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 
@@ -96,6 +97,15 @@ def test_components_count_as_they_write(spark):
     assert 1 < known() - before <= 6
 
 
+def test_a_small_table_is_written_in_few_files(spark, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    labels = near.components(spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long"))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    newest = max((p for p in Path(folder).glob("rdd-*")), key=lambda p: int(p.name[4:]))
+    assert labels.count() == 9 and len(list(newest.glob("part-*"))) == 1
+
+
 def test_partner_of_a_single_member_of_a_large_class_is_found(spark):
     rng = random.Random(6)
     words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
