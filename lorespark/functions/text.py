@@ -144,11 +144,14 @@ def with_overlap(chunks: Column, overlap: int) -> Column:
 
 def summarize(text: Column, size: int) -> Column:
     """A text of at most ``size`` characters as it is; else its head, cut after the last terminator if that keeps half."""
-    whole = trim(text)
-    head = F.substring(whole, F.lit(1), F.lit(size))
-    last = F.char_length(F.regexp_extract(head, r"(?s)^.*[.!?。]", 0))
-    cut = F.when((last > 0) & (last >= size // 2), last).otherwise(F.lit(size))
-    return F.when(F.char_length(whole) <= size, whole).otherwise(F.concat(F.regexp_replace(F.substring(head, F.lit(1), cut), r"(?U)\s+$", ""), F.lit("…")))
+
+    def short(whole: Column) -> Column:
+        head = F.substring(whole, F.lit(1), F.lit(size))
+        last = F.char_length(F.regexp_extract(head, r"(?s)^.*[.!?。]", 0))
+        cut = F.when((last > 0) & (last >= size // 2), last).otherwise(F.lit(size))
+        return F.when(F.char_length(whole) <= size, whole).otherwise(F.concat(F.regexp_replace(F.substring(head, F.lit(1), cut), r"(?U)\s+$", ""), F.lit("…")))
+
+    return F.get(F.transform(F.array(trim(text)), short), F.lit(0))  # a long text is trimmed once
 
 
 def keyword_words(text: Column) -> Column:

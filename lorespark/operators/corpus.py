@@ -5,15 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lorespark.functions.text import FORBIDDEN, classify_label, entity_runs, keyword_words, relation_for, summarize, trim
+from lorespark.functions.text import FORBIDDEN, KEYWORD_STOP_WORDS, NOT_ALNUM, classify_label, entity_runs, relation_for, summarize, trim
 from lorespark.functions.text import sentences as split_sentences
 from lorespark.functions.vectors import embedding_broken
-from lorespark.session import small_batches
+from lorespark.session import sized, small_batches
 
 # Words at the head of a capitalised run that name nothing.
 LEADING_STOP_WORDS = frozenset((
@@ -228,19 +231,53 @@ def garbage(docs: DataFrame, now: str | None = None, min_confidence: int = 0, di
 
 
 def keywords(docs: DataFrame, top: int) -> DataFrame:
-    """id, place, word, n: the most frequent words of each document, ties by the alphabet."""
-    counts = docs.select("id", F.explode(keyword_words(F.col("body"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    """id, place, word, n: the most frequent words (see ``keyword_words``) of each document, ties by the alphabet.
+
+    A text's words are counted where it is read, and only its ``top`` leave the task; of rows
+    that share an id all words do, as their counts are added first.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.split_pattern(batch.column("text"), "\n")
+            each = words.flatten().dictionary_encode()
+            known = each.dictionary.cast(pa.binary())
+            by_bytes = pc.array_sort_indices(known)
+            rank = np.empty(len(known), np.int64)
+            rank[by_bytes.to_numpy()] = np.arange(len(known))
+            counts = pc.and_(pc.greater_equal(pc.binary_length(known), 4), pc.invert(pc.is_in(each.dictionary, pa.array(KEYWORD_STOP_WORDS))))
+            at = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+            codes = each.indices.to_numpy()
+            held = counts.to_numpy(zero_copy_only=False)[codes]
+            key, n = np.unique(at[held] * max(len(known), 1) + rank[codes[held]], return_counts=True)
+            row, word = np.divmod(key, max(len(known), 1))
+            order = np.lexsort((word, -n, row))
+            row, word, n = row[order], word[order], n[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < top
+            kept = first | batch.column("again").to_numpy(zero_copy_only=False)[row]
+            names = each.dictionary.take(by_bytes.take(pa.array(word[kept])))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[kept])), names, pa.array(n[kept].astype(np.int64))], ["id", "word", "n"])
+
+    again = sized(docs.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id", F.lit(True).alias("again")))
+    shared = (F.coalesce("again", F.lit(False)) | F.col("id").isNull()).alias("again")
+    rows = small_batches(docs).join(again, "id", "left").select("id", shared, F.lower(F.regexp_replace("body", NOT_ALNUM, "\n")).alias("text"))
+    schema = StructType([docs.schema["id"], StructField("word", StringType()), StructField("n", LongType())])
+    counts = rows.mapInArrow(counted, schema).groupBy("id", "word").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "word"))
     return counts.withColumn("place", place).where(F.col("place") <= top)
 
 
 def consolidate(docs: DataFrame, size: int) -> DataFrame:
-    """Bodies above the size become summaries, marked with what they were; marked ones stay as they are."""
+    """Bodies above the size become summaries, marked with what they were; marked ones stay as they are.
+
+    Summaries are made where texts are read, so that no long text is joined with its words.
+    """
     due = ~F.map_contains_key("metadata", F.lit("compressed")) & (F.char_length("body") > size)
     words = keywords(docs.where(due), 5).groupBy("id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])).alias("concepts"))
-    marks = F.create_map(F.lit("compressed"), F.lit("true"), F.lit("original_len"), F.char_length("body").cast("string"), F.lit("concepts"), F.coalesce("concepts", F.lit("")))
-    out = docs.join(words, "id", "left").withColumn("due", due)
-    return out.withColumns({"metadata": F.when(F.col("due"), F.map_concat(F.map_filter("metadata", lambda k, _: ~k.isin("original_len", "concepts")), marks)).otherwise(F.col("metadata")), "body": F.when(F.col("due"), summarize(F.col("body"), size)).otherwise(F.col("body"))}).select(*docs.columns, "due")
+    short = docs.withColumns({"due": due, "_length": F.char_length("body").cast("string"), "body": F.when(due, summarize(F.col("body"), size)).otherwise(F.col("body"))})
+    marks = F.create_map(F.lit("compressed"), F.lit("true"), F.lit("original_len"), F.col("_length"), F.lit("concepts"), F.coalesce("concepts", F.lit("")))
+    marked = F.map_concat(F.map_filter("metadata", lambda k, _: ~k.isin("original_len", "concepts")), marks)
+    return short.join(words, "id", "left").withColumn("metadata", F.when(F.col("due"), marked).otherwise(F.col("metadata"))).select(*docs.columns, "due")
 
 
 # -- checks -------------------------------------------------------------------

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lorespark.functions import text as T
 from lorespark.functions import vectors as V
 from lorespark.operators import corpus as C
 from lorespark.operators import retrieval as R
@@ -137,3 +138,15 @@ def test_keyword_hits_move_no_words_that_no_query_has(spark):
     assert got.keys() == want.keys() and len(want) == 4
     assert all(abs(got[k] - want[k] * own[k[1]] / 100) < 1e-8 for k in want)
     assert "explode" not in plan_of(made).lower()  # words were left where they were read
+
+
+def test_keywords_leave_a_task_as_the_first_few(spark):
+    texts = [("a", "Kernel kernel, these ÑANDÚ ñandú 東京都 fox ΟΔΟΣ·ΟΔΟΣ x\ny beta beta İabc"), ("b", None), ("c", ""), ("d", "zeta alpha beta gamma"), ("d", "zeta delta zeta"), (None, "loose ends"), (None, "ends"), ("e", "this that fox")]
+    docs = spark.createDataFrame(texts, "id string, body string")
+    plain = {}
+    for r in docs.select("id", F.explode(T.keyword_words(F.col("body"))).alias("word")).collect():
+        plain.setdefault(r["id"], []).append(r["word"])
+    want = {(i, k, w, ws.count(w)) for i, ws in plain.items() for k, w in enumerate(sorted(set(ws), key=lambda w: (-ws.count(w), w.encode()))[:2], 1)}
+    made = C.keywords(docs, 2)
+    assert {(r["id"], r["place"], r["word"], r["n"]) for r in made.collect()} == want and len(want) == 6
+    assert "generate" not in plan_of(made).lower()
