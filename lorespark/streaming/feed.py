@@ -24,11 +24,15 @@ def node_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def edge_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Edges (src, dst, kind) added or removed between two versions, one row for each end; a repeated edge is one."""
+    """Edges (src, dst, kind) added or removed between two versions, one row for each end; a repeated edge is one.
+
+    Both versions are grouped at once: a group keeps two marks, where a join would sort all edges of either version.
+    """
     ends, keys = F.explode(F.array("src", "dst")).alias("node"), ["src", "dst", "kind"]
-    marked = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(1))
-    both = marked(before, "old").join(marked(after, "new"), keys, "full").where("old is null or new is null")
-    return both.select(F.lit("edge").alias("what"), _change(F.col("old"), F.col("new")), ends, "kind", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("confidence")).distinct()
+    marked = lambda df, old: df.select(*keys, F.lit(old).alias("old"))
+    both = marked(before, True).unionByName(marked(after, False)).groupBy(*keys).agg(F.bool_or("old").alias("was"), F.bool_and("old").alias("gone")).where("was = gone")
+    change = F.when(F.col("gone"), "removed").otherwise("added").alias("change")
+    return both.select(F.lit("edge").alias("what"), change, ends, "kind", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("confidence")).distinct()
 
 
 def publish(changes: DataFrame, folder: str, version: int) -> None:

@@ -30,3 +30,12 @@ def test_unchanged_graphs_give_no_change(spark):
     edges = spark.createDataFrame([("a", "c", "r")], EDGE)
     assert feed.node_changes(one, one).count() == 0 and feed.edge_changes(edges, edges).count() == 0
     assert [r["change"] for r in feed.edge_changes(edges, edges.where("false")).collect()] == ["removed", "removed"]
+
+
+def test_edges_of_two_versions_are_grouped_not_joined(spark):
+    one = spark.createDataFrame([("a", "b", "r"), ("a", "b", "r"), ("b", "c", "r"), ("x", None, "r"), ("c", "a", "s")], EDGE)
+    two = spark.createDataFrame([("a", "b", "r"), ("b", "c", "t"), ("x", None, "r"), ("c", "a", "s"), ("c", "a", "s")], EDGE)
+    made = feed.edge_changes(one, two)
+    want = [("added", "b", "t"), ("added", "c", "t"), ("removed", "b", "r"), ("removed", "c", "r")]
+    assert sorted((r["change"], r["node"], r["kind"]) for r in made.collect()) == want
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
