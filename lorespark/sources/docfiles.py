@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -51,6 +51,16 @@ def document_paths(system: fs.FileSystem, folder: str) -> Iterator[fs.FileInfo]:
             yield info
 
 
+def each_of(movers: ThreadPoolExecutor, act: Callable[[fs.FileInfo], None], infos: list[fs.FileInfo]) -> None:
+    """Does something to every file, a share of the files in each thread: handing them over one by one takes longer than moving them."""
+
+    def share(k: int) -> None:
+        for info in infos[k::MOVERS]:
+            act(info)
+
+    list(movers.map(share, range(MOVERS)))
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[str]
@@ -141,11 +151,11 @@ class DocumentWriter(DataSourceArrowWriter):
         system, folder = file_system(self.path)
         with ThreadPoolExecutor(MOVERS) as movers:
             if self.replace:
-                list(movers.map(lambda i: system.delete_file(i.path), list(document_paths(system, folder))))
+                each_of(movers, lambda i: system.delete_file(i.path), list(document_paths(system, folder)))
             for m in messages:
                 if m is not None:  # one task's folder at a time
                     made = system.get_file_info(fs.FileSelector(m.folder))
-                    list(movers.map(lambda i: system.move(i.path, f"{folder}/{i.base_name}"), made))
+                    each_of(movers, lambda i: system.move(i.path, f"{folder}/{i.base_name}"), made)
         self.clear()
 
     def abort(self, messages: list[Staged | None]) -> None:

@@ -31,9 +31,9 @@ def parse_documents(contents: DataFrame) -> DataFrame:
     body = F.when(at > 0, F.substring("content", at + 2, F.length("content"))).otherwise(F.lit(""))
     lines = F.filter(F.split(head, "\n"), lambda x: F.contains(x, F.lit(": ")) | F.endswith(x, F.lit(":")))
     pair = lambda x: F.struct(unescape(F.substring_index(x, ":", 1)).alias("key"), unescape(F.regexp_replace(x, "^[^:]*: ?", "")).alias("value"))
-    pairs = F.transform(lines, pair)
+    pairs = F.col("pairs")  # a column of its own, or each line would be read again for every other one
     fields = F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"])))
-    df = contents.select("id", fields.alias("f"), body.alias("body"))
+    df = contents.select("id", F.transform(lines, pair).alias("pairs"), body.alias("body")).select("id", fields.alias("f"), "body")
     numbers = F.transform(F.split(F.col("f")["embedding"], "[, ]+"), lambda x: x.try_cast("float"))
     embedding = F.when(F.exists(numbers, lambda x: x.isNull()), F.lit(None)).otherwise(numbers)
     return df.select(

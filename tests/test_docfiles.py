@@ -61,3 +61,27 @@ def test_parts_and_files_that_are_no_text(spark, tmp_path):
     good, bad = docfiles.load(spark, str(tmp_path))
     assert [r["path"].rsplit("/", 1)[-1] for r in bad.collect()] == ["bad.doc"]
     assert rows_of(good) == rows_of(files.read_documents(spark, str(tmp_path))[0])
+
+
+def test_files_are_handed_to_threads_in_shares():
+    handed, done = [], []
+
+    class Counting(docfiles.ThreadPoolExecutor):
+        def submit(self, *args, **kwargs):
+            handed.append(args)
+            return super().submit(*args, **kwargs)
+
+    for n in (0, 1, 500):
+        handed.clear(), done.clear()
+        with Counting(docfiles.MOVERS) as movers:
+            docfiles.each_of(movers, done.append, list(range(n)))
+        assert sorted(done) == list(range(n)) and len(handed) <= docfiles.MOVERS
+    with Counting(docfiles.MOVERS) as movers, pytest.raises(ZeroDivisionError):
+        docfiles.each_of(movers, lambda i: 1 / i, [1, 0, 2])
+
+
+def test_a_files_lines_are_read_once(spark):
+    raw = spark.createDataFrame([("a", "type: x\ntype: y\nmeta.k: v\n\nbody")], "id string, content string")
+    made = files.parse_documents(raw)
+    assert (made.first()["doc_type"], made.first()["metadata"], made.first()["body"]) == ("y", {"k": "v"}, "body")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 3  # the lines once, and an embedding's numbers twice
