@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lorespark.session import cut
+from lorespark.session import cut, sized
 
 
 def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -102,6 +106,43 @@ def in_cells(links: DataFrame, per_cell: int = LINKS_PER_CELL) -> DataFrame:
     return known.withColumn("cell", F.pmod(F.xxhash64("dst"), F.col("cells")).cast("int"))
 
 
+def _rounds(own: DataFrame, terms: DataFrame, ends: DataFrame, links: DataFrame, by: list[str], damping: float, iterations: int) -> DataFrame:
+    """The rounds of ``_rank`` over few links, a query a call: ``by``, id and rank of its nodes, and a row without id with its last c and before."""
+    known, few = ends.select("id", "out").toArrow(), links.select("src", "dst", "n").toArrow()
+    ids = known["id"].combine_chunks()
+    at = lambda column: pc.index_in(column.combine_chunks(), ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    outs = known["out"].to_numpy().astype(np.float64)  # NaN: no links
+    graph = own.sparkSession.sparkContext.broadcast((ids, outs, at(few["src"]), at(few["dst"]), few["n"].to_numpy().astype(np.float64)))
+
+    def run(query: pa.Table) -> pa.Table:
+        ids, outs, src, dst, n = graph.value
+        named = query["id"].is_valid()
+        mine, told = query.filter(named), query.filter(pc.invert(named)).to_pylist()[0]
+        node = pc.index_in(mine["id"].combine_chunks(), ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        tp, s, seeded = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), bool)
+        tp[node], s[node], seeded[node] = mine["tp"].to_numpy(), mine["s"].to_numpy(), True
+        rank, held, c, before = tp, seeded, 1.0, 0.0
+        for _ in range(iterations):
+            mass = rank[np.isnan(outs)].sum() + c * told["tps"] + damping * before * told["ss"]
+            c, before = (1 - damping) + damping * mass, c
+            sent = rank[src] > 0
+            to = dst[sent]
+            got = np.bincount(to, (rank[src] / outs[src] * n)[sent], len(ids))
+            held = seeded | (np.bincount(to, minlength=len(ids)) > 0)
+            rank = c * tp + damping * (got + before * s)
+        k = np.flatnonzero(held)
+        id_ = pa.concat_arrays([ids.take(pa.array(k)), pa.nulls(1, ids.type)])
+        columns = [pa.array([told[b]] * (len(k) + 1), query.schema.field(b).type) for b in by]
+        only = lambda v: pa.array([None] * len(k) + [v], pa.float64())
+        return pa.table([*columns, id_, pa.array([*rank[k], None], pa.float64()), only(c), only(before)], [*by, "id", "rank", "c", "before"])
+
+    none = F.lit(None)
+    rows = own.select(*by, "id", "tp", "s", none.cast("double").alias("tps"), none.cast("double").alias("ss"))
+    rows = rows.unionByName(terms.select(*by, none.cast(own.schema["id"].dataType).alias("id"), none.cast("double").alias("tp"), none.cast("double").alias("s"), "tps", "ss"))
+    kinds = [*[StructField(b, own.schema[b].dataType) for b in by], StructField("id", own.schema["id"].dataType), *[StructField(x, DoubleType()) for x in ("rank", "c", "before")]]
+    return rows.groupBy(*by).applyInArrow(run, StructType(kinds))
+
+
 def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str], damping: float, iterations: int, per_cell: int = LINKS_PER_CELL) -> DataFrame:
     """The power iteration of both kinds of PageRank, for every query (``by``) at once.
 
@@ -113,10 +154,13 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str]
     count c * s after that. Nodes that only such links lead to have the rank
     c * tp + damping * before * s, with the c of the round before; of those without links,
     two sums for the query give the mass. The rounds go over the rest alone: the links of
-    nodes that have links to them, and both their ends. These keep one partitioning by source and
+    nodes that have links to them, and both their ends. At most ``per_cell`` of them go to
+    the tasks that make a query's rounds in one go (``_rounds``): each round of its own takes
+    the driver some five exchanges, and a thread for each. More keep one partitioning by source and
     cell (see ``in_cells``: a hub's share goes to each of its cells, so no task gets all
-    links of a hub; kept copies that are lost are read again from their checkpoint), or are
-    broadcast if they are at most ``per_cell``; each round is cut off by a checkpoint, which keeps the plan's size constant.
+    links of a hub; kept copies that are lost are read again from their checkpoint), and each
+    round is cut off by a checkpoint. The terms are read back from files, as Spark takes a joined
+    table's size for the product of both: else every round's estimate is the square of the last one's.
     """
     damping = min(max(damping, 0.0), 1.0)
     live = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
@@ -128,34 +172,38 @@ def _rank(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, by: list[str]
     few = led.count() <= per_cell
     dealt = cut(in_cells(every.join(F.broadcast(led) if few else led, "src", "left_semi"), per_cell))
     small = dealt.count() <= per_cell
-    links = F.broadcast(dealt.drop("cells")) if small else dealt.drop("cells").repartition(parts, "src", "cell").persist()
     inner = cut(dealt.select(F.col("src").alias("id")).unionByName(dealt.select(F.col("dst").alias("id"))).distinct())
     first = teleport.join(out.where("led is null"), "id").select(*by, F.col("id").alias("src"), (F.col("tp") / F.col("out")).alias("share"))
     once = every.join(first, "src").groupBy(*by, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("n")).alias("s"))
     zero = F.lit(0.0)
     base = cut(teleport.select(*by, "id", "tp", zero.alias("s")).unionByName(once.select(*by, "id", zero.alias("tp"), "s")).groupBy(*by, "id").agg(F.sum("tp").alias("tp"), F.sum("s").alias("s")))
-    outer, own = base.join(inner, "id", "left_anti"), cut(base.join(inner, "id", "left_semi"))
+    outer, own = base.join(inner, "id", "left_anti"), base.join(inner, "id", "left_semi")
     loose = outer.join(out.select("id"), "id", "left_anti").select(*by, "tp", "s")
     asked = base.select(*by).distinct().select(*by, zero.alias("tp"), zero.alias("s")) if by else base.limit(0).select("tp", "s")
     held = loose.unionByName(asked).groupBy(*by).agg(F.coalesce(F.sum("tp"), zero).alias("tps"), F.coalesce(F.sum("s"), zero).alias("ss"))
-    terms = cut(held.select(*by, "tps", "ss", F.lit(1.0).alias("c"), zero.alias("before")))  # one row for each query
+    terms = held.select(*by, "tps", "ss", F.lit(1.0).alias("c"), zero.alias("before"))  # one row for each query
     ends = cut(inner.join(out.select("id", "out"), "id", "left").join(dealt.groupBy(F.col("src").alias("id")).agg(F.max("cells").alias("cells")), "id", "left"))
-    state = cut(own.join(ends, "id").select(*by, "id", "out", "cells", F.col("tp").alias("rank")))  # rows of a rank or a teleport above 0 are kept, no others
-    for _ in range(iterations):
-        # one number for each query: the mass that stands on nodes without links
-        lost = state.groupBy(*by).agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
-        mass = F.coalesce("lost", zero) + F.col("c") * F.col("tps") + damping * F.col("before") * F.col("ss")
-        now = terms.join(lost, by, "left") if by else terms.crossJoin(lost)
-        terms = cut(now.select(*by, "tps", "ss", ((1 - damping) + damping * mass).alias("c"), F.col("c").alias("before")))
-        shares = state.where("out is not null and rank > 0").select(*by, F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-        sent = shares.join(links, ["src", "cell"])
-        got = sent.groupBy(*by, F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("n")).alias("got"))
-        both = got.select(*by, "id", "got", zero.alias("tp"), zero.alias("s")).unionByName(own.select(*by, "id", zero.alias("got"), "tp", "s"))
-        new = both.groupBy(*by, "id").agg(F.sum("got").alias("got"), F.sum("tp").alias("tp"), F.sum("s").alias("s")).join(ends, "id")
-        new = new.join(F.broadcast(terms), by) if by else new.crossJoin(F.broadcast(terms))
-        rank = F.col("c") * F.col("tp") + damping * (F.col("got") + F.col("before") * F.col("s"))
-        state = cut(new.select(*by, "id", "out", "cells", rank.alias("rank")))
-    if not small:
+    own = cut(own.join(ends, "id").select(*by, "id", "out", "cells", "tp", "s"))
+    if small:
+        made = cut(_rounds(own, terms, ends, dealt, by, damping, iterations))
+        state, terms = made.where("id is not null"), sized(made.where("id is null").select(*by, "c", "before"))
+    else:
+        terms = sized(terms)
+        links = dealt.drop("cells").join(ends.select(F.col("id").alias("dst"), "out", F.col("cells").alias("dst_cells")), "dst").repartition(parts, "src", "cell").persist()
+        state = own.select(*by, "id", "out", "cells", F.col("tp").alias("rank"))  # rows of a rank or a teleport above 0 are kept, no others
+        for _ in range(iterations):
+            # one number for each query: the mass that stands on nodes without links
+            lost = state.groupBy(*by).agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
+            mass = F.coalesce("lost", zero) + F.col("c") * F.col("tps") + damping * F.col("before") * F.col("ss")
+            now = terms.join(lost, by, "left") if by else terms.crossJoin(lost)
+            terms = sized(now.select(*by, "tps", "ss", ((1 - damping) + damping * mass).alias("c"), F.col("c").alias("before")))
+            shares = state.where("out is not null and rank > 0").select(*by, F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+            sent = shares.join(links, ["src", "cell"]).select(*by, F.col("dst").alias("id"), "out", F.col("dst_cells").alias("cells"), (F.col("share") * F.col("n")).alias("got"), zero.alias("tp"), zero.alias("s"))
+            both = sent.unionByName(own.withColumn("got", zero))
+            new = both.groupBy(*by, "id").agg(*[F.max(c).alias(c) for c in ("out", "cells")], *[F.sum(c).alias(c) for c in ("got", "tp", "s")])
+            new = new.join(F.broadcast(terms), by) if by else new.crossJoin(F.broadcast(terms))
+            rank = F.col("c") * F.col("tp") + damping * (F.col("got") + F.col("before") * F.col("s"))
+            state = cut(new.select(*by, "id", "out", "cells", rank.alias("rank")))
         links.unpersist()
     rest = outer.join(F.broadcast(terms), by) if by else outer.crossJoin(F.broadcast(terms))
     rank = F.col("c") * F.col("tp") + damping * F.col("before") * F.col("s")

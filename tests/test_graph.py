@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,31 @@ def test_rounds_go_over_nodes_that_links_lead_to(spark, monkeypatch):
     assert ranks(G.pagerank(n, e, iterations=2)) == pytest.approx(uniform, abs=1e-12)
     inner = {s for s, d in live if s in {d for _, d in live}}
     assert read == [len({p for p in live if p[0] in inner})] * 3 and 0 < read[0] < 40
+
+
+@pytest.mark.parametrize("few", [1, 10**6])
+def test_estimated_sizes_of_rounds_do_not_square(spark, capsys, few):
+    n, e = graph(spark, ["a", "b", "c", "d"], [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")])
+    shares = spark.createDataFrame([("q", "a", 1.0), ("p", "b", 1.0)], "query_id string, id string, tp double")
+
+    def digits(rounds):
+        G._rank(n, e, shares, ["query_id"], 0.85, rounds, few).explain("cost")
+        return max(int(x) for x in re.findall(r"sizeInBytes=[\d.]+E\+(\d+)", capsys.readouterr().out) or [1])
+
+    assert digits(9) < 3 * digits(4)  # each round's estimate was the square of the last one's: of 30 rounds it filled the driver
+
+
+def test_rounds_over_few_links_start_no_jobs_of_their_own(spark):
+    n, e = graph(spark, list("abcdo"), [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d"), ("c", "d")])
+    seeds = spark.createDataFrame([("q", "a"), ("p", "b"), ("p", "d"), ("r", "o")], "query_id string, id string")
+
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"rounds {rounds}", "")
+        got = {(r["query_id"], r["id"]): r["rank"] for r in G.personalized_pagerank(n, e, seeds, iterations=rounds).collect()}
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds {rounds}"))
+
+    (short, first), (long, second) = jobs(1), jobs(40)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert first == second > 0
+    assert {k[1] for k in long if k[0] == "q"} == set("abcd") and {k for k in long if k[0] == "r"} == {("r", "o")}
+    assert all(sum(v for k, v in got.items() if k[0] == q) == pytest.approx(1) for got in (short, long) for q in "pqr")
