@@ -272,3 +272,54 @@ def test_equal_texts_are_stored_equally(spark):
     for r in webp.stored_media(docs).collect():
         held.setdefault(r["doc_id"] % 20, set()).add(bytes(r["media"]))
     assert all(len(v) == 1 for v in held.values())
+
+
+def stored(*payloads):
+    """The files of payloads, and whether their samples are what they decode to."""
+    ends = np.cumsum([0] + [len(p) for p in payloads]).astype(np.int64)
+    made = [webp.split_files(v) for v in webp.encode_payloads(np.frombuffer(b"".join(payloads), np.uint8), ends)]
+    for own, p in zip(made, payloads, strict=True):
+        assert b"".join((x >> np.uint32(8)).astype(np.uint8).tobytes() for x in webp.decode_files(own)) == p
+    return made
+
+
+def test_the_encoder_chooses_references_palette_and_prediction():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, 9, dtype=np.uint8)) for _ in range(100)]
+    prose = b" ".join(words[i] for i in rng.integers(0, 100, 500))[:4800]
+    letters = rng.choice(np.frombuffer(b".x", np.uint8), 192 * 20, p=[0.9, 0.1]).tobytes()
+    slope = (np.add.outer(np.arange(32) * 3, rng.integers(0, 256, 192)) % 256).astype(np.uint8).tobytes()
+    noise = rng.integers(0, 256, 192 * 7, dtype=np.uint8).tobytes()
+    (a,), (b,), (c,), (d,) = stored(prose, letters, slope, noise)
+    kinds = [[t[0] for t in webp.File(f).transforms] for f in (a, b, c, d)]
+    assert kinds == [[], [3], [0], []]
+    assert not webp.File(a).image.plain and webp.File(d).image.plain
+    literal = -(np.bincount(np.frombuffer(prose, np.uint8)) / 4800)
+    assert len(a) * 8 < 0.7 * 4800 * (literal[literal < 0] * np.log2(-literal[literal < 0])).sum()
+    assert len(b) < 192 * 20 / 8 and len(c) < 1200 and len(d) < 192 * 7 + 400
+
+
+def test_awkward_payloads_come_back():
+    rng = np.random.default_rng(4)
+    some = [b" " * 192, b"a" * 192 * 32 * 2, bytes(range(192)), (bytes(range(256)) * 60)[:192 * 70], b"ab" * 96 * 33]
+    some += [bytes(rng.integers(0, k, 192 * int(rng.integers(1, 80)), dtype=np.uint8) + 250 % k) for k in (1, 2, 3, 4, 5, 16, 17, 200) for _ in range(3)]
+    some += [(w := bytes(rng.integers(0, 30, 192 * 40, dtype=np.uint8))) + w[:192 * 9] + w]
+    alone = [stored(p)[0] for p in some]
+    assert stored(*some) == alone  # no image depends on its neighbours
+    assert len(alone[1]) == 2 and len(alone[1][0]) < 60
+
+
+def test_copies_are_read_as_by_the_general_decoder(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = b"".join(rng.choice([b"the ", b"quick ", b"brown fox, ", b"jumped ", b"over and over "], 900))
+    files = [f for own in stored(*[text[k:k + 192 * 14] for k in range(0, 192 * 7, 192)]) for f in own]
+    seen = []
+    fast = webp._copied_in_step
+    monkeypatch.setattr(webp, "_copied_in_step", lambda images: seen.extend(images) or fast(images))
+    first = webp.decode_files(files)
+    assert len(seen) == len(files)
+    monkeypatch.setattr(webp, "_copied_in_step", webp._general_in_step)
+    assert all((a == b).all() for a, b in zip(first, webp.decode_files(files), strict=True))
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(webp, "_copied_in_step", fast)
+        webp.decode_files([webp.container(files[0][20:90])])
