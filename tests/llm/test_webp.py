@@ -323,3 +323,24 @@ def test_copies_are_read_as_by_the_general_decoder(monkeypatch):
     with pytest.raises(ValueError):
         monkeypatch.setattr(webp, "_copied_in_step", fast)
         webp.decode_files([webp.container(files[0][20:90])])
+
+
+def test_the_encoder_chooses_a_colour_cache_and_a_cached_copy_is_read():
+    rng = np.random.default_rng(6)
+    place = lambda argb: (argb * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - webp.CACHE_BITS)
+    places = [[place(alpha << 24 | g << 8) for g in range(256)] for alpha in (255, 0)]
+    of = [rng.permutation([g for g in range(256) if places[0][g] == p]) for p in range(1 << webp.CACHE_BITS)]
+    stretches = [rng.choice([own[k] for own in of], 384) for k in range(10)]  # each has sixteen colours of its own, one of each place
+    flat = np.concatenate(stretches).astype(np.uint8).tobytes()
+    (a,), (b,) = stored(flat, flat[:1920] + flat[:1000] + flat[:920])
+    assert webp.File(a).image.cache_bits == webp.File(b).image.cache_bits == webp.CACHE_BITS
+    assert len(a) < 0.7 * len(flat) and len(b) < 0.6 * len(a) + 100
+    plane = np.frombuffer(flat + flat, np.uint8)
+    tile = np.repeat([0, 1], len(flat))
+    key, hit = webp._cached(plane, tile, np.array([255, 0]))
+    for t in (0, 1):
+        held = {}
+        for k in np.flatnonzero(tile == t).tolist():
+            own = places[t][plane[k]]
+            assert key[k] == own and hit[k] == (held.get(own) == plane[k])
+            held[own] = plane[k]
